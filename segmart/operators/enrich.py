@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,15 +65,15 @@ def enrich(
     sku: DataFrame,
     subcat: DataFrame,
     store: DataFrame,
-    hot: Mapping[str, Mapping[int, int]] | None = None,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add item, sub category and store descriptions to distinct lines.
 
     The lookups are reduced to the wanted columns and made distinct first: joined to distinct
     lines they cannot give two equal rows, so the result needs no distinct of its own.
-    ``hot`` may hold measured hot keys of the lines for ``item`` and ``shop``.
+    A lookup too large to broadcast is joined salted; ``hot_from`` is where item and shop keys can be
+    measured cheaply for that.
     """
-    hot = hot or {}
     items = (
         sku.select("item_code", *SKU_ATTRIBUTES)
         .distinct()
@@ -84,9 +83,9 @@ def enrich(
         F.col("item_brand_key").alias("prod_brand"), "item_sub_cat", "item_cat", "item_subcat_desc"
     ).distinct()
     shops = store.select("shop_code", "shop_desc").distinct()
-    with_item = lookup_join(lines, items, ["item_code", "prod_brand"], "left", hot.get("item"))
-    with_subcat = lookup_join(with_item, subcats, ["prod_brand", "item_sub_cat", "item_cat"], "left", hot.get("subcat"))
-    return lookup_join(with_subcat, shops, ["shop_code"], "left", hot.get("shop"))
+    with_item = lookup_join(lines, items, ["item_code", "prod_brand"], "left", hot_from=hot_from)
+    with_subcat = lookup_join(with_item, subcats, ["prod_brand", "item_sub_cat", "item_cat"], "left")
+    return lookup_join(with_subcat, shops, ["shop_code"], "left", hot_from=hot_from)
 
 
 @dataclass(frozen=True)

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmart.functions.columns import lenient_cast, named, trim_strings
-from segmart.operators.skew import lookup_join, salted_join
+from segmart.operators.skew import FANOUT, ROWS_PER_TASK, lookup_join, spread_join
 
 MONEY = "decimal(18,2)"
 # The rounding of the original reports: whole currency units per line.
 WHOLE_MONEY = "decimal(10,0)"
+ORDER_KEY = "sales_main_key"
 
 CARRIED = [
     "region_key",
@@ -35,8 +36,8 @@ CARRIED = [
 ]
 
 
-def build_lines(sales: DataFrame, money_type: str = MONEY) -> DataFrame:
-    """Distinct sales lines with trimmed text, typed date, quantity and amounts, and the order key."""
+def typed_lines(sales: DataFrame, money_type: str = MONEY) -> DataFrame:
+    """Sales lines with trimmed text, typed date, quantity and amounts, and the order key."""
     trimmed = trim_strings(sales)
     return trimmed.select(
         *[named(c) for c in CARRIED],
@@ -46,8 +47,32 @@ def build_lines(sales: DataFrame, money_type: str = MONEY) -> DataFrame:
             lenient_cast(trimmed, amount, money_type).alias(amount)
             for amount in ("net_amt_hkd", "net_amt", "item_list_price")
         ],
-        F.concat("shop_code", F.lit("-"), "invoice_no").alias("sales_main_key"),
-    ).distinct()
+        F.concat("shop_code", F.lit("-"), "invoice_no").alias(ORDER_KEY),
+    )
+
+
+def build_lines(sales: DataFrame, money_type: str = MONEY) -> DataFrame:
+    """The distinct typed lines."""
+    return typed_lines(sales, money_type).distinct()
+
+
+def _shop_of_order():
+    return F.substring_index(ORDER_KEY, "-", 1).alias("__shop")
+
+
+def shops_in_scope(lines: DataFrame, in_scope: Column) -> DataFrame:
+    """The shops with a line in scope, as the text of the order key up to its first dash."""
+    return lines.where(in_scope).select(_shop_of_order()).distinct()
+
+
+def lines_near(lines: DataFrame, shops: DataFrame) -> DataFrame:
+    """The lines that may share an order with a line in scope.
+
+    Orders are judged by all their lines, but only orders with a line in scope matter. An order key
+    starts with its shop, so the lines of other shops can go before the distinct and the order
+    totals. Equal order keys agree up to the first dash whatever the codes look like.
+    """
+    return lookup_join(lines.select("*", _shop_of_order()), shops, ["__shop"], "left_semi").drop("__shop")
 
 
 def card_masters(cards: DataFrame) -> DataFrame:
@@ -56,22 +81,29 @@ def card_masters(cards: DataFrame) -> DataFrame:
     return pairs.where(F.col("vip_main_no").isNotNull()).distinct()
 
 
-def resolve_master(lines: DataFrame, cards: DataFrame, hot: Mapping[int, int] | None = None) -> DataFrame:
+def resolve_master(
+    lines: DataFrame,
+    cards: DataFrame,
+    hot: Mapping[int, int] | None = None,
+    hot_from: DataFrame | None = None,
+) -> DataFrame:
     """Add ``vip_main_no``; a card without a master stands for itself, one with two gives two lines."""
-    joined = lookup_join(lines, card_masters(cards), ["vip_no"], "left", hot)
+    joined = lookup_join(lines, card_masters(cards), ["vip_no"], "left", hot, hot_from)
     return joined.withColumn("vip_main_no", F.coalesce("vip_main_no", "vip_no"))
 
 
 def drop_net_zero(
-    lines: DataFrame,
-    order_key: str = "sales_main_key",
-    qty: str = "sold_qty",
-    hot: Mapping[int, int] | None = None,
+    lines: DataFrame, order_key: str = ORDER_KEY, qty: str = "sold_qty", rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Drop the orders whose total quantity over all given lines is zero or unknown.
 
-    The totals are combined before the shuffle and joined back, so one huge order is never
-    gathered in a single task as a window over the order would do.
+    The totals are combined before the shuffle and joined back, so one huge order is never gathered
+    in a single task as a window over the order would do. The totals also count the lines, which
+    tells the join which orders to spread.
     """
-    kept = lines.groupBy(order_key).agg(F.sum(qty).alias("__total")).where("__total != 0").select(order_key)
-    return salted_join(lines, kept, [order_key], "left_semi", hot or {})
+    totals = lines.groupBy(order_key).agg(F.sum(qty).alias("__total"), F.count(F.lit(1)).alias("__lines"))
+    kept = totals.where("__total != 0")
+    fanout = kept.where(F.col("__lines") > rows_per_task).select(
+        order_key, F.ceil(F.col("__lines") / F.lit(rows_per_task)).cast("int").alias(FANOUT)
+    )
+    return spread_join(lines, kept.select(order_key), [order_key], "left_semi", fanout, [order_key])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmart.constants import NOT_AVAILABLE, SEGMENT_ORDER, UNKNOWN
@@ -26,27 +26,28 @@ def spread(long: DataFrame, by: Sequence[str], order: Sequence[str], tag: str =
     return long.groupBy(*by).agg(*cells)
 
 
-def segment_measure(
-    lines: DataFrame,
-    segments: DataFrame,
-    by: Sequence[str],
-    measure: str,
-    how: str = SUM,
-    tag: str = SEGMENT,
-) -> DataFrame:
-    """Long form: ``value`` per (``by``, segment)."""
-    tags = segments.select(CUSTOMER, tag)
-    keys = [CUSTOMER, *by]
+def _tagged(
+    lines: DataFrame, segments: DataFrame, by: Sequence[str], measure: str, how: str, tag: str
+) -> tuple[DataFrame, Column]:
+    """Per-customer rows with their segment, and the aggregate that finishes the measure."""
+    tags, keys = segments.select(CUSTOMER, tag), [CUSTOMER, *by]
     if how == SUM:
         per_customer = lines.groupBy(*keys).agg(F.sum(measure).alias("value"))
-        return per_customer.join(tags, CUSTOMER).groupBy(*by, tag).agg(F.sum("value").alias("value"))
+        return per_customer.join(tags, CUSTOMER), F.sum("value")
     if measure == CUSTOMER:
-        per_customer = lines.select(*keys).distinct()
-        return per_customer.join(tags.distinct(), CUSTOMER).groupBy(*by, tag).agg(F.count(F.lit(1)).alias("value"))
+        per_customer = lines.select(*keys).distinct().withColumn("value", F.lit(1).cast("long"))
+        return per_customer.join(tags.distinct(), CUSTOMER), F.sum("value")
     # Here a customer may still hold very many rows, one per counted value.
-    values = lines.where(named(measure).isNotNull()).select(*keys, measure).distinct()
-    joined = lookup_join(values, tags.distinct(), [CUSTOMER], "inner", hot_from=lines)
-    return joined.groupBy(*by, tag).agg(F.count_distinct(measure).alias("value"))
+    values = lines.where(named(measure).isNotNull()).select(*keys, named(measure).alias("value")).distinct()
+    return lookup_join(values, tags.distinct(), [CUSTOMER], "inner", hot_from=lines), F.count_distinct("value")
+
+
+def segment_measure(
+    lines: DataFrame, segments: DataFrame, by: Sequence[str], measure: str, how: str = SUM, tag: str = SEGMENT
+) -> DataFrame:
+    """Long form: ``value`` per (``by``, segment)."""
+    tagged, finish = _tagged(lines, segments, by, measure, how, tag)
+    return tagged.groupBy(*by, tag).agg(finish.alias("value"))
 
 
 def segment_pivot(
@@ -58,8 +59,15 @@ def segment_pivot(
     order: Sequence[str] = SEGMENT_ORDER,
     tag: str = SEGMENT,
 ) -> DataFrame:
-    """Sum or distinct count of ``measure`` by ``by`` (none: one total row) and segment."""
-    return spread(segment_measure(lines, segments, by, measure, how, tag), by, order, tag)
+    """Sum or distinct count of ``measure`` by ``by`` (none: one total row) and segment.
+
+    Sums go straight into the segment columns in one aggregate. Other distinct counts are finished
+    per segment first.
+    """
+    tagged, finish = _tagged(lines, segments, by, measure, how, tag)
+    if how == SUM or measure == CUSTOMER:
+        return spread(tagged, by, order, tag)
+    return spread(tagged.groupBy(*by, tag).agg(finish.alias("value")), by, order, tag)
 
 
 def attribute_pivot(

@@ -21,7 +21,8 @@ ROWS_PER_TASK = 4_000_000
 HOT_KEYS = 1_000
 TRACKED_KEYS = 10_000
 
-_HASH, _FANOUT, _SALT = "__key_hash", "__fanout", "__salt"
+FANOUT = "__fanout"
+_HASH, _SALT = "__key_hash", "__salt"
 
 
 def key_hash(keys: Sequence[str]) -> Column:
@@ -72,26 +73,37 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join in which each hot key of ``facts`` is spread over several tasks.
 
-    The salt is a hash of the whole row, hence the same when a task is run again. Only the lookup
-    rows of hot keys are repeated. Without hot keys this is a plain join.
+    ``hot`` comes from ``hot_keys``. Without hot keys this is a plain join.
     """
-    on = list(on)
     if not hot:
-        return facts.join(lookup, on, how)
-    spark = facts.sparkSession
-    fanout = F.broadcast(spark.createDataFrame(list(hot.items()), f"{_HASH} long, {_FANOUT} int"))
+        return facts.join(lookup, list(on), how)
     types = {field.name: field.dataType for field in facts.schema.fields}
     lookup = lookup.withColumns({key: named(key).cast(types[key]) for key in on})
+    fanout = facts.sparkSession.createDataFrame(list(hot.items()), f"{_HASH} long, {FANOUT} int")
+    joined = spread_join(
+        facts.withColumn(_HASH, key_hash(on)), lookup.withColumn(_HASH, key_hash(on)), on, how, fanout, [_HASH]
+    )
+    return joined.drop(_HASH)
 
-    salt = F.when(
-        named(_FANOUT).isNotNull(),
-        F.pmod(F.xxhash64(*[named(c) for c in facts.columns]), named(_FANOUT)).cast("int"),
-    ).otherwise(F.lit(0))
-    spread = facts.withColumn(_HASH, key_hash(on)).join(fanout, _HASH, "left").withColumn(_SALT, salt)
-    salts = F.sequence(F.lit(0), F.coalesce(named(_FANOUT), F.lit(1)) - 1)
-    repeated = lookup.withColumn(_HASH, key_hash(on)).join(fanout, _HASH, "left").withColumn(_SALT, F.explode(salts))
-    joined = spread.drop(_HASH, _FANOUT).join(repeated.drop(_HASH, _FANOUT), [*on, _SALT], how)
-    return joined.drop(_SALT)
+
+def spread_join(
+    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str, fanout: DataFrame, fanout_on: Sequence[str]
+) -> DataFrame:
+    """Equi-join spread by ``fanout``: one row per hot key with the number of tasks to use.
+
+    ``fanout`` must be bounded, as it is broadcast: a key gets in only with more than
+    ``ROWS_PER_TASK`` rows, so it has at most (rows / ROWS_PER_TASK) of them. The salt is a hash of
+    the whole row, hence the same when a lost task is run again; only the lookup rows of hot keys
+    are repeated.
+    """
+    fanout, fanout_on = F.broadcast(fanout), list(fanout_on)
+    row_hash = F.xxhash64(*[named(c) for c in facts.columns])
+    salt = F.when(named(FANOUT).isNotNull(), F.pmod(row_hash, named(FANOUT)).cast("int")).otherwise(F.lit(0))
+    spread = facts.join(fanout, fanout_on, "left").withColumn(_SALT, salt).drop(FANOUT)
+    salts = F.sequence(F.lit(0), F.coalesce(named(FANOUT), F.lit(1)) - 1)
+    repeated = lookup.join(fanout, fanout_on, "left").withColumn(_SALT, F.explode(salts)).drop(FANOUT)
+    extra = [c for c in fanout_on if c not in on]
+    return spread.join(repeated.drop(*extra), [*on, _SALT], how).drop(_SALT)
 
 
 def lookup_join(

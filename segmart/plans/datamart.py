@@ -7,11 +7,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmart.functions.columns import between_dates, named, trim_strings
-from segmart.operators import skew
+from segmart.functions.columns import between_dates, named
 from segmart.operators.cards import card_demographics, first_purchase
 from segmart.operators.enrich import ValidRules, enrich, sku_table, store_table, subcat_table, valid_lines
-from segmart.operators.lines import MONEY, build_lines, drop_net_zero, resolve_master
+from segmart.operators.lines import (
+    MONEY,
+    drop_net_zero,
+    lines_near,
+    resolve_master,
+    shops_in_scope,
+    typed_lines,
+)
 from segmart.operators.tags import tag_items
 from segmart.session import materialise
 from segmart.sources.tables import write_parquet
@@ -47,38 +53,25 @@ class Datamart:
     item_tags: DataFrame
 
 
-def line_hot_keys(sales: DataFrame, rows_per_task: int = skew.ROWS_PER_TASK) -> dict[str, dict[int, int]]:
-    """Hot cards, orders, items and stores of the raw sales, from one pass over the key columns."""
-    keys = trim_strings(sales.select("vip_no", "shop_code", "invoice_no", "item_code", "prod_brand")).withColumn(
-        "sales_main_key", F.concat("shop_code", F.lit("-"), "invoice_no")
-    )
-    sets = {
-        "card": ["vip_no"],
-        "order": ["sales_main_key"],
-        "item": ["item_code", "prod_brand"],
-        "shop": ["shop_code"],
-    }
-    return skew.hot_keys(keys, sets, rows_per_task)
-
-
 def transactions(warehouse: Warehouse, settings: DatamartSettings) -> DataFrame:
     """The valid, enriched sales lines of the house brand in the date range.
 
-    Order totals see every line; the date, brand and validity filters follow. They concern plain
-    columns, so Spark moves them below the joins and into the Parquet scan of the lines.
+    Order totals see every line of the orders concerned; the date, brand and validity filters
+    follow. They concern plain columns, so Spark moves them below the joins and into the Parquet
+    scan of the lines.
     """
-    hot = line_hot_keys(warehouse.sales)
-    lines = resolve_master(build_lines(warehouse.sales, settings.money_type), warehouse.cards, hot["card"])
-    in_scope = drop_net_zero(lines, hot=hot["order"]).where(
-        (F.col("shop_brand") == settings.house_brand)
-        & between_dates(F.col("order_date"), settings.start_date, settings.end_date)
+    in_scope = (F.col("shop_brand") == settings.house_brand) & between_dates(
+        F.col("order_date"), settings.start_date, settings.end_date
     )
-    valid = valid_lines(in_scope, settings.rules)
-    # The lookups are small against the lines, and are measured before they are joined.
+    raw = typed_lines(warehouse.sales, settings.money_type)
+    near = lines_near(raw, materialise(shops_in_scope(raw, in_scope), "shops")).distinct()
+    lines = drop_net_zero(resolve_master(near, warehouse.cards, hot_from=raw))
+    valid = valid_lines(lines.where(in_scope), settings.rules)
+    # The lookups are small against the lines; stored, they are measured and joined without rework.
     sku = materialise(sku_table(warehouse.sku, warehouse.maincat), "sku")
     subcat = materialise(subcat_table(warehouse.subcat), "subcat")
     store = materialise(store_table(warehouse.stores, settings.house_brand), "store")
-    return enrich(valid, sku, subcat, store, hot)
+    return enrich(valid, sku, subcat, store, hot_from=raw)
 
 
 def build_datamart(warehouse: Warehouse, settings: DatamartSettings) -> Datamart:

@@ -14,6 +14,7 @@ from segmart.operators.enrich import ValidRules
 from segmart.plans.datamart import DatamartSettings, Warehouse
 from segmart.plans.features import FeatureSettings
 from segmart.plans.reports import ReportSettings
+from segmart.session import materialise
 
 HOUSE_BRAND = "HB"
 WINDOW = ("2000-08-01", "2001-07-31")
@@ -21,7 +22,7 @@ AS_OF = "2001-08-01"
 
 DATAMART = DatamartSettings(
     house_brand=HOUSE_BRAND,
-    start_date="1998-08-01",
+    start_date="1996-08-01",
     end_date="2001-07-31",
     rules=ValidRules(
         house_brand=HOUSE_BRAND,
@@ -54,8 +55,13 @@ NOUNS = [
 ]
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+Tables = dict[str, DataFrame]
+
+
+def load(spark: SparkSession, folder: str) -> Tables:
+    """The sample tables, each opened once."""
+    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in NAMES}
 
 
 def _by_size(labels: dict[int, str | None], default: str) -> str:
@@ -80,9 +86,9 @@ SUBCAT_BY_SIZE = {8: "ZZZ", 9: "dummy", 10: "SET", 11: None, 12: "N/A", 13: "Dum
 BRAND_BY_SIZE = {14: "JBZZZ", 15: "ZZ", 16: None}
 
 
-def items(spark: SparkSession, folder: str) -> DataFrame:
+def items(tables: Tables) -> DataFrame:
     """Parts with category, sub category, brand and description."""
-    part = table(spark, folder, "part")
+    part = tables["part"]
     noun = F.element_at(F.array(*[F.lit(n) for n in NOUNS]), F.col("p_size") % 10 + 1)
     return part.select(
         "p_partkey",
@@ -97,10 +103,10 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def shops(spark: SparkSession, folder: str) -> DataFrame:
-    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
+def shops(tables: Tables) -> DataFrame:
+    nation, region = tables["nation"], tables["region"]
     places = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    supplier = table(spark, folder, "supplier")
+    supplier = tables["supplier"]
     return supplier.join(places, supplier.s_nationkey == places.n_nationkey).select(
         "s_suppkey",
         "s_name",
@@ -110,10 +116,10 @@ def shops(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def people(spark: SparkSession, folder: str) -> DataFrame:
-    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
+def people(tables: Tables) -> DataFrame:
+    nation, region = tables["nation"], tables["region"]
     places = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    customer = table(spark, folder, "customer")
+    customer = tables["customer"]
     nationalities = ["Hong Kong", "Mainland China", "Macau", "Taiwan"]
     return customer.join(places, customer.c_nationkey == places.n_nationkey).select(
         "c_custkey",
@@ -128,10 +134,10 @@ def people(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def sales(spark: SparkSession, folder: str) -> DataFrame:
+def sales(tables: Tables) -> DataFrame:
     """Raw sales lines; every returned line is followed by its reversal."""
-    line, order = table(spark, folder, "lineitem"), table(spark, folder, "orders")
-    item, shop, person = items(spark, folder), shops(spark, folder), people(spark, folder)
+    line, order = tables["lineitem"], tables["orders"]
+    item, shop, person = items(tables), shops(tables), people(tables)
     joined = (
         line.join(order, line.l_orderkey == order.o_orderkey)
         .join(item, line.l_partkey == item.p_partkey)
@@ -178,7 +184,7 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("sign")
 
 
-def cards(spark: SparkSession, folder: str) -> DataFrame:
+def cards(tables: Tables) -> DataFrame:
     """Two cards per customer; some cards without master, some missing, some with two masters."""
     number = F.col("c_custkey")
     own = F.concat(F.lit("V"), number.cast("string"))
@@ -189,7 +195,7 @@ def cards(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.array(shared))
     )
     return (
-        people(spark, folder)
+        people(tables)
         .where(number % 25 != 7)
         .select(
             F.when(number % 3 == 1, F.concat(F.lit(" "), own, F.lit(" "))).otherwise(own).alias("vip_no"),
@@ -205,7 +211,7 @@ def cards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def sku(spark: SparkSession, folder: str) -> DataFrame:
+def sku(tables: Tables) -> DataFrame:
     """Item versions: an old one, the current one, ties of the current date, undated ones."""
     key = F.col("p_partkey")
     current = F.date_add(F.lit("2000-06-01").cast("date"), (key % 50).cast("int"))
@@ -218,7 +224,7 @@ def sku(spark: SparkSession, folder: str) -> DataFrame:
             _version("undated ", "", F.lit(None).cast("date"), (F.col("p_size") == 23) | (key % 89 == 0)),
         )
     )
-    return items(spark, folder).withColumn("v", F.explode(versions)).select(
+    return items(tables).withColumn("v", F.explode(versions)).select(
         F.concat(F.lit("P"), key.cast("string")).alias("item_code"),
         F.concat("v.prefix", "item_desc").alias("item_desc"),
         F.col("v.note").alias("item_desc_c"),
@@ -240,8 +246,8 @@ def _version(prefix: str, note: str, modified, exists):
     )
 
 
-def maincat(spark: SparkSession, folder: str) -> DataFrame:
-    names = items(spark, folder).select("maincat").where("maincat IS NOT NULL").distinct()
+def maincat(tables: Tables) -> DataFrame:
+    names = items(tables).select("maincat").where("maincat IS NOT NULL").distinct()
     return names.select(
         F.concat(F.lit("K-"), "maincat").alias("maincat_key"),
         F.concat(F.lit("C-"), "maincat").alias("maincat_code"),
@@ -249,9 +255,9 @@ def maincat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def subcat(spark: SparkSession, folder: str) -> DataFrame:
+def subcat(tables: Tables) -> DataFrame:
     """Two loads per sub category; one brand got a later load in one category only."""
-    pairs = items(spark, folder).where("brand IS NOT NULL AND subcat IS NOT NULL").select("brand", "p_type", "subcat").distinct()
+    pairs = items(tables).where("brand IS NOT NULL AND subcat IS NOT NULL").select("brand", "p_type", "subcat").distinct()
     late = (F.col("brand") == "Brand#1") & (F.col("p_type") == "PROMO")
     loads = F.array(
         F.struct(F.lit("OLD ").alias("prefix"), F.lit("2000-01-01").cast("date").alias("load_date")),
@@ -269,7 +275,7 @@ def subcat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def stores(spark: SparkSession, folder: str) -> DataFrame:
+def stores(tables: Tables) -> DataFrame:
     """An old and a current description per shop; some shops with a second district on the same day."""
     versions = F.array_compact(
         F.array(
@@ -278,7 +284,7 @@ def stores(spark: SparkSession, folder: str) -> DataFrame:
             _version("", "TIE", F.lit("2000-03-01").cast("date"), F.col("s_suppkey") % 70 == 0),
         )
     )
-    return shops(spark, folder).withColumn("v", F.explode(versions)).select(
+    return shops(tables).withColumn("v", F.explode(versions)).select(
         F.col("s_suppkey").cast("string").alias("shop_code"),
         F.concat("v.prefix", "s_name").alias("shop_desc"),
         F.concat("v.note", "n_name").alias("city_district"),
@@ -287,32 +293,35 @@ def stores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def brands(spark: SparkSession, folder: str) -> DataFrame:
+def brands(tables: Tables) -> DataFrame:
     """Brand descriptions; the last brands of the list have none."""
-    names = table(spark, folder, "part").select("p_brand").distinct()
+    names = tables["part"].select("p_brand").distinct()
     return names.where(~F.col("p_brand").isin("Brand#4", "Brand#23")).select(
         F.col("p_brand").alias("brand_code"), F.concat(F.lit("Label of "), "p_brand").alias("brand_desc")
     )
 
 
-def personas(spark: SparkSession, folder: str) -> DataFrame:
+def personas(tables: Tables) -> DataFrame:
     """One cluster id per card number, by market segment; every thirtieth customer has none."""
     segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     position = F.array_position(F.array(*[F.lit(s) for s in segments]), F.col("c_mktsegment")) - 1
     return (
-        table(spark, folder, "customer")
+        tables["customer"]
         .where(F.col("c_custkey") % 30 != 2)
         .select(F.concat(F.lit("V"), F.col("c_custkey").cast("string")).alias("vip_main_no"), position.cast("int").alias("persona"))
     )
 
 
-def warehouse(spark: SparkSession, folder: str) -> Warehouse:
+def warehouse(tables: Tables) -> Warehouse:
+    """The source tables. The sales lines are stored once, as a warehouse would hold them."""
+    lines = sales(tables)
+    tasks = lines.sparkSession.sparkContext.defaultParallelism
     return Warehouse(
-        sales=sales(spark, folder),
-        cards=cards(spark, folder),
-        sku=sku(spark, folder),
-        maincat=maincat(spark, folder),
-        subcat=subcat(spark, folder),
-        stores=stores(spark, folder),
-        brands=brands(spark, folder),
+        sales=materialise(lines.repartition(tasks), "sales"),
+        cards=cards(tables),
+        sku=sku(tables),
+        maincat=maincat(tables),
+        subcat=subcat(tables),
+        stores=stores(tables),
+        brands=brands(tables),
     )
