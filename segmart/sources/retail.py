@@ -18,7 +18,7 @@ from segmart.session import materialise
 
 HOUSE_BRAND = "HB"
 WINDOW = ("2000-08-01", "2001-07-31")
-AS_OF = "2001-08-01"
+AS_OF = "1998-08-01"
 
 DATAMART = DatamartSettings(
     house_brand=HOUSE_BRAND,
@@ -36,7 +36,7 @@ REPORTS = ReportSettings(
     start_date=WINDOW[0],
     end_date=WINDOW[1],
     as_of=AS_OF,
-    new_joiner_cutoff="1998-01-01",
+    new_joiner_cutoff="1996-01-01",
     listed_brands=("Brand#1", "Brand#2", "Brand#3"),
     excluded_brands=("Brand#24", "Brand#25"),
 )
@@ -110,9 +110,10 @@ def shops(tables: Tables) -> DataFrame:
     return supplier.join(places, supplier.s_nationkey == places.n_nationkey).select(
         "s_suppkey",
         "s_name",
+        "s_acctbal",
         "n_name",
         "r_name",
-        F.when(F.col("s_suppkey") % 10 == 0, F.lit(HOUSE_BRAND)).otherwise(F.lit("XX")).alias("shop_brand"),
+        F.when(F.col("s_acctbal") >= 5000, F.lit(HOUSE_BRAND)).otherwise(F.lit("XX")).alias("shop_brand"),
     )
 
 
@@ -124,6 +125,7 @@ def people(tables: Tables) -> DataFrame:
     return customer.join(places, customer.c_nationkey == places.n_nationkey).select(
         "c_custkey",
         "c_mktsegment",
+        "c_acctbal",
         "n_name",
         "r_name",
         F.get(F.array(*[F.lit(n) for n in nationalities]), F.col("c_nationkey") % 5).alias("cust_nat_cat"),
@@ -149,8 +151,8 @@ def sales(tables: Tables) -> DataFrame:
     share = F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")
     lines = joined.select(
         F.col("shop_region").alias("region_key"),
-        F.when(F.col("o_custkey") % 53 == 0, F.lit(None))
-        .when(F.col("o_custkey") % 59 == 0, F.lit(""))
+        F.when(F.col("c_acctbal").between(3000, 3200), F.lit(None))
+        .when(F.col("c_acctbal").between(3200, 3400), F.lit(""))
         .when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit(" "), card, F.lit(" ")))
         .otherwise(card)
         .alias("vip_no"),
@@ -190,13 +192,13 @@ def cards(tables: Tables) -> DataFrame:
     own = F.concat(F.lit("V"), number.cast("string"))
     shared = F.concat(F.lit("V"), (number - number % 2).cast("string"))
     masters = (
-        F.when(number % 10 == 0, F.array(F.lit(None).cast("string")))
-        .when(number % 101 == 3, F.array(shared, own))
+        F.when(F.col("c_acctbal") > 9000, F.array(F.lit(None).cast("string")))
+        .when(F.col("c_acctbal").between(4000, 4100), F.array(shared, own))
         .otherwise(F.array(shared))
     )
     return (
         people(tables)
-        .where(number % 25 != 7)
+        .where("c_acctbal >= -600")
         .select(
             F.when(number % 3 == 1, F.concat(F.lit(" "), own, F.lit(" "))).otherwise(own).alias("vip_no"),
             F.explode(masters).alias("vip_main_no"),
@@ -219,9 +221,9 @@ def sku(tables: Tables) -> DataFrame:
         F.array(
             _version("old ", "", F.lit("1999-01-01").cast("date"), F.col("p_size") != 23),
             _version("", "", current, F.col("p_size") != 23),
-            _version("", "tie", current, (F.col("p_size") != 23) & (key % 97 == 0)),
-            _version("twin ", "", current, (F.col("p_size") != 23) & (key % 193 == 0)),
-            _version("undated ", "", F.lit(None).cast("date"), (F.col("p_size") == 23) | (key % 89 == 0)),
+            _version("", "tie", current, F.col("p_size") == 24),
+            _version("twin ", "", current, F.col("p_size") == 25),
+            _version("undated ", "", F.lit(None).cast("date"), F.col("p_size").isin(23, 26)),
         )
     )
     return items(tables).withColumn("v", F.explode(versions)).select(
@@ -281,7 +283,7 @@ def stores(tables: Tables) -> DataFrame:
         F.array(
             _version("OLD ", "", F.lit("1999-01-01").cast("date"), F.lit(True)),
             _version("", "", F.lit("2000-03-01").cast("date"), F.lit(True)),
-            _version("", "TIE", F.lit("2000-03-01").cast("date"), F.col("s_suppkey") % 70 == 0),
+            _version("", "TIE", F.lit("2000-03-01").cast("date"), F.col("s_acctbal") >= 8000),
         )
     )
     return shops(tables).withColumn("v", F.explode(versions)).select(
@@ -302,12 +304,12 @@ def brands(tables: Tables) -> DataFrame:
 
 
 def personas(tables: Tables) -> DataFrame:
-    """One cluster id per card number, by market segment; every thirtieth customer has none."""
+    """One cluster id per card number, by market segment; some customers have none."""
     segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     position = F.array_position(F.array(*[F.lit(s) for s in segments]), F.col("c_mktsegment")) - 1
     return (
         tables["customer"]
-        .where(F.col("c_custkey") % 30 != 2)
+        .where("c_acctbal NOT BETWEEN 2000 AND 2400")
         .select(F.concat(F.lit("V"), F.col("c_custkey").cast("string")).alias("vip_main_no"), position.cast("int").alias("persona"))
     )
 
