@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def quoted(name: str) -> str:
+    """A name for use in expression text; category values in names may hold dots and spaces."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def named(name: str) -> Column:
-    """A column by its literal name; category values in names may hold dots and spaces."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """A column by its literal name."""
+    return F.col(quoted(name))
 
 
 def trim_strings(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmart.functions.columns import named
+from segmart.functions.columns import named, quoted
 
 CUSTOMER = "vip_main_no"
 MAX_CATEGORIES = 10_000
@@ -22,9 +22,15 @@ def distinct_values(df: DataFrame, column: str, max_values: int = MAX_CATEGORIES
 
 
 def _pivot_sum(df: DataFrame, feature: str, values: Sequence, measure: str, key: str) -> DataFrame:
-    """Sums by (key, feature) first, spread into columns after; 0 where a customer has none."""
-    wide = df.groupBy(key).pivot(feature, list(values)).agg(F.sum(measure))
-    return wide.select(key, *[F.coalesce(named(str(v)), F.lit(0)).alias(str(v)) for v in values])
+    """Sums as one column per value; 0 where a customer has none.
+
+    Rows are summed by (customer, value) first, which also splits a customer with very many of
+    them. Those narrow rows, at most one per value, then move to their customer before they become
+    columns: a plain pivot would shuffle one wide, mostly empty row for each of them.
+    """
+    sums = df.groupBy(key, named(feature).alias("__value")).agg(F.sum(measure).alias("__sum"))
+    wide = sums.repartition(key).groupBy(key).pivot("__value", list(values)).agg(F.sum("__sum"))
+    return wide.na.fill(0)
 
 
 def count_encoding(
@@ -40,8 +46,7 @@ def count_encoding(
     present = df.where(named(feature).isNotNull() & (named(feature) != ""))
     if values is None:
         values = distinct_values(present, feature)
-    wide = _pivot_sum(present, feature, values, measure, key)
-    return wide.select(key, *[named(v).alias(f"{prefix}{v}{postfix}") for v in values])
+    return _pivot_sum(present, feature, values, measure, key).toDF(key, *[f"{prefix}{v}{postfix}" for v in values])
 
 
 def share_of_wallet(
@@ -56,10 +61,11 @@ def share_of_wallet(
     if values is None:
         values = distinct_values(df, by)
     wide = _pivot_sum(df, by, values, measure, key)
-    parts = [named(v) for v in values]
-    total = sum(parts[1:], parts[0]).cast("double")
-    shares = [(F.try_divide(named(v).cast("double"), F.col("__sum")) * 100).alias(v + postfix) for v in values]
-    return wide.withColumn("__sum", total).select(key, *shares)
+    total = " + ".join(quoted(v) for v in values)
+    shares = [
+        f"try_divide(cast({quoted(v)} as double), __sum) * 100 AS {quoted(v + postfix)}" for v in values
+    ]
+    return wide.selectExpr("*", f"cast({total} as double) AS __sum").selectExpr(key, *shares)
 
 
 def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -101,9 +101,7 @@ def drop_net_zero(
     in a single task as a window over the order would do. The totals also count the lines, which
     tells the join which orders to spread.
     """
-    totals = lines.groupBy(order_key).agg(F.sum(qty).alias("__total"), F.count(F.lit(1)).alias("__lines"))
-    kept = totals.where("__total != 0")
-    fanout = kept.where(F.col("__lines") > rows_per_task).select(
-        order_key, F.ceil(F.col("__lines") / F.lit(rows_per_task)).cast("int").alias(FANOUT)
-    )
-    return spread_join(lines, kept.select(order_key), [order_key], "left_semi", fanout, [order_key])
+    tasks = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).cast("int")
+    totals = lines.groupBy(order_key).agg(F.sum(qty).alias("__total"), tasks.alias(FANOUT))
+    kept = totals.where("__total != 0").select(order_key, FANOUT)
+    return spread_join(lines, kept, [order_key], "left_semi", kept.where(F.col(FANOUT) > 1), [order_key])

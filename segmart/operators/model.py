@@ -12,6 +12,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from segmart.constants import (
     WCSS_RESTARTS,
     ZERO_SHARE_THRESHOLD,
 )
-from segmart.functions.columns import named
+from segmart.functions.columns import named, quoted
 from segmart.operators.encode import CUSTOMER
 
 VECTOR = "features"
@@ -55,12 +56,14 @@ def feature_names(df: DataFrame, key: str = CUSTOMER) -> list[str]:
 
 def zero_share(df: DataFrame, key: str = CUSTOMER) -> DataFrame:
     """(feature, zero_share) of every feature in one pass; null counts as zero."""
-    shares = [
-        F.avg(F.when(F.coalesce(named(c).cast("double"), F.lit(0.0)) == 0, 1.0).otherwise(0.0)).alias(c)
-        for c in feature_names(df, key)
-    ]
-    wide = df.agg(*shares)
-    return wide.unpivot([], [named(c) for c in wide.columns], "feature", "zero_share")
+    counted = Summarizer.metrics("count", "numNonZeros").summary(F.col(VECTOR)).alias("s")
+    shares = assemble(df, key).select(counted).select(
+        F.posexplode(vector_to_array("s.numNonZeros")).alias("position", "filled"), F.col("s.count").alias("n")
+    )
+    names = F.array(*[F.lit(c) for c in feature_names(df, key)])
+    return shares.select(
+        F.get(names, F.col("position")).alias("feature"), ((F.col("n") - F.col("filled")) / F.col("n")).alias("zero_share")
+    )
 
 
 def keep_features(
@@ -72,31 +75,31 @@ def keep_features(
     """Drop the features that are mostly zero or whose name contains a stopword (case matters)."""
     sparse = {row["feature"] for row in zero_share(df, key).where(F.col("zero_share") >= threshold).collect()}
     kept = [c for c in feature_names(df, key) if c not in sparse and not any(word in c for word in stopwords)]
-    return df.select(key, *[named(c) for c in kept])
+    return df.selectExpr(key, *[quoted(c) for c in kept])
 
 
 def standardise(df: DataFrame, key: str = CUSTOMER) -> DataFrame:
     """(x - mean) / population deviation per feature; a constant feature becomes 0."""
     names = feature_names(df, key)
-    statistics = []
-    for i, c in enumerate(names):
-        value = F.coalesce(named(c).cast("double"), F.lit(0.0))
-        statistics += [F.avg(value).alias(f"m{i}"), F.stddev_pop(value).alias(f"s{i}")]
-    row = df.agg(*statistics).first()
-
-    def scaled(i: int, c: str):
-        if not row[f"s{i}"]:
-            return F.lit(0.0).alias(c)
-        value = F.coalesce(named(c).cast("double"), F.lit(0.0))
-        return ((value - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"])).alias(c)
-
-    return df.select(key, *[scaled(i, c) for i, c in enumerate(names)])
+    summary = assemble(df, key).select(
+        Summarizer.metrics("count", "mean", "variance").summary(F.col(VECTOR)).alias("s")
+    ).first()["s"]
+    to_population = (summary["count"] - 1) / summary["count"] if summary["count"] else 0.0
+    means, deviations = summary["mean"].toArray(), np.sqrt(summary["variance"].toArray() * to_population)
+
+    scaled = [
+        f"(coalesce(cast({quoted(c)} as double), 0D) - {mean!r}D) / {deviation!r}D AS {quoted(c)}"
+        if deviation
+        else f"0D AS {quoted(c)}"
+        for c, mean, deviation in zip(names, means.tolist(), deviations.tolist())
+    ]
+    return df.selectExpr(key, *scaled)
 
 
 def assemble(df: DataFrame, key: str = CUSTOMER) -> DataFrame:
-    """(key, features vector)."""
+    """(key, features vector); null becomes 0."""
     names = feature_names(df, key)
-    safe = df.select(key, *[named(c).cast("double").alias(f"f{i}") for i, c in enumerate(names)])
+    safe = df.selectExpr(key, *[f"coalesce(cast({quoted(c)} as double), 0D) AS f{i}" for i, c in enumerate(names)])
     assembler = VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol=VECTOR)
     return assembler.transform(safe).select(key, VECTOR)
 

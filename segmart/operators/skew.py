@@ -78,32 +78,28 @@ def salted_join(
     if not hot:
         return facts.join(lookup, list(on), how)
     types = {field.name: field.dataType for field in facts.schema.fields}
-    lookup = lookup.withColumns({key: named(key).cast(types[key]) for key in on})
+    lookup = lookup.withColumns({key: named(key).cast(types[key]) for key in on}).withColumn(_HASH, key_hash(on))
     fanout = facts.sparkSession.createDataFrame(list(hot.items()), f"{_HASH} long, {FANOUT} int")
-    joined = spread_join(
-        facts.withColumn(_HASH, key_hash(on)), lookup.withColumn(_HASH, key_hash(on)), on, how, fanout, [_HASH]
-    )
-    return joined.drop(_HASH)
+    with_fanout = lookup.join(F.broadcast(fanout), _HASH, "left").drop(_HASH)
+    return spread_join(facts.withColumn(_HASH, key_hash(on)), with_fanout, on, how, fanout, [_HASH]).drop(_HASH)
 
 
 def spread_join(
     facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str, fanout: DataFrame, fanout_on: Sequence[str]
 ) -> DataFrame:
-    """Equi-join spread by ``fanout``: one row per hot key with the number of tasks to use.
+    """Equi-join spread by a ``FANOUT`` column: the number of tasks for a key, 1 or null for most.
 
-    ``fanout`` must be bounded, as it is broadcast: a key gets in only with more than
-    ``ROWS_PER_TASK`` rows, so it has at most (rows / ROWS_PER_TASK) of them. The salt is a hash of
-    the whole row, hence the same when a lost task is run again; only the lookup rows of hot keys
-    are repeated.
+    ``lookup`` carries it and ``fanout`` lists it for the hot keys of ``facts``. That list is
+    broadcast, and bounded: a key gets in only with more than ``ROWS_PER_TASK`` rows, so it has at
+    most (rows / ROWS_PER_TASK) of them. The salt is a hash of the whole row, hence the same when a
+    lost task is run again; only the lookup rows of hot keys are repeated.
     """
-    fanout, fanout_on = F.broadcast(fanout), list(fanout_on)
     row_hash = F.xxhash64(*[named(c) for c in facts.columns])
     salt = F.when(named(FANOUT).isNotNull(), F.pmod(row_hash, named(FANOUT)).cast("int")).otherwise(F.lit(0))
-    spread = facts.join(fanout, fanout_on, "left").withColumn(_SALT, salt).drop(FANOUT)
+    spread = facts.join(F.broadcast(fanout), list(fanout_on), "left").withColumn(_SALT, salt).drop(FANOUT)
     salts = F.sequence(F.lit(0), F.coalesce(named(FANOUT), F.lit(1)) - 1)
-    repeated = lookup.join(fanout, fanout_on, "left").withColumn(_SALT, F.explode(salts)).drop(FANOUT)
-    extra = [c for c in fanout_on if c not in on]
-    return spread.join(repeated.drop(*extra), [*on, _SALT], how).drop(_SALT)
+    repeated = lookup.withColumn(_SALT, F.explode(salts)).drop(FANOUT)
+    return spread.join(repeated, [*on, _SALT], how).drop(_SALT)
 
 
 def lookup_join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmart.functions.columns import named
+from segmart.functions.columns import named, quoted
 from segmart.operators import model
 from segmart.operators.clean import clean_for_features
 from segmart.operators.customer import (
@@ -49,9 +49,9 @@ def shares(mart: m.Mart, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(
+    return df.selectExpr(
         *[
-            F.round(named(name), digits).alias(name) if kind == "double" else named(name)
+            f"round({quoted(name)}, {digits}) AS {quoted(name)}" if kind == "double" else quoted(name)
             for name, kind in df.dtypes
         ]
     )

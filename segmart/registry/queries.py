@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from segmart.functions.columns import named
+from segmart.functions.columns import quoted
 from segmart.registry import datamart, features, reports
 from segmart.registry.mart import Mart, mart
 
@@ -17,14 +17,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles and dates as text, the forms every engine prints alike."""
 
-    def column(field: T.StructField):
+    def column(field: T.StructField) -> str:
         if isinstance(field.dataType, T.DecimalType):
-            return named(field.name).cast("double").alias(field.name)
+            return f"cast({quoted(field.name)} as double) AS {quoted(field.name)}"
         if isinstance(field.dataType, T.DateType):
-            return named(field.name).cast("string").alias(field.name)
-        return named(field.name)
+            return f"cast({quoted(field.name)} as string) AS {quoted(field.name)}"
+        return quoted(field.name)
 
-    return df.select(*[column(field) for field in df.schema.fields])
+    return df.selectExpr(*[column(field) for field in df.schema.fields])
 
 
 def _registered(build: Callable[[Mart], DataFrame]) -> Query:
