@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmart.functions.columns import named, quoted
@@ -80,12 +80,16 @@ def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]]) -> DataFrame
 
 
 def collect_values(df: DataFrame, feature: str, key: str = CUSTOMER) -> DataFrame:
-    """Every value a customer bought, repeats included, in sorted order.
+    """The values a customer bought, sorted, each with the number of its lines.
 
-    Equal values are counted before the shuffle and repeated afterwards, so what is gathered per
-    customer is one entry per distinct value. The list itself is the result and is not cut.
+    Equal values are counted before the shuffle, so an entry stands for any number of lines and an
+    array holds at most every value of the category.
     """
-    counted = df.where(named(feature).isNotNull()).groupBy(key, feature).agg(F.count(F.lit(1)).cast("int").alias("__n"))
-    entries = F.sort_array(F.collect_list(F.struct(named(feature).alias("v"), F.col("__n").alias("n"))))
-    repeated = F.flatten(F.transform(entries, lambda e: F.array_repeat(e["v"], e["n"])))
-    return counted.groupBy(key).agg(repeated.alias(feature))
+    counted = df.where(named(feature).isNotNull()).groupBy(key, feature).agg(F.count(F.lit(1)).alias("__n"))
+    entry = F.struct(named(feature).alias("value"), F.col("__n").alias("lines"))
+    return counted.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias(feature))
+
+
+def repeated_values(entries: Column) -> Column:
+    """The plain list: every value as often as it has lines."""
+    return F.flatten(F.transform(entries, lambda e: F.array_repeat(e["value"], e["lines"].cast("int"))))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmart.functions.columns import lenient_cast, named, trim_strings
-from segmart.operators.skew import FANOUT, ROWS_PER_TASK, lookup_join, spread_join
+from segmart.operators import skew
+from segmart.operators.skew import FANOUT, lookup_join, spread_join
 
 MONEY = "decimal(18,2)"
 # The rounding of the original reports: whole currency units per line.
@@ -93,7 +94,7 @@ def resolve_master(
 
 
 def drop_net_zero(
-    lines: DataFrame, order_key: str = ORDER_KEY, qty: str = "sold_qty", rows_per_task: int = ROWS_PER_TASK
+    lines: DataFrame, order_key: str = ORDER_KEY, qty: str = "sold_qty", rows_per_task: int | None = None
 ) -> DataFrame:
     """Drop the orders whose total quantity over all given lines is zero or unknown.
 
@@ -101,7 +102,7 @@ def drop_net_zero(
     in a single task as a window over the order would do. The totals also count the lines, which
     tells the join which orders to spread.
     """
-    tasks = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).cast("int")
+    tasks = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task or skew.ROWS_PER_TASK)).cast("int")
     totals = lines.groupBy(order_key).agg(F.sum(qty).alias("__total"), tasks.alias(FANOUT))
     kept = totals.where("__total != 0").select(order_key, FANOUT)
     return spread_join(lines, kept, [order_key], "left_semi", kept.where(F.col(FANOUT) > 1), [order_key])

@@ -30,13 +30,14 @@ def key_hash(keys: Sequence[str]) -> Column:
 
 
 def hot_keys(
-    df: DataFrame, key_sets: Mapping[str, Sequence[str]], rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, key_sets: Mapping[str, Sequence[str]], rows_per_task: int | None = None
 ) -> dict[str, dict[int, int]]:
     """For every key set: hash of each key above ``rows_per_task`` rows -> tasks to spread it over.
 
     One column-pruned pass for all key sets. The sketch keeps at most ``TRACKED_KEYS`` entries,
     so nothing is grouped or shuffled; a miscounted key costs time, never rows.
     """
+    rows_per_task = rows_per_task or ROWS_PER_TASK
     sketches = []
     for name, keys in key_sets.items():
         hashed = ", ".join("`" + key.replace("`", "``") + "`" for key in keys)
@@ -109,14 +110,15 @@ def lookup_join(
     how: str = "left",
     hot: Mapping[int, int] | None = None,
     hot_from: DataFrame | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` with a lookup table: broadcast if its measured bytes allow it, else salted.
 
     Hot keys are measured on ``hot_from`` (say, the stored table ``facts`` was derived from) or on
     ``facts`` itself, and only when they are needed and not given.
     """
-    if measured_bytes(lookup) <= broadcast_bytes:
+    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    if measured_bytes(lookup) <= limit:
         return facts.join(F.broadcast(lookup), list(on), how)
     if hot is None:
         hot = hot_keys(facts if hot_from is None else hot_from, {"key": on})["key"]

@@ -53,7 +53,25 @@ class Datamart:
     item_tags: DataFrame
 
 
-def transactions(warehouse: Warehouse, settings: DatamartSettings) -> DataFrame:
+@dataclass(frozen=True)
+class Lookups:
+    """Current item, sub category and store descriptions."""
+
+    sku: DataFrame
+    subcat: DataFrame
+    store: DataFrame
+
+
+def current_lookups(warehouse: Warehouse, settings: DatamartSettings) -> Lookups:
+    """The lookups, small against the lines. Stored, they are measured and joined without rework."""
+    return Lookups(
+        sku=materialise(sku_table(warehouse.sku, warehouse.maincat), "sku"),
+        subcat=materialise(subcat_table(warehouse.subcat), "subcat"),
+        store=materialise(store_table(warehouse.stores, settings.house_brand), "store"),
+    )
+
+
+def transactions(warehouse: Warehouse, lookups: Lookups, settings: DatamartSettings) -> DataFrame:
     """The valid, enriched sales lines of the house brand in the date range.
 
     Order totals see every line of the orders concerned; the date, brand and validity filters
@@ -67,16 +85,12 @@ def transactions(warehouse: Warehouse, settings: DatamartSettings) -> DataFrame:
     near = lines_near(raw, materialise(shops_in_scope(raw, in_scope), "shops")).distinct()
     lines = drop_net_zero(resolve_master(near, warehouse.cards, hot_from=raw))
     valid = valid_lines(lines.where(in_scope), settings.rules)
-    # The lookups are small against the lines; stored, they are measured and joined without rework.
-    sku = materialise(sku_table(warehouse.sku, warehouse.maincat), "sku")
-    subcat = materialise(subcat_table(warehouse.subcat), "subcat")
-    store = materialise(store_table(warehouse.stores, settings.house_brand), "store")
-    return enrich(valid, sku, subcat, store, hot_from=raw)
+    return enrich(valid, lookups.sku, lookups.subcat, lookups.store, hot_from=raw)
 
 
 def build_datamart(warehouse: Warehouse, settings: DatamartSettings) -> Datamart:
     """All stage-1 tables; the transactions are stored once and the item tags derive from them."""
-    transaction = materialise(transactions(warehouse, settings), "transaction")
+    transaction = materialise(transactions(warehouse, current_lookups(warehouse, settings), settings), "transaction")
     return Datamart(
         transaction=transaction,
         demographic=card_demographics(warehouse.cards),

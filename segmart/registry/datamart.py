@@ -25,11 +25,10 @@ def latest_orders(mart: Mart) -> DataFrame:
 
 
 def enriched(mart: Mart) -> DataFrame:
-    source = mart.warehouse
+    """Every line of the house brand with its descriptions."""
     house = resolved(mart).where(F.col("shop_brand") == retail.HOUSE_BRAND)
-    return enrich(
-        house, sku_table(source.sku, source.maincat), subcat_table(source.subcat), store_table(source.stores, retail.HOUSE_BRAND)
-    )
+    lookups = mart.lookups
+    return enrich(house, lookups.sku, lookups.subcat, lookups.store, hot_from=mart.warehouse.sales)
 
 
 def whole_unit_amounts(mart: Mart) -> DataFrame:

@@ -16,7 +16,7 @@ from segmart.operators.customer import (
     transactional,
     visits,
 )
-from segmart.operators.encode import CUSTOMER, collect_values, count_encoding, share_of_wallet
+from segmart.operators.encode import CUSTOMER, collect_values, count_encoding, repeated_values, share_of_wallet
 from segmart.operators.tags import attach_tags, tag_items
 from segmart.plans.features import BRAND, MAINCAT, SUBCAT, demographic_features
 from segmart.registry import mart as m
@@ -124,7 +124,9 @@ QUERIES = {
     "share_of_wallet_subcat": lambda t: rounded(shares(t, "subcat")),
     "share_of_wallet_maincat": lambda t: rounded(shares(t, "maincat")),
     "share_of_wallet_brand": lambda t: rounded(shares(t, "brand")),
-    "collect_values": lambda t: collect_values(t.clean, SUBCAT).withColumn(SUBCAT, F.array_join(SUBCAT, "|")),
+    "collect_values": lambda t: collect_values(t.clean, SUBCAT).withColumn(
+        SUBCAT, F.array_join(repeated_values(F.col(SUBCAT)), "|")
+    ),
     "tenure_bands": lambda t: tenure(t.first_purchase, retail.AS_OF),
     "demographics": lambda t: demographics(t.clean, tenure(t.first_purchase, retail.AS_OF)),
     "one_hot_demographics": lambda t: demographic_features(

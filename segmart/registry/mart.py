@@ -10,7 +10,7 @@ from segmart.operators import model
 from segmart.operators.cards import first_purchase
 from segmart.operators.clean import clean_for_features
 from segmart.operators.tags import tag_items
-from segmart.plans.datamart import Warehouse, transactions
+from segmart.plans.datamart import Lookups, Warehouse, current_lookups, transactions
 from segmart.plans.features import BRAND, MAINCAT, SUBCAT, purchase_totals
 from segmart.plans.reports import SegmentReports
 from segmart.session import materialise
@@ -64,9 +64,13 @@ class Mart:
     def warehouse(self) -> Warehouse:
         return retail.warehouse(self.tables)
 
+    @cached_property
+    def lookups(self) -> Lookups:
+        return current_lookups(self.warehouse, retail.DATAMART)
+
     @cached_property
     def transaction(self) -> DataFrame:
-        return materialise(transactions(self.warehouse, retail.DATAMART), "transaction")
+        return materialise(transactions(self.warehouse, self.lookups, retail.DATAMART), "transaction")
 
     @cached_property
     def first_purchase(self) -> DataFrame:

@@ -11,7 +11,7 @@ from segmart.functions.columns import trim_strings
 from segmart.operators import cohort, cross
 from segmart.operators.clean import clean_for_features, clean_for_profiling
 from segmart.operators.customer import demographics, price_point, tenure, transactional, visits
-from segmart.operators.encode import collect_values, count_encoding, distinct_values, one_hot, share_of_wallet
+from segmart.operators.encode import collect_values, count_encoding, distinct_values, one_hot, repeated_values, share_of_wallet
 from segmart.operators.enrich import ValidRules, enrich, store_table, valid_lines
 from segmart.operators.lines import MONEY, WHOLE_MONEY, build_lines, drop_net_zero, resolve_master
 from segmart.operators.pivot import category_pivot, segment_pivot
@@ -273,7 +273,9 @@ def test_one_hot_null_sets_nothing(spark):
 
 def test_collect_values_keeps_repeats(spark):
     df = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "y"), ("b", None)], "vip_main_no string, cat string")
-    assert values(collect_values(df, "cat"), "vip_main_no", "cat") == [("a", ["x", "y", "y"])]
+    collected = collect_values(df, "cat")
+    assert [(e["value"], e["lines"]) for e in collected.first()["cat"]] == [("x", 1), ("y", 2)]
+    assert values(collected.withColumn("cat", repeated_values(F.col("cat"))), "vip_main_no", "cat") == [("a", ["x", "y", "y"])]
 
 
 def test_price_point_borders(spark):
