@@ -49,9 +49,10 @@ def shares(mart: m.Mart, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded for comparison; adding zero turns a negative zero into zero."""
     return df.selectExpr(
         *[
-            f"round({quoted(name)}, {digits}) AS {quoted(name)}" if kind == "double" else quoted(name)
+            f"round({quoted(name)}, {digits}) + 0D AS {quoted(name)}" if kind == "double" else quoted(name)
             for name, kind in df.dtypes
         ]
     )
