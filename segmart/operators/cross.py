@@ -79,9 +79,11 @@ def cross_class_sum(
     pairs = tagged.select(tag, "entries", F.explode("entries").alias("x")).select(
         tag, "x", F.explode("entries").alias("y")
     )
-    product = F.col("y.n") * F.col("x.s") + F.col("x.n") * F.col("y.s")
+    # Counts times sums of a very active customer do not fit a long.
+    wide = {c: F.col(c).cast("decimal(19,0)") for c in ("x.n", "x.s", "y.n", "y.s")}
+    product = wide["y.n"] * wide["x.s"] + wide["x.n"] * wide["y.s"]
     return pairs.groupBy(tag, F.col("x.class").alias("class_x"), F.col("y.class").alias("class_y")).agg(
-        F.sum(product.cast("decimal(38,0)")).alias("total")
+        F.sum(product).cast("decimal(38,0)").alias("total")
     )
 
 

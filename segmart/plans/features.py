@@ -65,7 +65,8 @@ def build_features(datamart: Datamart, settings: FeatureSettings) -> dict[str, D
     values = category_values(totals, settings)
     per_item = totals.groupBy(CUSTOMER, "item_desc").agg(F.sum("sold_qty").alias("sold_qty"))
     tagged = attach_tags(per_item, datamart.item_tags, fan_out=settings.fan_out)
-    spending = transactional(clean, settings.visit_start, settings.visit_end)
+    # Stored, as the cutoffs are read from it before the bands are set.
+    spending = materialise(transactional(clean, settings.visit_start, settings.visit_end), "spending")
     return {
         "subcat": count_encoding(totals, SUBCAT, values[SUBCAT], prefix="subcat_"),
         "maincat": count_encoding(totals, MAINCAT, values[MAINCAT], prefix="maincat_"),

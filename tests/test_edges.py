@@ -317,3 +317,12 @@ def test_cross_class_sum_equals_line_pairs(spark):
     tags = segments(spark, ("1", "S", "S"), ("2", "S", "S"))
     found = {(r["class_x"], r["class_y"]): int(r["total"]) for r in cross.cross_class_sum(cross_lines(spark, *rows), tags).collect()}
     assert found == expected
+
+
+def test_cross_class_sum_of_huge_values(spark):
+    big = 4_000_000_000_000_000_000
+    lines = spark.createDataFrame([("1", "A", big), ("1", "B", 1), ("1", "B", 1), ("1", "B", 1)], "vip_main_no string, maincat_desc_cleaned string, sold_qty long")
+    tags = segments(spark, ("1", "S", "S"))
+    found = {(r["class_x"], r["class_y"]): int(r["total"]) for r in cross.cross_class_sum(lines, tags).collect()}
+    assert found["A", "B"] == 3 * big + 3
+    assert found["All", "All"] == 2 * 4 * (big + 3)
