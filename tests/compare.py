@@ -7,6 +7,7 @@ import math
 import duckdb
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES += ["documents", "pages", "labels"]
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
