@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmart.llm import exact, minhash, secrets
+from segmart.llm import bpe, exact, minhash, packing, secrets
 from segmart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,15 @@ def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, folder, "documents"), "byte_bpe_50k.json"))
+
+
+def op5_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, folder, "documents"), "word_bpe_49k.json")
+    return bpe.digest(bpe.decode(encoded, "word_bpe_49k.json"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"))
 
@@ -26,6 +35,8 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_curve_packing": op3_curve_packing,
+    "op5_bpe_automaton": op5_bpe_automaton,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
 }
