@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmart.llm import bpe, exact, minhash, packing, secrets
+from segmart.llm import bpe, exact, minhash, packing, quality, secrets, toxicity
 from segmart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 def op3_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, folder, "documents"), "byte_bpe_50k.json"))
 
@@ -29,15 +34,22 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"))
 
 
+def op8_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.line_quality(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
 def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.secret_scan(table(spark, folder, "documents")))
 
 
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_toxicity_chain": op2_toxicity_chain,
     "op3_curve_packing": op3_curve_packing,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_line_quality": op8_line_quality,
     "op9_secret_scan": op9_secret_scan,
 }
 
