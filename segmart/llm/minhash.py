@@ -137,30 +137,21 @@ def _agreeing(settings: NearSettings):
             )
             passed = pa.array((left == right).sum(axis=1) >= least)
             kept = batch.filter(passed)
-            yield pa.RecordBatch.from_arrays([kept.column(n) for n in range(4)], ["a", "b", "left_doc", "right_doc"])
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
     return agree
 
 
 def _verified(settings: NearSettings):
-    """Links that hold on the full sets. A text whose set is not the expected one belongs to another
-    document of that id and proves nothing."""
+    """Links that hold on the full sets."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray, bytes] | None = None
         for whole in batches:
             for start in range(0, whole.num_rows, _ROW_BATCH):
                 a, b = [], []
                 for row in whole.slice(start, _ROW_BATCH).to_pylist():
-                    if last is None or last[0] != row["left_text"]:
-                        shingles = shingle_set(row["left_text"])
-                        last = row["left_text"], shingles, xxhash.xxh3_128_digest(shingles.tobytes())
-                    right = shingle_set(row["right_text"])
-                    if (
-                        last[2] == row["a"]
-                        and xxhash.xxh3_128_digest(right.tobytes()) == row["b"]
-                        and _linked(last[1], right, settings.percent)
-                    ):
+                    left, right = (np.frombuffer(row[name], np.uint64) for name in ("left_set", "right_set"))
+                    if _linked(left, right, settings.percent):
                         a.append(row["a"])
                         b.append(row["b"])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -206,15 +197,12 @@ def _block_links(settings: NearSettings):
     return links
 
 
-def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``pairs`` with both texts; a text travels once for each pair, hot centres are split by the join."""
-    left = columns_as(docs, left_doc="doc_id", left_text="text")
-    right = columns_as(docs, right_doc="doc_id", right_text="text")
-    return pairs.join(right, "right_doc").join(left, "left_doc").select("a", "b", "left_text", "right_text")
-
-
 def _shingles(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """set_key, shingles of the wanted documents (doc, set_key)."""
+    """set_key, shingles of the wanted documents (doc, set_key).
+
+    The only time that texts are shuffled. A text whose set is not the expected one belongs to another
+    document of that id and is left out.
+    """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -229,8 +217,10 @@ def _shingles(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                     [pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["set_key", "shingles"]
                 )
 
-    texts = wanted.join(columns_as(docs, doc="doc_id", text="text"), "doc").select("set_key", "text")
-    return texts.mapInArrow(expand, "set_key binary, shingles binary")
+    # Never a broadcast, also where the list happens to be short: the plan is the same at every size.
+    texts = columns_as(docs, doc="doc_id", text="text").join(wanted.hint("merge"), "doc").select("set_key", "text")
+    expanded = texts.mapInArrow(expand, "set_key binary, shingles binary")
+    return expanded.groupBy("set_key").agg(F.first("shingles").alias("shingles"))
 
 
 def near_links(docs: DataFrame, classes: DataFrame, settings: NearSettings) -> tuple[DataFrame, DataFrame]:
@@ -248,29 +238,30 @@ def near_links(docs: DataFrame, classes: DataFrame, settings: NearSettings) -> t
     mates = members.groupBy("set_key").agg(F.sum("size").alias("mates"))
     ranked = members.join(mates, "set_key")
     # Ties go to the smallest key.
-    best = ranked.groupBy("bucket").agg(F.min(F.struct(-F.col("mates"), "set_key", "doc")).alias("best"))
-    centres = materialise(best.select("bucket", "best.set_key", "best.doc"), "near-centres")
-    centre = columns_as(centres, bucket="bucket", a="set_key", left_doc="doc")
+    best = ranked.groupBy("bucket").agg(F.min(F.struct(-F.col("mates"), "set_key")).alias("best"))
+    centres = materialise(best.select("bucket", "best.set_key"), "near-centres")
+    centre = columns_as(centres, bucket="bucket", a="set_key")
     pairs = (
         members.join(centre, "bucket")
         .where(F.col("a") != F.col("set_key"))
-        .select("a", F.col("set_key").alias("b"), "left_doc", F.col("doc").alias("right_doc"))
+        .select("a", F.col("set_key").alias("b"))
         .distinct()
     )
     signatures = classes.select("set_key", "signature")
     signed = (
         pairs.join(columns_as(signatures, b="set_key", right_signature="signature"), "b")
         .join(columns_as(signatures, a="set_key", left_signature="signature"), "a")
-        .select("a", "b", "left_doc", "right_doc", "left_signature", "right_signature")
+        .select("a", "b", "left_signature", "right_signature")
     )
-    doc_type = classes.schema["doc"].dataType.simpleString()
-    alike = signed.mapInArrow(
-        _agreeing(settings), f"a binary, b binary, left_doc {doc_type}, right_doc {doc_type}"
+    alike = signed.mapInArrow(_agreeing(settings), "a binary, b binary")
+    sets = materialise(_shingles(members.select("doc", "set_key").distinct(), docs), "near-sets")
+    compared = alike.join(columns_as(sets, b="set_key", right_set="shingles"), "b").join(
+        columns_as(sets, a="set_key", left_set="shingles"), "a"
     )
-    links = materialise(_texts(alike, docs).mapInArrow(_verified(settings), "a binary, b binary"), "near-links")
+    links = materialise(compared.mapInArrow(_verified(settings), "a binary, b binary"), "near-links")
     roots = materialise(components(links), "near-roots")
 
-    more = materialise(_completing(docs, members, centres, roots, settings), "near-more")
+    more = materialise(_completing(sets, members, centres, roots, settings), "near-more")
     if more.isEmpty():
         return links, roots
     every = links.unionByName(more)
@@ -278,7 +269,7 @@ def near_links(docs: DataFrame, classes: DataFrame, settings: NearSettings) -> t
 
 
 def _completing(
-    docs: DataFrame, members: DataFrame, centres: DataFrame, roots: DataFrame, settings: NearSettings
+    sets: DataFrame, members: DataFrame, centres: DataFrame, roots: DataFrame, settings: NearSettings
 ) -> DataFrame:
     """Links (a, b) that the centres did not show, a spanning forest for each block of a bucket."""
     placed = members.join(columns_as(roots, set_key="node", known="root"), "set_key", "left").withColumn(
@@ -290,7 +281,7 @@ def _completing(
     centre = centre.select("bucket", "centre", F.coalesce("centre_known", "centre").alias("centre_root"))
     # The centre was compared with everyone. Buckets in which all others are of its component are done.
     rest = placed.join(centre, "bucket").where(F.col("set_key") != F.col("centre"))
-    rest = rest.select("bucket", "set_key", "doc", "root", (F.col("root") != F.col("centre_root")).alias("outside"))
+    rest = rest.select("bucket", "set_key", "root", (F.col("root") != F.col("centre_root")).alias("outside"))
     state = rest.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("others"),
         F.sum(F.col("outside").cast("long")).alias("outsiders"),
@@ -305,7 +296,6 @@ def _completing(
         F.ceil(F.col("outsiders") / size).cast("int").alias("asking_blocks"),
     )
     asked = materialise(rest.join(undecided, "bucket"), "near-undecided")
-    sets = _shingles(asked.select("doc", "set_key").distinct(), docs)
 
     def blocks(df: DataFrame, own: str, others: str, asks: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("set_key"), named(own)).cast("int")

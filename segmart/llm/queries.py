@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmart.llm import bpe, exact, minhash, packing, quality, secrets, toxicity
+from segmart.llm import bpe, exact, minhash, packing, pii, quality, secrets, toxicity
 from segmart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op3_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, folder, "documents"), "byte_bpe_50k.json"))
 
 
+def op4_pii_feistel(spark: SparkSession, folder: str) -> DataFrame:
+    # A sample key; production passes its own.
+    return pii.pseudonymise(table(spark, folder, "documents"), "sample-key").drop("found")
+
+
 def op5_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     encoded = bpe.encode(table(spark, folder, "documents"), "word_bpe_49k.json")
     return bpe.digest(bpe.decode(encoded, "word_bpe_49k.json"))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity_chain": op2_toxicity_chain,
     "op3_curve_packing": op3_curve_packing,
+    "op4_pii_feistel": op4_pii_feistel,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_line_quality": op8_line_quality,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +30,15 @@ OVERALL = "toxic"
 class ToxicSettings:
     """``sample_rows`` labelled documents are what the chain is fitted on."""
 
-    sample_rows: int = 6000
-    vocabulary: int = 200
+    sample_rows: int = 8000
+    # Features: words by presence, and beginnings of words by their share, for compounding languages.
+    words: int = 80
+    prefixes: int = 100
+    prefix_lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
+    # A share of one in this many words counts in full.
+    full_share: int = 50
     least_documents: int = 5
-    folds: int = 5
+    folds: int = 4
     penalty: float = 1.0
     threshold: float = 0.5
     seed: int = 3
@@ -41,14 +46,20 @@ class ToxicSettings:
 
 @dataclass(frozen=True)
 class Chain:
-    """``models``: category -> weights of the words, then of the earlier categories, then the constant."""
+    """``models``: category -> weights of the features, then of the earlier categories, then the constant."""
 
     words: tuple[str, ...]
+    prefixes: tuple[str, ...]
     models: dict[str, np.ndarray]
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+def words_of(text: str | None) -> dict[str, int]:
+    """The distinct words of a text, lower case, with their numbers."""
+    return Counter(_WORD.findall((text or "").lower()))
+
+
+def prefixes_of(words: Iterable[str], lengths: Sequence[int]) -> set[str]:
+    return {word[:n] for word in words for n in lengths if len(word) > n}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -92,24 +103,45 @@ def fit_chain(x: np.ndarray, targets: Mapping[str, np.ndarray], settings: ToxicS
     return models
 
 
-def select_words(documents: Sequence[set[str]], y: np.ndarray, settings: ToxicSettings) -> tuple[str, ...]:
-    """Words that tell most between the classes: by the log-odds of presence times its square root of documents."""
-    toxic = Counter(word for words, label in zip(documents, y, strict=True) if label for word in words)
-    clean = Counter(word for words, label in zip(documents, y, strict=True) if not label for word in words)
-    n_toxic, n_clean = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
+def telling(documents: Iterable[tuple[float, Iterable[str]]], least: int, count: int) -> tuple[str, ...]:
+    """Features that tell most between the classes: log-odds of presence times the root of their toxic documents."""
+    seen = {0.0: Counter(), 1.0: Counter()}
+    sizes = Counter()
+    for label, features in documents:
+        seen[label].update(features)
+        sizes[label] += 1
+    clean, toxic = seen[0.0], seen[1.0]
     scores = {
-        word: (np.log((count + 0.5) / n_toxic) - np.log((clean[word] + 0.5) / n_clean)) * np.sqrt(count)
-        for word, count in toxic.items()
-        if count >= settings.least_documents
+        name: np.log((n + 0.5) / sizes[1.0] * sizes[0.0] / (clean[name] + 0.5)) * np.sqrt(n)
+        for name, n in toxic.items()
+        if n >= least
     }
-    return tuple(sorted(scores, key=lambda word: (-scores[word], word))[: settings.vocabulary])
-
-
-def presence(documents: Sequence[set[str]], words: Sequence[str]) -> np.ndarray:
-    place = {word: i for i, word in enumerate(words)}
-    x = np.zeros((len(documents), len(words)))
+    return tuple(sorted(scores, key=lambda name: (-scores[name], name))[:count])
+
+
+def features(
+    documents: Iterable[Mapping[str, int]],
+    rows: int,
+    words: Sequence[str],
+    prefixes: Sequence[str],
+    settings: ToxicSettings,
+) -> np.ndarray:
+    word_place = {word: i for i, word in enumerate(words)}
+    prefix_place = {prefix: len(words) + i for i, prefix in enumerate(prefixes)}
+    heads = {prefix[: min(settings.prefix_lengths)] for prefix in prefixes}
+    shortest = min(settings.prefix_lengths)
+    x = np.zeros((rows, len(words) + len(prefixes)))
     for row, document in zip(x, documents, strict=True):
-        row[[place[word] for word in document if word in place]] = 1
+        for word, count in document.items():
+            if word in word_place:
+                row[word_place[word]] = 1
+            if word[:shortest] in heads:
+                for n in settings.prefix_lengths:
+                    if len(word) > n and word[:n] in prefix_place:
+                        row[prefix_place[word[:n]]] += count
+        total = sum(document.values())
+        if total:
+            row[len(words) :] = np.minimum(1, row[len(words) :] * settings.full_share / total)
     return x
 
 
@@ -127,8 +159,8 @@ def fit(
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [" ".join(sorted(words_of(text))) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], ["label", "words"])
+            listed = [_packed(words_of(text)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(listed, pa.string())], ["label", "words"])
 
     sample = labelled_sample(docs, labels, "toxic", settings.sample_rows, settings.seed)
     rows = sample.selectExpr("cast(label as int) AS label", "text").mapInArrow(distinct, "label int, words string")
@@ -136,16 +168,31 @@ def fit(
     rows = sorted(map(tuple, rows.collect()))
     y = np.array([label for label, _ in rows], float)
     if len(set(y)) < 2:
-        return Chain((), {name: np.array([0.0] * i + [-30.0]) for i, name in enumerate((*categories, OVERALL))})
-    documents = [set(words.split()) for _, words in rows]
-    words = select_words(documents, y, settings)
-    seeded = {name: np.array([not seeds.isdisjoint(d) for d in documents]) * y for name, seeds in
-              ((name, set(seeds)) for name, seeds in categories.items())}
-    return Chain(words, fit_chain(presence(documents, words), seeded | {OVERALL: y}, settings))
+        return Chain((), (), {name: np.array([0.0] * i + [-30.0]) for i, name in enumerate((*categories, OVERALL))})
+    lengths, least = settings.prefix_lengths, settings.least_documents
+    words = telling(((label, _unpacked(packed)) for label, packed in rows), least, settings.words)
+    # Words that tell by themselves leave their beginnings to others.
+    rest = ((label, prefixes_of(_unpacked(packed).keys() - set(words), lengths)) for label, packed in rows)
+    prefixes = telling(rest, least, settings.prefixes)
+    x = features((_unpacked(packed) for _, packed in rows), len(rows), words, prefixes, settings)
+    seeded = {
+        name: y * np.array([any(seed in document for seed in seeds) for document in map(_unpacked, (r[1] for r in rows))])
+        for name, seeds in categories.items()
+    }
+    return Chain(words, prefixes, fit_chain(x, seeded | {OVERALL: y}, settings))
+
+
+def _packed(words: Mapping[str, int]) -> str:
+    return " ".join(f"{word} {count}" for word, count in sorted(words.items()))
+
+
+def _unpacked(packed: str) -> dict[str, int]:
+    parts = packed.split()
+    return dict(zip(parts[::2], map(int, parts[1::2]), strict=True))
 
 
-def predict(chain: Chain, documents: Sequence[set[str]]) -> dict[str, np.ndarray]:
-    x = presence(documents, chain.words)
+def predict(chain: Chain, documents: Sequence[Mapping[str, int]], settings: ToxicSettings) -> dict[str, np.ndarray]:
+    x = features(documents, len(documents), chain.words, chain.prefixes, settings)
     found = {}
     for name, weights in chain.models.items():
         found[name] = _predict(x, weights)
@@ -173,7 +220,7 @@ def toxicity(
         for whole in batches:
             for start in range(0, whole.num_rows, _ROW_BATCH):
                 batch = whole.slice(start, _ROW_BATCH)
-                found = predict(chain, [words_of(text) for text in batch.column(1).to_pylist()])
+                found = predict(chain, [words_of(text) for text in batch.column(1).to_pylist()], settings)
                 flagged = pa.array(found[OVERALL] >= settings.threshold)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), *map(pa.array, found.values()), flagged], ["doc_id", *names, "toxic"]
