@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmart.llm import bpe, exact, minhash, packing, pii, quality, secrets, toxicity
+from segmart.llm import bpe, exact, minhash, packing, pii, quality, secrets, toxicity, warc
 from segmart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"))
 
 
+def op7_warc_chains(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.digest(warc.round_trip(table(spark, folder, "pages")))
+
+
 def op8_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.line_quality(docs, quality.fit(docs, table(spark, folder, "labels")))
@@ -55,10 +59,12 @@ QUERIES: dict[str, Query] = {
     "op4_pii_feistel": op4_pii_feistel,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_warc_chains": op7_warc_chains,
     "op8_line_quality": op8_line_quality,
     "op9_secret_scan": op9_secret_scan,
 }
 
 SQL: dict[str, str] = {
     "op6_exact_dedup": exact.SQL,
+    "op7_warc_chains": warc.SQL,
 }
