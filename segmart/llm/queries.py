@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmart.llm import bpe, exact, minhash, packing, pii, quality, secrets, toxicity, warc
+from segmart.llm import bpe, exact, licenses, minhash, packing, pii, quality, secrets, toxicity, warc
 from segmart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.secret_scan(table(spark, folder, "documents")))
 
 
+def op10_license_compression(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op7_warc_chains": op7_warc_chains,
     "op8_line_quality": op8_line_quality,
     "op9_secret_scan": op9_secret_scan,
+    "op10_license_compression": op10_license_compression,
 }
 
 SQL: dict[str, str] = {
