@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from segmart.llm.common import columns_as, materialise
 
 _ROW_BATCH = 128
-_CACHED_PIECES = 600_000
+_CACHED_PIECES = 1_200_000
 _CACHED_LETTERS = 48
 
 
@@ -67,7 +67,7 @@ class PieceTokenizer:
 
 _RUN_OF_SPACE = re.compile(r"\s\s")
 # A comma or full stop that does not follow a Latin letter or a digit may belong to a longer mark.
-_UNSURE_MARK = re.compile(r"(?:^|[^A-Za-z0-9À-ÖØ-öø-ɏ])[,.](?=\s|\Z)")
+_UNSURE_MARK = re.compile(r"[,.](?<![A-Za-z0-9À-ÖØ-öø-ɏ].)(?=\s|\Z)")
 
 
 def _pieces(text: str) -> list[str]:
