@@ -5,9 +5,9 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from segmart.llm.common import columns_as
 
 _ROW_BATCH = 128
-_CACHED_PIECES = 300_000
+_CACHED_PIECES = 1_000_000
 _CACHED_LETTERS = 48
+# Keys beside the symbols, which have one character each.
+_LABEL, _LAST = "token", "token at the end"
 
 
 class MergeAutomaton:
@@ -39,7 +41,7 @@ class MergeAutomaton:
         self.left: list[int] = [-1] * size
         self.right: list[int] = [-1] * size
         self.lost: dict[tuple[int, int], int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
         for rank, (u_text, v_text) in enumerate(merges):
             u, v, token = vocab[u_text], vocab[v_text], vocab[u_text + v_text]
             if not self._leaves(u, v):
@@ -48,8 +50,18 @@ class MergeAutomaton:
             self.birth[token], self.left[token], self.right[token] = rank, u, v
         made = {u + v for u, v in merges}
         alive = [text for text, token in vocab.items() if text not in made or self.birth[token] >= 0]
-        self.tokens = {text: vocab[text] for text in alive}
-        self.prefixes = {text[:i] for text in alive for i in range(1, len(text) + 1)}
+        # Labels of arcs by their symbols: node[symbol] is the next node, node[_LABEL] the token that ends there.
+        self.labels: dict = {}
+        for text in alive:
+            stem = text.removesuffix(end) if end else text
+            node = self.labels
+            for symbol in stem:
+                node = node.setdefault(symbol, {})
+            if stem == text:
+                node[_LABEL] = vocab[text]
+            if stem != text or not end:
+                node[_LAST] = vocab[text]
+        self.longest = max(map(len, alive))
 
     def _leaves(self, u: int, t: int) -> bool:
         before_u = None
@@ -69,35 +81,36 @@ class MergeAutomaton:
 
     def arc(self, u: int, t: int) -> bool:
         """Does arc t leave the state that u leads to?"""
-        known = self.arcs.get((u, t))
+        known = self.arcs.get(u << 32 | t)
         if known is None:
             if len(self.arcs) > 1_000_000:
                 self.arcs.clear()
-            known = self.arcs[u, t] = self._leaves(u, t)
+            known = self.arcs[u << 32 | t] = self._leaves(u, t)
         return known
 
     def encode(self, word: str) -> list[int]:
         """Ids of a pre-split word in byte symbols. Every prefix has one path, so one token ends at each place."""
-        size, tokens, prefixes, end = len(word), self.tokens, self.prefixes, self.end
-        last = [-1] * (size + 1)
+        size, arcs = len(word), self.arcs
+        last: list[int | None] = [None] * (size + 1)
         width = [0] * (size + 1)
         for start in range(size):
             before = last[start]
-            if start and before < 0:
+            if start and before is None:
                 continue
-            stop = start + 1
-            while stop < size:
-                text = word[start:stop]
-                if text not in prefixes:
+            node, stop = self.labels, start
+            for symbol in word[start : start + self.longest]:
+                node = node.get(symbol)
+                if node is None:
                     break
-                token = tokens.get(text)
-                if token is not None and (not start or self.arc(before, token)):
-                    last[stop], width[stop] = token, stop - start
                 stop += 1
-            else:
-                token = tokens.get(word[start:] + end)
-                if token is not None and (not start or self.arc(before, token)):
-                    last[size], width[size] = token, size - start
+                if last[stop] is None:
+                    token = node.get(_LABEL if stop < size else _LAST)
+                    if token is not None:
+                        leaves = not start or arcs.get(before << 32 | token)
+                        if leaves is None:
+                            leaves = self.arc(before, token)
+                        if leaves:
+                            last[stop], width[stop] = token, stop - start
         ids, place = [], size
         while place:
             ids.append(last[place])
@@ -105,6 +118,22 @@ class MergeAutomaton:
         return ids[::-1]
 
 
+class _Pieces(dict):
+    """piece -> its ids; what is not there is encoded, and kept while there is room."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self._encode(piece)
+        if len(piece) <= _CACHED_LETTERS:
+            if len(self) >= _CACHED_PIECES:
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer file of kind "BPE with word ends".
 
@@ -116,24 +145,21 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            content = json.load(file)
+        content = _content(path)
         model = content["model"]
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.special = {token["content"]: token["id"] for token in content["added_tokens"]}
+        self.special = _special(content)
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        vocab = model["vocab"]
-        self.automaton = MergeAutomaton(vocab, [tuple(m) for m in model["merges"]], model["end_of_word_suffix"] or "")
-        labels = {token: text for text, token in vocab.items()} | {i: text for text, i in self.special.items()}
-        self.labels = [labels.get(i, "").encode() for i in range(max(labels) + 1)]
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.words: dict[str, list[int]] = {}
+        merges = [tuple(merge) for merge in model["merges"]]
+        self.automaton = MergeAutomaton(model["vocab"], merges, model["end_of_word_suffix"] or "")
+        self.pieces = _Pieces(self._piece)
+        self.words: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            ids = self.automaton.encode(word)
+            ids = array("I", self.automaton.encode(word)).tobytes()
             if len(word) <= _CACHED_LETTERS:
                 if len(self.words) >= _CACHED_PIECES:
                     self.words.clear()
@@ -141,32 +167,43 @@ class WordEncoder:
         return ids
 
     def _piece(self, piece: str) -> bytes:
-        ids: list[int] = []
+        if piece.isascii() and piece.isalpha():
+            # Nothing to split or compose: one word, in lower case.
+            return self._word(piece.lower())
+        ids = []
         for part in self.special_pattern.split(piece):
             if part in self.special:
-                ids.append(self.special[part])
+                ids.append(array("I", [self.special[part]]).tobytes())
             elif part:
-                for word, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part)):
-                    ids += self._word(word)
-        packed = np.array(ids, "<u4").tobytes()
-        if len(piece) <= _CACHED_LETTERS:
-            if len(self.pieces) >= _CACHED_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = packed
-        return packed
+                words = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))
+                ids += [self._word(word) for word, _ in words]
+        return b"".join(ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known = self.pieces.get
-        out = []
-        for piece in text.replace("\n", " ").split(" "):
-            packed = known(piece)
-            out.append(self._piece(piece) if packed is None else packed)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+class LabelDecoder:
+    """Emits the labels of the arcs that ids stand for. Without a decoder of its own, a file joins them with blanks."""
+
+    def __init__(self, path: str) -> None:
+        content = _content(path)
+        labels = {token: text for text, token in content["model"]["vocab"].items()}
+        labels |= {token: text for text, token in _special(content).items()}
+        self.labels = [labels.get(i, "").encode() for i in range(max(labels) + 1)]
 
     def decode(self, ids: bytes) -> str:
-        """The labels of the arcs in order. Without a decoder of its own, a file joins them with blanks."""
-        return b" ".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()
+        return b" ".join(map(self.labels.__getitem__, memoryview(ids).cast("I"))).decode()
+
+
+def _content(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+def _special(content: dict) -> dict[str, int]:
+    return {token["content"]: token["id"] for token in content["added_tokens"]}
 
 
 @functools.lru_cache(maxsize=2)
@@ -174,6 +211,11 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+@functools.lru_cache(maxsize=2)
+def decoder(path: str) -> LabelDecoder:
+    return LabelDecoder(path)
+
+
 def _tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -207,7 +249,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """The rows of ``encode`` with their decoded text; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(_tokenizer_path(tokenizer))
+        coder = decoder(_tokenizer_path(tokenizer))
         for whole in batches:
             for start in range(0, whole.num_rows, _ROW_BATCH):
                 batch = whole.slice(start, _ROW_BATCH)
