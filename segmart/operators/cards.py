@@ -45,5 +45,5 @@ def first_purchase(sales: DataFrame, cards: DataFrame, brand: str) -> DataFrame:
     return (
         per_card.join(card_masters(cards), "vip_no", "left")
         .groupBy(F.coalesce("vip_main_no", "vip_no").alias("vip_main_no"))
-        .agg(F.min("first_date").alias("first_pur_jb"))
+        .agg(F.min("first_date").alias("first_purchase_date"))
     )

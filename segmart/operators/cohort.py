@@ -17,9 +17,9 @@ from segmart.operators.skew import lookup_join
 
 def new_joiner(first_purchase: DataFrame, cutoff: str) -> DataFrame:
     """1 when the first purchase is on or after the cutoff, else 0 (also when unknown)."""
-    joined = F.col("first_pur_jb") >= F.lit(cutoff).cast("date")
+    joined = F.col("first_purchase_date") >= F.lit(cutoff).cast("date")
     return first_purchase.select(
-        CUSTOMER, "first_pur_jb", F.when(joined, F.lit(1)).otherwise(F.lit(0)).alias("new_joiner_flag")
+        CUSTOMER, "first_purchase_date", F.when(joined, F.lit(1)).otherwise(F.lit(0)).alias("new_joiner_flag")
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from segmart.constants import CROSS_CLASS_EXCLUDED
 from segmart.functions.columns import named
-from segmart.operators.encode import CUSTOMER
+from segmart.operators.encode import CUSTOMER, distinct_values
 from segmart.operators.segment import SEGMENT
 
 MARGIN = "All"
@@ -94,3 +94,17 @@ def as_matrix(long: DataFrame, segment: str, classes: Sequence[str], value: str,
         for c in [*classes, MARGIN]
     ]
     return long.where(named(tag) == segment).groupBy("class_x").agg(*cells)
+
+
+def as_matrices(long: DataFrame, value: str, classes: Sequence[str] | None = None, tag: str = SEGMENT) -> DataFrame:
+    """Every segment's class x class table, one below the other; columns for all classes that occur.
+
+    Classes are a catalogue's, so their list is short; given ones save the query for it.
+    """
+    if classes is None:
+        classes = [c for c in distinct_values(long, "class_y") if c != MARGIN]
+    cells = [
+        F.coalesce(F.sum(F.when(F.col("class_y") == F.lit(c), named(value))), F.lit(0)).alias(c)
+        for c in [*classes, MARGIN]
+    ]
+    return long.groupBy(tag, "class_x").agg(*cells)

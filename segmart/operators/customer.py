@@ -34,9 +34,9 @@ def tenure_band(years: Column, unknown_label: str = TENURE_OPEN_BAND) -> Column:
 
 def tenure(first_purchase: DataFrame, as_of: str) -> DataFrame:
     """Whole years since the first purchase, rounded half up, and the band."""
-    years = tenure_years(F.col("first_pur_jb"), as_of)
+    years = tenure_years(F.col("first_purchase_date"), as_of)
     return first_purchase.select(
-        CUSTOMER, "first_pur_jb", years.alias("tenure"), tenure_band(years).alias("tenure_band")
+        CUSTOMER, "first_purchase_date", years.alias("tenure"), tenure_band(years).alias("tenure_band")
     ).distinct()
 
 

@@ -17,20 +17,29 @@ def distinct_values(df: DataFrame, column: str, max_values: int = MAX_CATEGORIES
     """Sorted non-null values of a category; refuses a column with too many to become columns."""
     rows = df.select(named(column).alias("v")).where("v IS NOT NULL").distinct().limit(max_values + 1).collect()
     if len(rows) > max_values:
-        raise ValueError(f"{column} has more than {max_values} values")
+        raise ValueError(f"{column} has more than {max_values} values; category_sums gives them in long form")
     return sorted(row["v"] for row in rows)
 
 
-def _pivot_sum(df: DataFrame, feature: str, values: Sequence, measure: str, key: str) -> DataFrame:
-    """Sums as one column per value; 0 where a customer has none.
+def category_sums(df: DataFrame, feature: str, measure: str, key: str = CUSTOMER) -> DataFrame:
+    """(key, value, sum) in long form, for categories with too many values to become columns."""
+    return df.groupBy(key, named(feature).alias("value")).agg(F.sum(measure).alias("sum"))
+
+
+def _pivot_sum(
+    df: DataFrame, feature: str, values: Sequence, measure: str, key: str
+) -> tuple[DataFrame, DataFrame]:
+    """Sums as one column per value, 0 where a customer has none; and the narrow sums they come from.
 
     Rows are summed by (customer, value) first, which also splits a customer with very many of
     them. Those narrow rows, at most one per value, then move to their customer before they become
     columns: a plain pivot would shuffle one wide, mostly empty row for each of them.
     """
     sums = df.groupBy(key, named(feature).alias("__value")).agg(F.sum(measure).alias("__sum"))
-    wide = sums.repartition(key).groupBy(key).pivot("__value", list(values)).agg(F.sum("__sum"))
-    return wide.na.fill(0)
+    sums = sums.repartition(key)
+    if not values:
+        return sums.select(key).distinct(), sums
+    return sums.groupBy(key).pivot("__value", list(values)).agg(F.sum("__sum")).na.fill(0), sums
 
 
 def count_encoding(
@@ -46,7 +55,8 @@ def count_encoding(
     present = df.where(named(feature).isNotNull() & (named(feature) != ""))
     if values is None:
         values = distinct_values(present, feature)
-    return _pivot_sum(present, feature, values, measure, key).toDF(key, *[f"{prefix}{v}{postfix}" for v in values])
+    wide, _ = _pivot_sum(present, feature, values, measure, key)
+    return wide.toDF(key, *[f"{prefix}{v}{postfix}" for v in values])
 
 
 def share_of_wallet(
@@ -57,15 +67,18 @@ def share_of_wallet(
     measure: str = "net_amt_hkd",
     key: str = CUSTOMER,
 ) -> DataFrame:
-    """Percent of a customer's amount per value; null when the amounts add up to zero."""
+    """Percent of a customer's amount per value; null when the amounts add up to zero.
+
+    The total is over all rows, whatever their value and whether or not it is listed in ``values``.
+    """
     if values is None:
         values = distinct_values(df, by)
-    wide = _pivot_sum(df, by, values, measure, key)
-    total = " + ".join(quoted(v) for v in values)
+    wide, sums = _pivot_sum(df, by, values, measure, key)
+    totals = sums.groupBy(key).agg(F.sum("__sum").cast("double").alias("__total"))
     shares = [
-        f"try_divide(cast({quoted(v)} as double), __sum) * 100 AS {quoted(v + postfix)}" for v in values
+        f"try_divide(cast({quoted(v)} as double), __total) * 100 AS {quoted(v + postfix)}" for v in values
     ]
-    return wide.selectExpr("*", f"cast({total} as double) AS __sum").selectExpr(key, *shares)
+    return wide.join(totals, key).selectExpr(key, *shares)
 
 
 def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -65,7 +65,6 @@ def enrich(
     sku: DataFrame,
     subcat: DataFrame,
     store: DataFrame,
-    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add item, sub category and store descriptions to distinct lines.
 
@@ -83,9 +82,9 @@ def enrich(
         F.col("item_brand_key").alias("prod_brand"), "item_sub_cat", "item_cat", "item_subcat_desc"
     ).distinct()
     shops = store.select("shop_code", "shop_desc").distinct()
-    with_item = lookup_join(lines, items, ["item_code", "prod_brand"], "left", hot_from=hot_from)
+    with_item = lookup_join(lines, items, ["item_code", "prod_brand"], "left")
     with_subcat = lookup_join(with_item, subcats, ["prod_brand", "item_sub_cat", "item_cat"], "left")
-    return lookup_join(with_subcat, shops, ["shop_code"], "left", hot_from=hot_from)
+    return lookup_join(with_subcat, shops, ["shop_code"], "left")
 
 
 @dataclass(frozen=True)

@@ -39,7 +39,7 @@ def _tagged(
         return per_customer.join(tags.distinct(), CUSTOMER), F.sum("value")
     # Here a customer may still hold very many rows, one per counted value.
     values = lines.where(named(measure).isNotNull()).select(*keys, named(measure).alias("value")).distinct()
-    return lookup_join(values, tags.distinct(), [CUSTOMER], "inner", hot_from=lines), F.count_distinct("value")
+    return lookup_join(values, tags.distinct(), [CUSTOMER], "inner"), F.count_distinct("value")
 
 
 def segment_measure(

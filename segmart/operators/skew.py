@@ -1,8 +1,7 @@
 """Joins of large tables whose keys may be very unevenly spread.
 
-A key may hold a third of all rows. The joins here either broadcast a side whose bytes were
-measured, or spread just the hot keys over several tasks. Hot keys come from one pass with a
-bounded sketch, so their number is bounded too.
+A key may hold a third of all rows. Plain joins leave it to adaptive execution to broadcast a small
+side and to split hot partitions; the others spread known hot keys over several tasks.
 """
 
 from __future__ import annotations
@@ -12,14 +11,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from segmart.functions.columns import named
 
-BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_TASK = 4_000_000
-HOT_KEYS = 1_000
-TRACKED_KEYS = 10_000
 
 FANOUT = "__fanout"
 _HASH, _SALT = "__key_hash", "__salt"
@@ -34,39 +29,18 @@ def hot_keys(
 ) -> dict[str, dict[int, int]]:
     """For every key set: hash of each key above ``rows_per_task`` rows -> tasks to spread it over.
 
-    One column-pruned pass for all key sets. The sketch keeps at most ``TRACKED_KEYS`` entries,
-    so nothing is grouped or shuffled; a miscounted key costs time, never rows.
+    One exact, column-pruned count for all key sets, combined before its shuffle. A key gets in only
+    with more than ``rows_per_task`` rows, so there are at most (rows / rows_per_task) of them.
     """
     rows_per_task = rows_per_task or ROWS_PER_TASK
-    sketches = []
-    for name, keys in key_sets.items():
-        hashed = ", ".join("`" + key.replace("`", "``") + "`" for key in keys)
-        sketches.append(F.expr(f"approx_top_k(xxhash64({hashed}), {HOT_KEYS}, {TRACKED_KEYS})").alias(name))
-    row = df.agg(*sketches).first()
-    return {
-        name: {
-            entry["item"]: math.ceil(entry["count"] / rows_per_task)
-            for entry in row[name]
-            if entry["count"] > rows_per_task
-        }
-        for name in key_sets
-    }
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of all values of ``df``: text by its length, everything else by a fixed width."""
-    width = F.lit(0)
-    for field in df.schema.fields:
-        column = named(field.name)
-        if isinstance(field.dataType, T.StringType):
-            size = F.coalesce(F.octet_length(column), F.lit(0)) + F.lit(8)
-        elif isinstance(field.dataType, T.ArrayType):
-            text = F.array_join(column.cast("array<string>"), "")
-            size = F.coalesce(F.octet_length(text), F.lit(0)) + F.coalesce(F.size(column), F.lit(0)) * 8
-        else:
-            size = F.lit(16)
-        width = width + size
-    return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]
+    hashed = F.array(
+        *[F.struct(F.lit(name).alias("name"), key_hash(keys).alias("key")) for name, keys in key_sets.items()]
+    )
+    counted = df.select(F.explode(hashed).alias("of")).groupBy("of.name", "of.key").agg(F.count(F.lit(1)).alias("n"))
+    found: dict[str, dict[int, int]] = {name: {} for name in key_sets}
+    for row in counted.where(F.col("n") > rows_per_task).collect():
+        found[row["name"]][row["key"]] = math.ceil(row["n"] / rows_per_task)
+    return found
 
 
 def salted_join(
@@ -104,22 +78,12 @@ def spread_join(
 
 
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    hot: Mapping[int, int] | None = None,
-    hot_from: DataFrame | None = None,
-    broadcast_bytes: int | None = None,
+    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", hot: Mapping[int, int] | None = None
 ) -> DataFrame:
-    """Join ``facts`` with a lookup table: broadcast if its measured bytes allow it, else salted.
+    """Join ``facts`` with a lookup table; runs nothing by itself.
 
-    Hot keys are measured on ``hot_from`` (say, the stored table ``facts`` was derived from) or on
-    ``facts`` itself, and only when they are needed and not given.
+    Adaptive execution knows the size of the lookup when it is there: below the broadcast threshold it
+    is broadcast, above it the partitions of hot keys are split. With hot keys that ``hot_keys`` found
+    before, the join is salted for them instead.
     """
-    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    if measured_bytes(lookup) <= limit:
-        return facts.join(F.broadcast(lookup), list(on), how)
-    if hot is None:
-        hot = hot_keys(facts if hot_from is None else hot_from, {"key": on})["key"]
-    return salted_join(facts, lookup, on, how, hot)
+    return salted_join(facts, lookup, on, how, hot or {})

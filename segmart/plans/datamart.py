@@ -83,9 +83,9 @@ def transactions(warehouse: Warehouse, lookups: Lookups, settings: DatamartSetti
     )
     raw = typed_lines(warehouse.sales, settings.money_type)
     near = lines_near(raw, materialise(shops_in_scope(raw, in_scope), "shops")).distinct()
-    lines = drop_net_zero(resolve_master(near, warehouse.cards, hot_from=raw))
+    lines = drop_net_zero(resolve_master(near, warehouse.cards))
     valid = valid_lines(lines.where(in_scope), settings.rules)
-    return enrich(valid, lookups.sku, lookups.subcat, lookups.store, hot_from=raw)
+    return enrich(valid, lookups.sku, lookups.subcat, lookups.store)
 
 
 def build_datamart(warehouse: Warehouse, settings: DatamartSettings) -> Datamart:

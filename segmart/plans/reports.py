@@ -18,7 +18,7 @@ from segmart.operators import cohort, cross
 from segmart.operators.customer import nationality_group, tenure, visits
 from segmart.operators.encode import CUSTOMER
 from segmart.operators.pivot import DISTINCT, SUM, attribute_pivot, category_pivot, segment_pivot, spread
-from segmart.operators.segment import SEGMENT, label_persona, override_segment
+from segmart.operators.segment import SEGMENT, attach_segments, label_persona, override_segment
 from segmart.operators.clean import clean_for_profiling
 from segmart.operators.tags import attach_tags
 from segmart.session import materialise
@@ -166,7 +166,8 @@ class SegmentReports:
         return self.segments.join(repeaters, CUSTOMER, "left_semi")
 
     def repeat_lines(self) -> DataFrame:
-        return cohort.repeat_cohort(self.lines, self.new_joiners(), self.segment_visits())
+        """The segmented lines of the new joiners who came back."""
+        return attach_segments(self.lines, self.repeat_segments())
 
     def repeat_customers(self) -> DataFrame:
         return segment_pivot(self.lines, self.repeat_segments(), [], CUSTOMER, DISTINCT, self.settings.order)

@@ -16,7 +16,7 @@ LINE = ["vip_no", "vip_main_no", "sales_main_key", "item_code", "order_date", "s
 
 
 def resolved(mart: Mart) -> DataFrame:
-    return resolve_master(build_lines(mart.warehouse.sales), mart.warehouse.cards, hot_from=mart.warehouse.sales)
+    return resolve_master(build_lines(mart.warehouse.sales), mart.warehouse.cards)
 
 
 def latest_orders(mart: Mart) -> DataFrame:
@@ -28,7 +28,7 @@ def enriched(mart: Mart) -> DataFrame:
     """Every line of the house brand with its descriptions."""
     house = resolved(mart).where(F.col("shop_brand") == retail.HOUSE_BRAND)
     lookups = mart.lookups
-    return enrich(house, lookups.sku, lookups.subcat, lookups.store, hot_from=mart.warehouse.sales)
+    return enrich(house, lookups.sku, lookups.subcat, lookups.store)
 
 
 def whole_unit_amounts(mart: Mart) -> DataFrame:

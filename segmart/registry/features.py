@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from segmart.operators.customer import (
     transactional,
     visits,
 )
-from segmart.operators.encode import CUSTOMER, collect_values, count_encoding, repeated_values, share_of_wallet
+from segmart.operators.encode import CUSTOMER, collect_values, count_encoding, share_of_wallet
 from segmart.operators.tags import attach_tags, tag_items
 from segmart.plans.features import BRAND, MAINCAT, SUBCAT, demographic_features
 from segmart.registry import mart as m
@@ -74,10 +75,8 @@ def spending(mart: m.Mart) -> DataFrame:
     return transactional(mart.clean, *retail.WINDOW)
 
 
-def small_matrix(mart: m.Mart) -> DataFrame:
-    """Category counts and shares side by side, customers listed in OUTLIERS left out."""
-    tables = {name: df for name, df in feature_tables(mart).items() if "maincat" in name or name == "tagging"}
-    return model.feature_matrix(tables, excluded_ids=OUTLIERS)
+def full_matrix(mart: m.Mart) -> DataFrame:
+    return model.feature_matrix(feature_tables(mart))
 
 
 def unpivoted(df: DataFrame) -> DataFrame:
@@ -102,13 +101,90 @@ def spending_features(mart: m.Mart) -> DataFrame:
 
 
 def correlation_long(mart: m.Mart) -> DataFrame:
-    features = maincat_counts(mart)
+    features = full_matrix(mart)
     matrix = model.correlation(features)
-    return rounded(model.correlation_table(mart.spark, model.feature_names(features), matrix))
+    return rounded(model.correlation_table(mart.spark, model.feature_names(features), matrix), 3)
 
 
 def factor_selection(mart: m.Mart) -> DataFrame:
-    return model.select_features(model.factor_loadings(model.standardise(mart.kept)), 10)
+    return model.select_features(mart.result.loadings)
+
+
+def price_point_check(mart: m.Mart) -> DataFrame:
+    """Customers, and whether either approximate cutoff is off by at most 1 % of them, rounded up."""
+    found = spending(mart)
+    high, low = price_cutoffs(found)
+    amount = F.col("net_amt_hkd").cast("double")
+    counted = found.agg(
+        F.count(F.lit(1)).alias("customers"),
+        *[
+            F.sum((amount < F.lit(float(cutoff))).cast("long")).alias(f"below_{name}")
+            for name, cutoff in (("low", low), ("high", high))
+        ],
+        *[
+            F.sum((amount <= F.lit(float(cutoff))).cast("long")).alias(f"upto_{name}")
+            for name, cutoff in (("low", low), ("high", high))
+        ],
+    )
+    # The rank of a cutoff is a range where customers tie with it.
+    return counted.select(
+        "customers",
+        *[
+            (
+                (F.col(f"below_{name}") <= (share + 0.01) * F.col("customers") + 1)
+                & (F.col(f"upto_{name}") >= (share - 0.01) * F.col("customers") - 1)
+            ).alias(f"{name}_within")
+            for name, share in (("low", 0.3), ("high", 0.8))
+        ],
+    )
+
+
+def persona_check(mart: m.Mart) -> DataFrame:
+    """Customers, how many of them are not with their nearest centre, and the sum of the cluster sizes."""
+    centres = [[float(x) for x in centre] for centre in mart.result.kmeans.clusterCenters()]
+    point = vector_to_array("features")
+    distances = F.array(
+        *[
+            F.aggregate(
+                F.zip_with(point, F.array(*map(F.lit, centre)), lambda x, c: (x - c) * (x - c)),
+                F.lit(0.0),
+                lambda total, x: total + x,
+            )
+            for centre in centres
+        ]
+    )
+    placed = mart.result.personas.join(mart.result.vectors, CUSTOMER).select(
+        "persona", distances.alias("distances")
+    )
+    # As near as makes no difference in doubles.
+    wrong = F.get("distances", F.col("persona")) > F.array_min("distances") + 1e-9
+    sizes = model.cluster_sizes(mart.result.personas).agg(F.sum("customers").alias("sizes"))
+    return placed.agg(
+        F.count(F.lit(1)).alias("customers"), F.sum(wrong.cast("long")).alias("misplaced")
+    ).crossJoin(F.broadcast(sizes))
+
+
+def wcss_check(mart: m.Mart) -> DataFrame:
+    """Points of the curve, and whether every k is at most as far from its centres as one cluster is."""
+    first = F.max(F.when(F.col("k") == 1, F.col("wcss")))
+    return mart.curve.agg(
+        F.count(F.lit(1)).alias("points"),
+        (F.max("wcss") <= first).alias("one_is_most"),
+        (F.min_by("wcss", "k") >= F.max_by("wcss", "k")).alias("falls"),
+    )
+
+
+def factor_selection_check(mart: m.Mart) -> DataFrame:
+    """Features that take part, how many are selected, and whether no other one has a lower total loading."""
+    scores = mart.result.loadings.groupBy("feature").agg(F.sum(F.abs("loading")).alias("score"))
+    chosen = F.col("feature").isin(*mart.result.selected)
+    return scores.agg(
+        F.count(F.lit(1)).alias("features"),
+        F.sum(chosen.cast("long")).alias("selected"),
+        F.coalesce(
+            F.max(F.when(chosen, F.col("score"))) <= F.min(F.when(~chosen, F.col("score"))), F.lit(True)
+        ).alias("lowest"),
+    )
 
 
 QUERIES = {
@@ -126,7 +202,7 @@ QUERIES = {
     "share_of_wallet_maincat": lambda t: rounded(shares(t, "maincat")),
     "share_of_wallet_brand": lambda t: rounded(shares(t, "brand")),
     "collect_values": lambda t: collect_values(t.clean, SUBCAT).withColumn(
-        SUBCAT, F.array_join(repeated_values(F.col(SUBCAT)), "|")
+        SUBCAT, F.array_join(F.transform(SUBCAT, lambda e: F.concat_ws(":", e["value"], e["lines"])), "|")
     ),
     "tenure_bands": lambda t: tenure(t.first_purchase, retail.AS_OF),
     "demographics": lambda t: demographics(t.clean, tenure(t.first_purchase, retail.AS_OF)),
@@ -146,18 +222,22 @@ QUERIES = {
     "price_point_approx": lambda t: price_point(spending(t), price_cutoffs(spending(t))).select(
         CUSTOMER, "net_amt_hkd", "price_point"
     ),
-    "feature_matrix_join": lambda t: rounded(model.feature_matrix(feature_tables(t))),
-    "outlier_exclusion": lambda t: rounded(small_matrix(t)),
-    "zero_share": lambda t: rounded(model.zero_share(model.feature_matrix(feature_tables(t)))),
-    "standardised_features": lambda t: rounded(unpivoted(model.standardise(maincat_counts(t)))),
+    "feature_matrix_join": lambda t: rounded(full_matrix(t)),
+    "outlier_exclusion": lambda t: rounded(model.feature_matrix(feature_tables(t), excluded_ids=OUTLIERS)),
+    "zero_share": lambda t: rounded(model.zero_share(full_matrix(t))),
+    "standardised_features": lambda t: rounded(unpivoted(model.standardise(full_matrix(t))), 3),
     "correlation_matrix": correlation_long,
     "wcss_k1": lambda t: rounded(
-        model.wcss_curve(model.assemble(model.standardise(maincat_counts(t))), ks=[1]), 3
+        model.wcss_curve(model.assemble(maincat_counts(t)), ks=[1]), 3
     ),
     "nearest_centre": lambda t: model.nearest_centre(spending_features(t), CENTRES),
-    "factor_loadings": lambda t: model.factor_loadings(model.standardise(t.kept)),
+    "factor_loadings": lambda t: t.result.loadings,
     "factor_selection": factor_selection,
-    "wcss_curve": lambda t: model.wcss_curve(t.vectors, ks=range(1, 6), restarts=2),
-    "kmeans_personas": lambda t: model.persona_table(model.fit_kmeans(t.vectors), t.vectors),
-    "cluster_sizes": lambda t: model.cluster_sizes(model.persona_table(model.fit_kmeans(t.vectors), t.vectors)),
+    "factor_selection_check": factor_selection_check,
+    "price_point_check": price_point_check,
+    "wcss_curve": lambda t: t.curve,
+    "wcss_check": wcss_check,
+    "kmeans_personas": lambda t: t.result.personas,
+    "persona_check": persona_check,
+    "cluster_sizes": lambda t: model.cluster_sizes(t.result.personas),
 }

@@ -12,6 +12,7 @@ from segmart.operators.clean import clean_for_features
 from segmart.operators.tags import tag_items
 from segmart.plans.datamart import Lookups, Warehouse, current_lookups, transactions
 from segmart.plans.features import BRAND, MAINCAT, SUBCAT, purchase_totals
+from segmart.plans.personas import PersonaResult, build_personas
 from segmart.plans.reports import SegmentReports
 from segmart.session import materialise
 from segmart.sources import retail
@@ -51,8 +52,6 @@ TAGS = [
     "XM\\GIFT\\CHRISTMAS",
 ]
 VALUES = {SUBCAT: SUBCATS, MAINCAT: MAINCATS, BRAND: BRANDS, "tags": TAGS}
-# The sample customers buy little: the share of zeros above which a feature is dropped is higher here.
-SPARSE = 0.95
 
 
 class Mart:
@@ -101,11 +100,18 @@ class Mart:
         from segmart.registry.features import feature_tables
 
         matrix = materialise(model.feature_matrix(feature_tables(self)), "feature_matrix")
-        return model.keep_features(matrix, threshold=SPARSE)
+        return model.keep_features(matrix)
 
     @cached_property
-    def vectors(self) -> DataFrame:
-        return materialise(model.assemble(model.standardise(self.kept)), "vectors")
+    def result(self) -> PersonaResult:
+        """Stage 4 as a whole: selection, factors, the selected features, k-means."""
+        from segmart.registry.features import feature_tables
+
+        return build_personas(feature_tables(self))
+
+    @cached_property
+    def curve(self) -> DataFrame:
+        return materialise(model.wcss_curve(self.result.vectors), "wcss_curve")
 
 
 _marts: dict[tuple[str, str], Mart] = {}

@@ -24,7 +24,6 @@ CATEGORIES = {
 }
 MEASURES = ["amount", "qty", "customers"]
 UNSEEN_LABELS = ["cluster 1", "cluster 2", "cluster 3", "cluster 4"]
-MATRIX_CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def cells(df: DataFrame, labels: list[str] | None = None) -> DataFrame:
@@ -44,7 +43,8 @@ def brand_description(mart: Mart) -> DataFrame:
 
 
 def cross_class_matrix(mart: Mart) -> DataFrame:
-    return cross.as_matrix(mart.reports.cross_class(), "Skincare Addicts", MATRIX_CLASSES, "customers")
+    """All segments, with a column for every class that any of them has."""
+    return cross.as_matrices(mart.reports.cross_class(), "customers")
 
 
 QUERIES: dict[str, Callable[[Mart], DataFrame]] = {
@@ -97,7 +97,7 @@ QUERIES: dict[str, Callable[[Mart], DataFrame]] = {
     "new_vs_existing": lambda t: cells(t.reports.new_vs_existing()),
     "persona_visit_histogram": lambda t: cells(t.reports.persona_visits("Beautyholic")),
     "repeat_cohort_lines": lambda t: t.reports.repeat_lines().select(
-        CUSTOMER, "sales_main_key", "item_code", "sold_qty", "net_amt_hkd"
+        CUSTOMER, "persona", "customer_tag", "sales_main_key", "item_code", "sold_qty", "net_amt_hkd"
     ),
     "repeat_cohort_customers": lambda t: cells(t.reports.repeat_customers()),
     "repeat_cohort_amount": lambda t: cells(t.reports.repeat_amount()),

@@ -52,5 +52,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     push filters and survive lost executors without recomputing what came before.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+    _stored.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_stored: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``materialise`` stored for this application; their results are read by then."""
+    context = spark.sparkContext
+    configuration = context._jsc.hadoopConfiguration()
+    for path in _stored.pop(context.applicationId, []):
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(configuration).delete(place, True)

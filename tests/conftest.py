@@ -9,7 +9,7 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 @pytest.fixture(scope="session")
 def spark():
-    from segmart.session import build_session
+    from segmart.session import build_session, release
 
     session = build_session(
         "segmart-tests",
@@ -23,4 +23,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()

@@ -224,7 +224,7 @@ def test_persona_labels_share_and_miss(spark):
 def test_tenure_bands_and_unknown(spark):
     first = spark.createDataFrame(
         [("a", "2023-10-31"), ("b", "2022-05-01"), ("c", "2016-10-31"), ("d", "2016-01-01"), ("e", None)], "vip_main_no string, d string"
-    ).select("vip_main_no", F.col("d").cast("date").alias("first_pur_jb"))
+    ).select("vip_main_no", F.col("d").cast("date").alias("first_purchase_date"))
     found = dict(values(tenure(first, "2023-10-31"), "vip_main_no", "tenure_band"))
     assert found == {"a": "0-1", "b": "1-3", "c": "3-7", "d": "8+", "e": "8+"}
 
@@ -234,14 +234,14 @@ def test_demographics_of_customer_without_first_purchase(spark):
         [("c", "", "Taiwan", "07"), ("c", "F", "Macau", "02")],
         "vip_main_no string, customer_sex string, cust_nat_cat string, customer_age_group string",
     )
-    first = spark.createDataFrame([], "vip_main_no string, first_pur_jb date")
+    first = spark.createDataFrame([], "vip_main_no string, first_purchase_date date")
     row = demographics(lines, tenure(first, "2023-10-31")).first()
     assert tuple(row) == ("c", "C", "Macau", "8+", "26 - 30")
 
 
 def test_new_joiner_cutoff(spark):
     first = spark.createDataFrame(
-        [("a", day("2022-10-31")), ("b", day("2022-11-01")), ("c", day("2022-11-02")), ("d", None)], "vip_main_no string, first_pur_jb date"
+        [("a", day("2022-10-31")), ("b", day("2022-11-01")), ("c", day("2022-11-02")), ("d", None)], "vip_main_no string, first_purchase_date date"
     )
     assert values(cohort.new_joiner(first, "2022-11-01"), "vip_main_no", "new_joiner_flag") == [("a", 0), ("b", 1), ("c", 1), ("d", 0)]
 
@@ -326,3 +326,16 @@ def test_cross_class_sum_of_huge_values(spark):
     found = {(r["class_x"], r["class_y"]): int(r["total"]) for r in cross.cross_class_sum(lines, tags).collect()}
     assert found["A", "B"] == 3 * big + 3
     assert found["All", "All"] == 2 * 4 * (big + 3)
+
+
+def test_share_of_wallet_without_with_many_and_with_unlisted_values(spark):
+    lines = spark.createDataFrame(
+        [("a", f"v{i}", 1.0) for i in range(3000)] + [("b", "v1", 3.0), ("b", None, 1.0)], "vip_main_no string, cat string, net_amt_hkd double"
+    )
+    assert share_of_wallet(lines, "cat", "_s", []).columns == ["vip_main_no"]
+    assert sorted(r[0] for r in share_of_wallet(lines, "cat", "_s", []).collect()) == ["a", "b"]
+    wide = {r["vip_main_no"]: r for r in share_of_wallet(lines, "cat", "_s").collect()}
+    assert len(wide["a"]) == 3001 and abs(wide["a"]["v7_s"] - 100 / 3000) < 1e-9
+    # The total is over all rows, listed or not, named or not.
+    few = {r["vip_main_no"]: r["v1_s"] for r in share_of_wallet(lines, "cat", "_s", ["v1"]).collect()}
+    assert abs(few["a"] - 100 / 3000) < 1e-9 and few["b"] == 75.0

@@ -16,12 +16,12 @@ BUILDERS = datamart.QUERIES | features.QUERIES | reports.QUERIES
 @pytest.fixture(scope="module")
 def strict(spark):
     """Nothing may be broadcast for its size, and a few rows already make a key hot."""
-    kept = skew.BROADCAST_BYTES, skew.ROWS_PER_TASK, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    skew.BROADCAST_BYTES, skew.ROWS_PER_TASK = -1, 5
+    kept = skew.ROWS_PER_TASK, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    skew.ROWS_PER_TASK = 5
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield Mart(spark, FOLDER)
-    skew.BROADCAST_BYTES, skew.ROWS_PER_TASK = kept[:2]
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept[2])
+    skew.ROWS_PER_TASK = kept[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept[1])
 
 
 @pytest.mark.parametrize(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmart.operators.lines import drop_net_zero, lines_near, shops_in_scope
-from segmart.operators.skew import hot_keys, lookup_join, measured_bytes, salted_join
+from segmart.operators.skew import hot_keys, lookup_join, salted_join
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +39,7 @@ def test_salted_join_equals_plain_join(facts, lookup, how):
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
 def test_lookup_join_without_broadcast(facts, lookup, how):
-    found = lookup_join(facts, lookup, ["k"], how, broadcast_bytes=0, hot_from=facts.select("k"))
+    found = lookup_join(facts, lookup, ["k"], how, hot_keys(facts, {"k": ["k"]}, rows_per_task=100)["k"])
     assert rows(found) == rows(facts.join(lookup, ["k"], how))
 
 
@@ -77,8 +77,16 @@ def test_lines_near_keeps_whole_orders(spark):
     assert sorted(r[0] for r in kept.select("sales_main_key").collect()) == ["1-a", "1-a", "1-b", "3-x-1", "3-x-2"]
 
 
-def test_measured_bytes_grows_with_text_and_arrays(spark):
-    short = spark.createDataFrame([("a", ["x"])], "s string, t array<string>")
-    long = spark.createDataFrame([("a" * 1000, ["x" * 1000])], "s string, t array<string>")
-    assert measured_bytes(long) - measured_bytes(short) == 1998
-    assert measured_bytes(short.where("s = 'none'")) == 0
+def test_every_hot_key_is_found(spark):
+    facts = spark.range(30_000).select((F.col("id") % 1500).alias("k"), (F.col("id") % 7).alias("other"))
+    found = hot_keys(facts, {"k": ["k"], "both": ["k", "other"], "other": ["other"]}, rows_per_task=15)
+    assert set(found["k"].values()) == {2} and len(found["k"]) == 1500
+    assert found["both"] == {} and len(found["other"]) == 7
+
+
+def test_building_a_join_runs_nothing(spark, facts, lookup):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "a join")
+    lookup_join(facts, lookup, ["k"])
+    assert list(tracker.getJobIdsForGroup("building")) == []
+    spark.sparkContext.setJobGroup("", "")
