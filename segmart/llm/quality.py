@@ -148,42 +148,43 @@ def viterbi(model: LineModel, features: np.ndarray) -> list[int]:
 
 def fit_lines(documents: list[np.ndarray], labels: list[int], settings: QualitySettings) -> LineModel:
     """Maximum likelihood with a small penalty, by forward and backward sums over all documents at once."""
-    documents, labels = zip(*[(d, y) for d, y in zip(documents, labels, strict=True) if len(d)], strict=True)
-    longest, count = max(map(len, documents)), len(documents)
-    x = np.zeros((longest, count, FEATURES), np.float32)
-    inside = np.zeros((longest, count), bool)
-    for i, document in enumerate(documents):
-        x[: len(document), i], inside[: len(document), i] = document, True
-    gold = np.array(labels)
-    total = inside.sum()
+    # Longest first: the documents that have a line t are then the first ones.
+    pairs = sorted(((d, y) for d, y in zip(documents, labels, strict=True) if len(d)), key=lambda pair: -len(pair[0]))
+    lengths = np.array([len(d) for d, _ in pairs])
+    gold = np.repeat([y for _, y in pairs], lengths)
+    lines = np.concatenate([d for d, _ in pairs]).astype(np.float64)
+    document = np.repeat(np.arange(len(pairs)), lengths)
+    place = np.concatenate([np.arange(n) for n in lengths])
+    active = [int((lengths > t).sum()) for t in range(lengths[0])]
+    truth = np.eye(2)[gold]
+    observed = np.diag([float(((gold == y) & (place > 0)).sum()) for y in (CONTENT, BOILERPLATE)])
     weights = np.zeros(FEATURES * 2 + 4 + 2)
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, settings.steps + 1):
         emission, transition, first = _parts(weights)
-        scores = x @ emission
-        forward = np.zeros((longest, count, 2))
+        scores = np.zeros((lengths[0], len(pairs), 2))
+        scores[place, document] = lines @ emission
+        forward = np.zeros_like(scores)
         forward[0] = first + scores[0]
-        for t in range(1, longest):
-            after = np.logaddexp.reduce(forward[t - 1][:, :, None] + transition, axis=1) + scores[t]
-            forward[t] = np.where(inside[t][:, None], after, forward[t - 1])
-        norm = np.logaddexp.reduce(forward[-1], axis=1)
-        backward = np.zeros((longest, count, 2))
-        pairs = np.zeros((2, 2))
-        for t in range(longest - 2, -1, -1):
-            follows = inside[t + 1][:, None]
-            ahead = scores[t + 1] + backward[t + 1]
-            joint = forward[t][:, :, None] + transition + ahead[:, None, :] - norm[:, None, None]
-            pairs += (np.exp(joint) * follows[:, :, None]).sum(axis=0)
-            backward[t] = np.where(follows, np.logaddexp.reduce(transition + ahead[:, None, :], axis=2), 0.0)
-        marginal = np.exp(forward + backward - norm[:, None]) * inside[:, :, None]
-        truth = np.eye(2)[gold] * inside[:, :, None]
-        change = np.zeros_like(weights)
-        grad_e, grad_t, grad_f = _parts(change)
-        grad_e += np.einsum("tnf,tnl->fl", x, truth - marginal)
-        observed = np.diag([(truth[1:, :, y].sum()) for y in (0, 1)])
-        grad_t += observed - pairs
-        grad_f += (truth[0] - marginal[0]).sum(axis=0)
-        change = change / total - settings.penalty * weights
+        for t in range(1, lengths[0]):
+            n = active[t]
+            came = forward[t - 1, :n, :, None] + transition
+            forward[t, :n] = np.logaddexp(came[:, 0], came[:, 1]) + scores[t, :n]
+        ends = forward[lengths - 1, np.arange(len(pairs))]
+        norm = np.logaddexp(ends[:, 0], ends[:, 1])
+        backward = np.zeros_like(scores)
+        expected = np.zeros((2, 2))
+        for t in range(lengths[0] - 2, -1, -1):
+            n = active[t + 1]
+            goes = transition + (scores[t + 1, :n] + backward[t + 1, :n])[:, None, :]
+            expected += np.exp(forward[t, :n, :, None] + goes - norm[:n, None, None]).sum(axis=0)
+            backward[t, :n] = np.logaddexp(goes[:, :, 0], goes[:, :, 1])
+        marginal = np.exp(forward[place, document] + backward[place, document] - norm[document, None])
+        wrong = truth - marginal
+        change = np.concatenate(
+            [(lines.T @ wrong).ravel(), (observed - expected).ravel(), wrong[place == 0].sum(axis=0)]
+        )
+        change = change / len(lines) - settings.penalty * weights
         mean, square = 0.9 * mean + 0.1 * change, 0.999 * square + 0.001 * change**2
         weights = weights + settings.rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return LineModel(*(part.copy() for part in _parts(weights)))
