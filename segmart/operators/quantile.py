@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmart.functions.columns import named
+from segmart.session import materialise
 
 MAX_DRIVER_VALUES = 100_000
 CUTS = 64
@@ -25,12 +26,13 @@ def exact_quantiles(
     the search goes on inside; only the counts of a narrow bracket reach the driver.
     """
     values = df.select(named(column).alias("v")).where("v IS NOT NULL")
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    # Stored, as every step of every search reads them.
+    counts = materialise(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "value_counts")
     known = _few_counts(counts, max_values)
     if known is not None:
         total = sum(n for _, n in known)
         return [_at_rank(known, _rank(p, total)) if total else None for p in probabilities]
-    total = values.count()
+    total = counts.agg(F.sum("n")).first()[0]
     return [_search(counts, _rank(p, total), max_values) for p in probabilities]
 
 

@@ -86,6 +86,8 @@ def demographic_features(
     """One-hot demographics; without given categories, those that occur."""
     summary = demographics(clean, tenure(first_purchase, as_of))
     if categories is None:
+        # Stored, as every column's values are read from it before the flags are set.
+        summary = materialise(summary, "demographics")
         categories = {c: distinct_values(summary, c) for c in DEMOGRAPHIC_COLUMNS}
     return one_hot(summary, categories)
 

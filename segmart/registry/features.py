@@ -72,7 +72,7 @@ def feature_tables(mart: m.Mart) -> dict[str, DataFrame]:
 
 
 def spending(mart: m.Mart) -> DataFrame:
-    return transactional(mart.clean, *retail.WINDOW)
+    return mart.spending
 
 
 def full_matrix(mart: m.Mart) -> DataFrame:

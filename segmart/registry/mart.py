@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from segmart.operators import model
 from segmart.operators.cards import first_purchase
 from segmart.operators.clean import clean_for_features
+from segmart.operators.customer import transactional
 from segmart.operators.tags import tag_items
 from segmart.plans.datamart import Lookups, Warehouse, current_lookups, transactions
 from segmart.plans.features import BRAND, MAINCAT, SUBCAT, purchase_totals
@@ -88,6 +89,10 @@ class Mart:
     def totals(self) -> DataFrame:
         return materialise(purchase_totals(self.clean), "purchase_totals")
 
+    @cached_property
+    def spending(self) -> DataFrame:
+        return materialise(transactional(self.clean, *retail.WINDOW), "spending")
+
     @cached_property
     def reports(self) -> SegmentReports:
         return SegmentReports.prepare(
