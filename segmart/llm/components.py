@@ -49,9 +49,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         edges = materialise(_small_star(_large_star(edges)), "component-edges")
-        row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") / 2.0**40)).first()
-        if tuple(row) == state:
+        # Exact in any order of the rows: their number and two combined hashes.
+        found = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+        if found == state:
             break
-        state = tuple(row)
+        state = found
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
