@@ -10,7 +10,9 @@ from segmart.operators.enrich import enrich, sku_table, store_table, subcat_tabl
 from segmart.operators.lines import WHOLE_MONEY, build_lines, drop_net_zero, resolve_master
 from segmart.operators.snapshot import latest_snapshot
 from segmart.registry.mart import Mart
+from segmart.session import new_path
 from segmart.sources import retail
+from segmart.sources.tables import read_parquet, read_table, write_csv, write_parquet
 
 LINE = ["vip_no", "vip_main_no", "sales_main_key", "item_code", "order_date", "sold_qty", "net_amt_hkd"]
 
@@ -38,7 +40,31 @@ def whole_unit_amounts(mart: Mart) -> DataFrame:
     )
 
 
+def parquet_round_trip(mart: Mart) -> DataFrame:
+    """First purchases through the Parquet sink."""
+    path = new_path(mart.spark, "first_purchase")
+    write_parquet(mart.first_purchase, path, overwrite=False)
+    return read_parquet(mart.spark, path)
+
+
+def csv_round_trip(mart: Mart) -> DataFrame:
+    """Latest orders through the CSV sink, which does not tell empty texts from nulls: they have neither."""
+    path = new_path(mart.spark, "latest_orders_csv")
+    orders = latest_orders(mart)
+    write_csv(orders, path)
+    return mart.spark.read.option("header", True).schema(orders.schema).csv(path)
+
+
+def catalog_scan(mart: Mart) -> DataFrame:
+    """First purchases as a named table of the session's catalog."""
+    mart.first_purchase.createOrReplaceTempView("segmart_first_purchase")
+    return read_table(mart.spark, "segmart_first_purchase")
+
+
 QUERIES = {
+    "parquet_round_trip": parquet_round_trip,
+    "csv_round_trip": csv_round_trip,
+    "catalog_scan": catalog_scan,
     "master_id_fallback": lambda t: resolved(t).select(*LINE),
     "net_zero_orders": lambda t: drop_net_zero(resolved(t)).select(*LINE),
     "whole_unit_amounts": whole_unit_amounts,
