@@ -11,7 +11,7 @@ from segmart.llm.common import materialise
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "component-least")
     return (
         both.where(F.col("b") > F.col("a"))
         .join(least, "a")
@@ -24,7 +24,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link the smaller neighbours of a node, and itself, to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
+    least = materialise(down.groupBy("a").agg(F.min("b").alias("least")), "component-least")
     return (
         down.join(least, "a")
         .select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -40,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     ``root`` is the smallest node of the component. Rounds end when the table of edges, stars by then,
     stays the same; their number grows with the logarithm of the nodes. Each round is written to the
     shared folder and read back, so a lost executor costs one round at most. A node with very many
-    edges is aggregated before the shuffle and its rows are spread by the adaptive join. Self-links
+    edges is aggregated before the shuffle; the minima are stored, so that the adaptive join can spread
+    its rows. Self-links
     and null ends are ignored; no edges give no rows.
     """
     edges = materialise(
@@ -48,7 +49,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
     state = None
     while True:
-        edges = materialise(_small_star(_large_star(edges)), "component-edges")
+        larger = materialise(_large_star(edges), "component-large")
+        edges = materialise(_small_star(larger), "component-edges")
         # Exact in any order of the rows: their number and two combined hashes.
         found = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
         if found == state:

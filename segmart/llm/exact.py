@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmart.llm.common import columns_as, free_name, named
+from segmart.llm.common import columns_as, free_name, materialise, named
 
 # The normal form drops these characters; everything else counts.
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -48,7 +48,9 @@ def exact_groups(
     def counted(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("best"))
 
-    shared = counted(rows, "content").withColumnRenamed("content", "group_content")
+    # Stored, and then shuffled as it is: adaptive execution splits hot keys only of joins whose both sides
+    # come straight from a shuffle, not from an aggregate.
+    shared = materialise(counted(rows, "content").withColumnRenamed("content", "group_content"), "exact-groups")
     alone = F.col("group_size") == 1
     sha = F.sha2("norm", 256).alias("text_sha256")
 
@@ -58,8 +60,9 @@ def exact_groups(
         .select("doc_id", "n_chars", "text_sha256", "group_size", "best")
     )
     suspects = rows.join(shared.where(~alone), F.col("content") == F.col("group_content"), "left_semi")
-    same_bytes = counted(suspects, "content", "norm")
-    several = suspects.join(same_bytes, ["content", "norm"]).select("doc_id", "n_chars", sha, "group_size", "best")
+    # By the bytes alone: copies are combined before the shuffle, wherever the join has put them.
+    same_bytes = materialise(counted(suspects, "norm"), "exact-bytes")
+    several = suspects.join(same_bytes, "norm").select("doc_id", "n_chars", sha, "group_size", "best")
 
     best = F.col("best")
     return single.unionByName(several).select(

@@ -233,7 +233,8 @@ def near_links(docs: DataFrame, classes: DataFrame, settings: NearSettings) -> t
     so every pair that shares a bucket is either compared or known to be connected.
     """
     keyed = classes.select("set_key", "doc", F.explode(_bands(F.col("signature"), settings)).alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Sizes are stored before the join: it can split a hot bucket then, which it cannot beside an aggregate.
+    sizes = materialise(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
     members = materialise(keyed.join(sizes, "bucket"), "near-members")
     mates = members.groupBy("set_key").agg(F.sum("size").alias("mates"))
     ranked = members.join(mates, "set_key")
@@ -295,7 +296,7 @@ def _completing(
         F.ceil(F.col("others") / size).cast("int").alias("member_blocks"),
         F.ceil(F.col("outsiders") / size).cast("int").alias("asking_blocks"),
     )
-    asked = materialise(rest.join(undecided, "bucket"), "near-undecided")
+    asked = materialise(rest.join(materialise(undecided, "near-open"), "bucket"), "near-undecided")
 
     def blocks(df: DataFrame, own: str, others: str, asks: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("set_key"), named(own)).cast("int")

@@ -141,7 +141,7 @@ def secret_scan(
     # The row number is written with the rows, so it stays the same when a task is run again.
     matched = materialise(matches(source, "text", row, "doc_id", "owner", "repository"), "secret-matches")
     found = spans(matched, "owner", "repository").withColumn("value_hash", F.sha2("value", 256))
-    judged = found.join(ownership(found), "value_hash").withColumn("live", F.col("n_owners") <= max_owners)
+    judged = found.join(materialise(ownership(found), "secret-owners"), "value_hash").withColumn("live", F.col("n_owners") <= max_owners)
     rank = F.array_position(F.lit(list(KINDS)), F.col("kind"))
     entry = F.struct("start", rank.alias("rank"), "kind", "end", "value", "n_owners", "n_repositories", "live")
     per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(entry)).alias("entries"))

@@ -61,7 +61,7 @@ def page_records(
     rows = rows.withColumn("content", F.concat_ws(":", "digest", F.octet_length("payload"), F.xxhash64("payload")))
     # Narrow partial minima; the adaptive join spreads a payload that very many pages share.
     first = rows.groupBy("content").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    repeated = first.where("n > 1").select("content", "first_id")
+    repeated = materialise(first.where("n > 1").select("content", "first_id"), "warc-repeated")
     joined = rows.join(repeated, "content", "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False))
     order = F.xxhash64("url", "content")
