@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from segmart.llm.common import columns_as, materialise
 
 _ROW_BATCH = 128
-_CACHED_PIECES = 1_200_000
+_CACHED_PIECES = 800_000
 _CACHED_LETTERS = 48
 
 
@@ -36,7 +37,9 @@ class PieceTokenizer:
     """Ids of whole texts by the tokenizers library.
 
     A blank before a visible character always begins a new word of a byte-level splitter, so the
-    pieces between such blanks are encoded once and kept while there is room.
+    pieces between such blanks are encoded once and kept while there is room. New plain words of Latin
+    letters go through the merges of the same file in tiktoken, which has the same ids for them and
+    needs a third of the time; whatever else there is goes through the library itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,6 +48,7 @@ class PieceTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.words = _word_encoding(path)
         self.pieces: dict[str, bytes] = {}
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
@@ -53,8 +57,13 @@ class PieceTokenizer:
         missing = list(used.difference(self.pieces))
         if len(self.pieces) + len(missing) > _CACHED_PIECES:
             self.pieces = {piece: ids for piece, ids in self.pieces.items() if piece in used}
-        for start in range(0, len(missing), 8192):
-            part = missing[start : start + 8192]
+        rest = missing
+        if self.words is not None:
+            rest = [piece for piece in missing if not _PLAIN_WORD.fullmatch(piece)]
+            encode = self.words.encode_ordinary
+            self.pieces.update((piece, array("I", encode(piece)).tobytes()) for piece in set(missing).difference(rest))
+        for start in range(0, len(rest), 8192):
+            part = rest[start : start + 8192]
             coded = self.library.encode_batch_fast(part, add_special_tokens=False)
             self.pieces.update((piece, array("I", x.ids).tobytes()) for piece, x in zip(part, coded, strict=True))
         known = self.pieces.__getitem__
@@ -65,6 +74,28 @@ class PieceTokenizer:
         return ids
 
 
+# One word of a byte-level splitter, without an apostrophe that could part it.
+_PLAIN_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+
+def _word_encoding(path: str):
+    """The file's merges as ranks of byte strings, None if they are not in the order of its ids."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocab, merges = model["vocab"], model["merges"]
+    made = [vocab[left + right] for left, right in merges]
+    if made != sorted(made) or len(made) + 256 != len(vocab):
+        return None
+    # Byte-level files write visible Latin-1 bytes as themselves and the others from U+0100 on, in order.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [byte for byte in range(256) if byte not in set(shown)]
+    byte_of = {chr(byte): byte for byte in shown} | {chr(256 + i): byte for i, byte in enumerate(hidden)}
+    ranks = {bytes(map(byte_of.__getitem__, text)): token for text, token in vocab.items()}
+    return tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
+
+
 _RUN_OF_SPACE = re.compile(r"\s\s")
 # A comma or full stop that does not follow a Latin letter or a digit may belong to a longer mark.
 _UNSURE_MARK = re.compile(r"[,.](?<![A-Za-z0-9À-ÖØ-öø-ɏ].)(?=\s|\Z)")
