@@ -98,49 +98,61 @@ def page_records(
     )
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Archive files below ``path``, one for each partition.
+def write_archives(records: DataFrame, path: str, compression: str = "none") -> None:
+    """Archive files below ``path``, one for each partition, each compressed as a whole if asked for.
 
     A record ends with two blank lines, so records are the lines of a text file with that separator;
     Spark's committer keeps the files whole when tasks are run again.
     """
-    records.select("record").write.mode("errorifexists").option("lineSep", _END).text(path)
+    writer = records.select("record").write.mode("errorifexists").option("lineSep", _END)
+    writer.option("compression", compression).text(path)
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, n, piece: what follows each magic up to the next one.
+
+    Files are split like any text, with the magic as the separator; compressed ones are one block. The
+    splits follow from the files and the session, so ``n`` is the same whenever they are read.
+    """
+    lines = spark.read.option("lineSep", MAGIC).text(path)
+    return lines.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"),
+        F.col("value").alias("piece"),
+    )
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place where the magic occurs: file, block, at, succ, piece.
+    """Every place where the magic occurs: file, block, n, at, succ.
 
-    Files are split like any text, with the magic as the separator. ``piece`` is what follows it up to
-    its next occurrence, ``at`` the offset of the magic, ``succ`` the offset after the record that a
-    header there would begin, null if none can be read. Occurrences inside payloads are candidates too.
+    ``at`` is the offset of the magic, ``succ`` the offset after the record that a header there would
+    begin, null if none can be read. Occurrences inside payloads are candidates too.
     """
-    lines = (
-        spark.read.option("lineSep", MAGIC)
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("n"),
-            F.col("value").alias("piece"),
-        )
+    head = F.substring_index("piece", _END, 1)
+    length = F.regexp_extract(head, r"(?i)(?:^|\r\n)Content-Length: *([0-9]{1,18}) *(?:\r\n|$)", 1)
+    span = F.when(
+        F.contains("piece", F.lit(_END)) & (length != ""), F.octet_length(head) + 4 + length.try_cast("long") + 4
+    )
+    lines = materialise(
+        _pieces(spark, path).select(
+            "file", "block", "n", F.octet_length("piece").cast("long").alias("size"), span.alias("span")
+        ),
+        "warc-lines",
     )
-    lines = materialise(lines.withColumn("size", F.octet_length("piece").cast("long")), "warc-pieces")
     # Offsets: sums inside a block, which a split bounds, on top of sums over the blocks of a file.
     blocks = lines.groupBy("file", "block").agg((F.sum("size") + F.count(F.lit(1)) * len(MAGIC)).alias("bytes"))
     over_blocks = Window.partitionBy("file").orderBy("block")
     blocks = blocks.select("file", "block", (F.sum("bytes").over(over_blocks) - F.col("bytes")).alias("before"))
     inside = Window.partitionBy("file", "block").orderBy("n")
     step = F.col("size") + len(MAGIC)
-    offsets = lines.select("file", "block", "n", (F.sum(step).over(inside) - step).alias("inside"))
-    placed = offsets.join(blocks, ["file", "block"]).select("n", (F.col("before") + F.col("inside") - len(MAGIC)).alias("at"))
-    joined = lines.join(placed, "n").where("at >= 0")
-    head = F.substring_index("piece", _END, 1)
-    length = F.regexp_extract(head, r"(?i)(?:^|\r\n)Content-Length: *([0-9]{1,18}) *(?:\r\n|$)", 1)
-    succ = F.when(
-        F.contains("piece", F.lit(_END)) & (length != ""),
-        F.col("at") + len(MAGIC) + F.octet_length(head) + 4 + length.try_cast("long") + 4,
+    placed = lines.withColumn("inside", F.sum(step).over(inside) - step).join(blocks, ["file", "block"])
+    at = F.col("before") + F.col("inside") - len(MAGIC)
+    return (
+        placed.withColumn("at", at)
+        .where("at >= 0")
+        .select("file", "block", "n", "at", (F.col("at") + len(MAGIC) + F.col("span")).alias("succ"))
     )
-    return joined.select("file", "block", "n", "at", succ.alias("succ"), "piece")
 
 
 def _exits(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -224,11 +236,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Payloads that contain the magic are put together again from their pieces; only those are grouped.
     """
-    found = materialise(candidates(spark, path), "warc-found")
-    owners = reachable(found)
+    owners = reachable(candidates(spark, path))
     pieces = owners.groupBy("file", "owner").agg(F.count(F.lit(1)).alias("pieces"))
-    owned = materialise(owners.join(pieces, ["file", "owner"]).where("owner >= 0").select("n", "owner", "pieces"), "warc-owned")
-    text = found.select("file", "at", "n", "piece").join(owned, "n")
+    owned = materialise(owners.join(pieces, ["file", "owner"]).where("owner >= 0").select("n", "file", "at", "owner", "pieces"), "warc-owned")
+    text = _pieces(spark, path).select("n", "piece").join(owned, "n")
     whole = text.where("pieces = 1").select("file", "at", "piece")
     ordered = F.array_sort(F.collect_list(F.struct("at", "piece")))
     parts = text.where("pieces > 1").groupBy("file", "owner").agg(ordered.alias("parts"))
@@ -271,14 +282,14 @@ def page_rows(records: DataFrame) -> DataFrame:
     )
 
 
-def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
+def round_trip(pages: DataFrame, compression: str = "gzip", **columns: str) -> DataFrame:
     """Writes ``pages`` to archives in the shared folder and reads them back; see ``page_rows``.
 
     An empty table gives an archive without records and no rows.
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(page_records(pages, **columns), path)
+    write_archives(page_records(pages, **columns), path, compression)
     return page_rows(read_archives(spark, path))
 
 
