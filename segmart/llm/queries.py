@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, folder, "documents"))
+    return minhash.near_duplicates(table(spark, folder, "documents"), settings=minhash.NearSettings(percent=85))
 
 
 def op2_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
