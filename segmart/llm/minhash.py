@@ -75,7 +75,11 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, settings: NearSettings) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the sorted set), signature; keys null for empty sets."""
+    """doc_id, n_shingles, set_key (128-bit hash of the sorted set), signature; keys null for empty sets.
+
+    A column text_key of ``docs`` is passed on.
+    """
+    also = [name for name in ("text_key",) if name in docs.columns]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _families(settings)
@@ -98,13 +102,15 @@ def sketches(docs: DataFrame, settings: NearSettings) -> DataFrame:
                         pa.array(counts, pa.int64()),
                         pa.array(keys, pa.binary()),
                         pa.array(signatures, pa.binary()),
+                        *[batch.column(2 + i) for i in range(len(also))],
                     ],
-                    ["doc_id", "n_shingles", "set_key", "signature"],
+                    ["doc_id", "n_shingles", "set_key", "signature", *also],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        sketch, f"doc_id {kind}, n_shingles long, set_key binary, signature binary"
+    more = "".join(f", {name} {docs.schema[name].dataType.simpleString()}" for name in also)
+    return docs.select("doc_id", "text", *also).mapInArrow(
+        sketch, f"doc_id {kind}, n_shingles long, set_key binary, signature binary{more}"
     )
 
 
@@ -332,15 +338,18 @@ def near_duplicates(
     A row without id stands alone: component_id null, kept. Repeated rows get the same result, and
     rows of one id with different texts are placed by their texts. An empty table gives no rows.
     """
-    settings = settings or NearSettings()
-    source = columns_as(docs, doc_id=id_column, text=text_column)
+    return _placed(columns_as(docs, doc_id=id_column, text=text_column), settings or NearSettings())
+
+
+def _placed(source: DataFrame, settings: NearSettings) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row (doc_id, text), and text_key where there is one."""
     sketched = materialise(sketches(source, settings), "near-sketches")
     named_rows = sketched.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = materialise(
         named_rows.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature")),
         "near-classes",
     )
-    _, roots = near_links(source.where("doc_id IS NOT NULL"), classes, settings)
+    _, roots = near_links(source.select("doc_id", "text").where("doc_id IS NOT NULL"), classes, settings)
     ids = classes.select("set_key", "doc").join(columns_as(roots, set_key="node", root="root"), "set_key", "left")
     ids = ids.withColumn("root", F.coalesce("root", "set_key"))
     least = ids.groupBy("root").agg(F.min("doc").alias("component"))
@@ -354,11 +363,24 @@ def near_duplicates(
         (
             F.col("set_key").isNull() | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component"))
         ).alias("kept"),
+        *[name for name in ("text_key",) if name in sketched.columns],
     )
 
 
-def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; one document of each component."""
-    dropped = near_duplicates(docs, id_column, text_column, **options).where(~F.col("kept"))
-    mark = free_name(docs, "dropped_doc")
-    return docs.join(dropped.select(F.col("doc_id").alias(mark)).distinct(), named(id_column) == named(mark), "left_anti")
+def drop_near_copies(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    settings: NearSettings | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; one document of each component.
+
+    Of rows of one id with different texts only those go that `near_duplicates` does not keep.
+    """
+    text_key = F.unhex(F.md5(F.col("text")))
+    source = columns_as(docs, doc_id=id_column, text=text_column).withColumn("text_key", text_key)
+    dropped = _placed(source, settings or NearSettings()).where(~F.col("kept"))
+    doc, key = free_name(docs, "dropped_doc"), free_name(docs, "dropped_text")
+    dropped = dropped.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    same = (named(id_column) == named(doc)) & (F.unhex(F.md5(named(text_column))) == named(key))
+    return docs.join(dropped, same, "left_anti")

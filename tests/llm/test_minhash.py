@@ -68,6 +68,15 @@ def test_edges(edges):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 1, 3, 4, 5, 7, 9, 10]
 
 
+def test_texts_of_one_id_are_dropped_one_by_one(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, long), (2, long + " tail"), (2, "a text of its own that nobody else has"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(near_duplicates(df)) == brute_force(rows)
+    kept = drop_near_copies(df).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([rows[0], *rows[2:]], key=str)
+
+
 def test_empty_table(edges):
     assert near_duplicates(empty(edges)).count() == 0
 
