@@ -76,7 +76,10 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns; one row of each group of equal texts.
+
+    Of rows that tie in everything, such as a repeated row, any one stays.
+    """
     dropped = exact_groups(docs, id_column, text_column).where(~F.col("kept"))
     dropped_row = free_name(docs, "dropped_row")
     dropped = dropped.select(F.struct("doc_id", "text_sha256", "n_chars").alias(dropped_row))
@@ -90,6 +93,8 @@ def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: s
             F.char_length(original).cast("long").alias("n_chars"),
         ),
     )
+    # Before the join, so that repetitions are combined before they are shuffled.
+    marked = marked.dropDuplicates([row])
     # Structs compare field by field, null ids included.
     return marked.join(dropped, named(row) == named(dropped_row), "left_anti").drop(row)
 

@@ -44,6 +44,14 @@ def test_dropping_keeps_columns_and_one_row(edges):
     assert {doc_id for doc_id, _ in rows} == {2, 5, None, 7, 8, 9, 10}
 
 
+def test_of_repeated_rows_one_stays(spark):
+    rows = [(1, "same text"), (1, "same text"), (2, "same text"), (1, "same\ttext"), (3, "alone")]
+    rows += [(None, "no name"), (None, "no name"), (4, None), (4, None), (1, "longer  one"), (1, "longer one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, normal(r.text)) for r in drop_exact_copies(df).collect()), key=str)
+    assert kept == [(1, "longerone"), (1, "sametext"), (3, "alone"), (4, ""), (None, "noname")]
+
+
 def test_empty_table(spark, edges):
     assert exact_groups(empty(edges)).count() == 0
     assert drop_exact_copies(empty(edges)).count() == 0
