@@ -1,5 +1,25 @@
 """Public licence notices, the part that a text has to carry, as templates for the scan."""
 
+_GNU_NOTICE = """This {work} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU
+{kind} as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any
+later version. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details."""
+_GNU_COPY = " You should have received a copy of the GNU {kind} along with this {work}"
+_SEE = ". If not, see <https://www.gnu.org/licenses/>."
+_WRITE = """; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301
+USA."""
+
+
+def _gnu(work: str, kind: str, version: str, end: str = "") -> str:
+    old = version.startswith("2")
+    text = _GNU_NOTICE + (_GNU_COPY + end if end else "")
+    return text.format(
+        work=work, kind=kind, version=version, mark=";" if old else ":", comma=";" if old else ","
+    )
+
+
+_GPL, _LESSER, _AFFERO = (f"{x}General Public License" for x in ("", "Lesser ", "Affero "))
+
 TEMPLATES: dict[str, str] = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -27,6 +47,20 @@ EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIR
 CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
 PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
 TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
 POSSIBILITY OF SUCH DAMAGE.""",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
@@ -38,6 +72,17 @@ General Public License as published by the Free Software Foundation, either vers
 any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
 the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
 details.""",
+    "GPL-3.0-or-later with copy": _gnu("program", _GPL, "3", _SEE),
+    "GPL-2.0-or-later": _gnu("program", _GPL, "2"),
+    "GPL-2.0-or-later with copy": _gnu("program", _GPL, "2", _SEE),
+    "GPL-2.0-or-later with address": _gnu("program", _GPL, "2", _WRITE),
+    "LGPL-2.1-or-later": _gnu("library", _LESSER, "2.1"),
+    "LGPL-2.1-or-later with copy": _gnu("library", _LESSER, "2.1", _SEE),
+    "LGPL-2.1-or-later with address": _gnu("library", _LESSER, "2.1", _WRITE),
+    "LGPL-3.0-or-later": _gnu("program", _LESSER, "3"),
+    "LGPL-3.0-or-later with copy": _gnu("program", _LESSER, "3", _SEE),
+    "AGPL-3.0-or-later": _gnu("program", _AFFERO, "3"),
+    "AGPL-3.0-or-later with copy": _gnu("program", _AFFERO, "3", _SEE),
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
 not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,

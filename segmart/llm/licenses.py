@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -43,6 +44,7 @@ class Templates:
     def __init__(self, texts: Mapping[str, str], settings: LicenceSettings) -> None:
         self.settings = settings
         self.words = {name: words_of(text) for name, text in texts.items()}
+        self.counts = {name: Counter(words) for name, words in self.words.items()}
         self.longest = max(map(len, self.words.values()))
         self.vocabulary = {word for words in self.words.values() for word in words}
         self.starts = {tuple(words[:4]) for words in self.words.values()}
@@ -81,8 +83,8 @@ class Templates:
                 extra += words[c:d]
         return equal / max(len(template), len(words)), missing, extra
 
-    def blocks(self, text: str) -> Iterator[tuple[int, int, list[str]]]:
-        """(start, end, words) of runs of units in the words of licences, at least one of them with a cue.
+    def blocks(self, text: str) -> Iterator[tuple[int, int, list[str], bool]]:
+        """(start, end, words, whether one has a cue) of runs of units in the words of licences.
 
         A run ends before a unit that begins like a template, around a unit that is one, and where it is
         half as long again as the longest template; what follows is the next block.
@@ -100,8 +102,7 @@ class Templates:
             begins = whole or tuple(words[:4]) in self.starts
             too_long = len(run) + len(words) > 1.5 * self.longest
             if run and (begins or too_long or not (cue or known)):
-                if cued:
-                    yield start, end, run
+                yield start, end, run, cued
                 run, cued = [], False
             if cue or known:
                 if not run:
@@ -109,19 +110,61 @@ class Templates:
                 run = run + words
                 cued, end = cued or cue, unit.end()
                 if whole:
-                    yield start, end, run
+                    yield start, end, run, cued
                     run, cued = [], False
-        if run and cued:
-            yield start, end, run
+        if run:
+            yield start, end, run, cued
+
+    def best(self, words: list[str]) -> tuple[str, float, bool, float, list[str], list[str]]:
+        looked = [
+            (saved, name, *self.difference(words, name))
+            for saved, name in self.rank(words)[: self.settings.finalists]
+        ]
+        sure = [entry for entry in looked if entry[2] >= self.settings.wording]
+        # Among confirmed templates the closest wording; without one, the best reduction stays a guess.
+        saved, name, share, missing, extra = max(sure, key=lambda entry: entry[2]) if sure else looked[0]
+        return name, saved, bool(sure), share, missing, extra
+
+    def possible(self, words: list[str]) -> bool:
+        """Whether a template has enough of these words, in any order, to be confirmed."""
+        counts = Counter(words)
+        return any(
+            (self.counts[name] & counts).total() >= self.settings.wording * max(len(template), len(words))
+            for name, template in self.words.items()
+            if min(len(template), len(words)) >= self.settings.wording * max(len(template), len(words))
+        )
+
+    def joined(self, text: str, blocks: list, shares: list[float], i: int) -> tuple[int, tuple] | None:
+        """The number after that of the last block that block i makes a notice with, and the result of the whole.
+
+        Blocks are joined across one unit of few template words each, if the whole is confirmed and closer
+        to its template than each of them is alone.
+        """
+        found, words, alone, cued = None, list(blocks[i][2]), shares[i], blocks[i][3]
+        for j in range(i + 1, len(blocks)):
+            between = [unit for x in _UNIT.finditer(text, blocks[j - 1][1], blocks[j][0]) if (unit := words_of(x[0]))]
+            gap = between[0] if len(between) == 1 else None
+            words = words + (gap or []) + blocks[j][2]
+            if gap is None or len(words) > 1.5 * self.longest:
+                break
+            alone, cued = max(alone, shares[j]), cued or blocks[j][3]
+            if cued and self.possible(words):
+                whole = self.best(words)
+                if whole[2] and whole[3] > max(alone, found[1][3] if found else 0.0):
+                    found = j + 1, whole
+        return found
 
     def find(self, text: str) -> Iterator[tuple[int, int, str, float, bool, float, str, str]]:
-        for start, end, words in self.blocks(text):
-            ranked = self.rank(words)
-            looked = [(saved, name, *self.difference(words, name)) for saved, name in ranked[: self.settings.finalists]]
-            sure = [entry for entry in looked if entry[2] >= self.settings.wording]
-            # Among confirmed templates the closest wording; without one, the best reduction stays a guess.
-            saved, name, share, missing, extra = max(sure, key=lambda entry: entry[2]) if sure else looked[0]
-            yield start, end, name, saved, bool(sure), share, " ".join(missing), " ".join(extra)
+        blocks = list(self.blocks(text))
+        results = [self.best(words) if cued else None for _, _, words, cued in blocks]
+        shares = [result[3] if result and result[2] else 0.0 for result in results]
+        i = 0
+        while i < len(blocks):
+            after, result = self.joined(text, blocks, shares, i) or (i + 1, results[i])
+            if result:
+                *kept, missing, extra = result
+                yield blocks[i][0], blocks[after - 1][1], *kept, " ".join(missing), " ".join(extra)
+            i = after
 
 
 @functools.lru_cache(maxsize=4)
@@ -152,7 +195,8 @@ def license_scan(
     wording_share, missing_words, extra_words.
 
     The licence is the confirmed template with the closest wording among those that shrink the block
-    most; without a confirmed one it is the best guess, ``confirmed`` false. Every block of the whole
+    most; blocks parted by a single other line or sentence count as one where that confirms the whole;
+    without a confirmed one it is the best guess, ``confirmed`` false. Every block of the whole
     text counts, also a repeated one. Texts without a cue, null or empty, and empty tables give no rows;
     repeated rows and rows without id are scanned one by one. Nothing is shuffled, and only texts with
     a cue leave the JVM.

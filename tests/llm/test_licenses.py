@@ -28,6 +28,21 @@ def test_versions_are_told_apart():
         assert name == f"GPL-{version}.0 statement"
 
 
+def test_full_notices_with_names_are_confirmed():
+    text = TEMPLATES["BSD-3-Clause"].replace("the copyright holder nor", "Acme Widgets nor")
+    text = text.replace("BY THE COPYRIGHT HOLDERS AND", "BY\nJANE ROE, ACME WIDGETS\nAND")
+    assert [name for name, _ in confirmed(f"Copyright 2001 Acme\n\n{text}\nint main")] == ["BSD-3-Clause"]
+    text = text.replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "\nJANE ROE, ACME WIDGETS\n")
+    assert [name for name, _ in confirmed(text)] == ["BSD-3-Clause"]
+    for name in ("GPL-2.0-or-later with address", "LGPL-3.0-or-later with copy", "AGPL-3.0-or-later"):
+        assert [found for found, _ in confirmed("\n".join(TEMPLATES[name].split(". ")))] == [name]
+
+
+def test_other_lines_leave_notices_apart():
+    text = f"{TEMPLATES['MIT']}\nzebras graze quietly\nthe copyright of zebras\nzebras graze\nReleased under the MIT License."
+    assert [name for name, _ in confirmed(text)] == ["MIT", "MIT statement"]
+
+
 def test_mentions_are_not_confirmed():
     text = "I have a licence to fish, and permission of my mother to redistribute it."
     assert confirmed(text) == [] and len(list(SCAN.find(text))) == 1
