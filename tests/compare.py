@@ -7,7 +7,7 @@ import math
 import duckdb
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-TABLES += ["documents", "pages", "labels"]
+TABLES += ["documents", "pages", "labels", "conversations", "embeddings"]
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
