@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segmart.functions.columns import named
 from segmart.session import materialise
 
-__all__ = ["SPACES", "LOWER", "columns_as", "free_name", "materialise", "named", "table", "text_or_empty"]
+__all__ = ["SPACES", "LOWER", "columns_as", "crc32_sql", "free_name", "materialise", "named", "table", "text_or_empty"]
 
 # Words are maximal runs of other characters; bytes.split() cuts at the same six.
 SPACES = " \t\n\x0b\x0c\r"
@@ -35,3 +35,10 @@ def free_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in taken:
         wish += "_"
     return wish
+
+
+def crc32_sql(number: str) -> str:
+    """Unsigned CRC-32 of a number in decimal, bit by bit, as SQL."""
+    octet = "list_reduce([xor(crc, code)] || list_transform(range(8), lambda i: 0), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))"
+    codes = f"list_transform(string_split(cast({number} AS varchar), ''), lambda x: cast(ascii(x) AS bigint))"
+    return f"xor(list_reduce([4294967295::bigint] || {codes}, lambda crc, code: {octet}), 4294967295)"

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmart.llm.common import columns_as, materialise
+from segmart.llm.common import columns_as, crc32_sql, materialise
 
 # Nodes that become one node of the next level.
 RUN = 16
@@ -320,13 +320,6 @@ def _proved(rows: DataFrame) -> DataFrame:
     return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-def _crc32_sql(number: str) -> str:
-    """Unsigned CRC-32 of a number in decimal, bit by bit, as SQL."""
-    octet = "list_reduce([xor(crc, code)] || list_transform(range(8), lambda i: 0), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))"
-    codes = f"list_transform(string_split(cast({number} AS varchar), ''), lambda x: cast(ascii(x) AS bigint))"
-    return f"xor(list_reduce([4294967295::bigint] || {codes}, lambda crc, code: {octet}), 4294967295)"
-
-
 def _leaf_sql(text: str) -> str:
     fields = ["doc_id", "source", "lang", "n_chars", text]
     return "sha256(" + " || ".join(f"coalesce(strlen({f}::varchar) || ':' || {f}, '-')" for f in fields) + ")"
@@ -339,7 +332,7 @@ WITH RECURSIVE lowered AS (
 ),
 leaves AS (
   SELECT doc_id, coalesce('=' || source, '-') AS source, {_leaf_sql("text")} AS leaf,
-         CASE WHEN {_crc32_sql("doc_id")} % 5 = 0 THEN {_leaf_sql("small")} ELSE {_leaf_sql("text")} END AS altered
+         CASE WHEN {crc32_sql("doc_id")} % 5 = 0 THEN {_leaf_sql("small")} ELSE {_leaf_sql("text")} END AS altered
   FROM lowered
 ),
 placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmart.llm import bpe, exact, licenses, merkle, minhash, packing, pii, quality, secrets, toxicity, warc
+from segmart.llm import bpe, exact, licenses, merkle, minhash, packing, pii, quality, secrets, toxicity, trie, warc
 from segmart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_license_compression(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(table(spark, folder, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents"))
 
@@ -71,11 +75,13 @@ QUERIES: dict[str, Query] = {
     "op8_line_quality": op8_line_quality,
     "op9_secret_scan": op9_secret_scan,
     "op10_license_compression": op10_license_compression,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
     "op6_exact_dedup": exact.SQL,
     "op7_warc_chains": warc.SQL,
+    "op11_conversation_trie": trie.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }
