@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmart.llm import bpe, exact, licenses, merkle, minhash, packing, pii, quality, secrets, toxicity, trie, warc
+from segmart.llm import bpe, exact, licenses, merkle, minhash, packing, pii, quality, quantised, secrets, toxicity, trie, warc
 from segmart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefix_trie(table(spark, folder, "conversations"))
 
 
+def op12_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return quantised.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_license_compression": op10_license_compression,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_embedding_dedup": op12_embedding_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
