@@ -91,13 +91,13 @@ def test_planted_links_and_recall(spark, planted):
     assert sum(row[1] for row in found) >= 0.999 * total
     assert all(f[1] <= w[1] for f, w in zip(found, want))
     # Looking as far as a link can lead loses nothing.
-    assert result(near_vectors(table(spark, planted), QuantiseSettings(list_rows=8, reach=1.0))) == want
+    assert result(near_vectors(table(spark, planted), QuantiseSettings(list_rows=8, reach=0.5))) == want
 
 
 def test_blocks_and_buckets_change_nothing(spark, planted):
     rows = planted[600:]
     want = expected(rows)
-    small = QuantiseSettings(list_rows=32, reach=1.0, block_rows=16, bucket_rows=300)
+    small = QuantiseSettings(list_rows=32, reach=0.5, block_rows=16, bucket_rows=300)
     assert result(near_vectors(table(spark, rows), small)) == want
 
 
@@ -111,7 +111,7 @@ def test_edges(spark, planted):
         (-14, [5e-324, 0.0], 1), (-14, [5e-324, 0.0], 1), (-15, [1.0], 1), (-16, [-1.0], 1), (-17, one, planted[0][2]),
     ]
     want = expected([r if r[0] != -12 else (-12, [1.0, 2.0], 1) for r in rows])
-    found = result(near_vectors(table(spark, rows), QuantiseSettings(reach=1.0)))
+    found = result(near_vectors(table(spark, rows), QuantiseSettings(reach=0.5)))
     # Whatever has no id is kept.
     assert found == [row if row[0] is not None else (None, 0, None, True) for row in want]
 
@@ -119,5 +119,5 @@ def test_edges(spark, planted):
 def test_other_types_and_empty_table(spark, planted):
     rows = [(i, [float(np.float32(x)) for x in v], f"label {label}") for i, v, label in planted[:200]]
     df = table(spark, rows, "float", "string")
-    assert result(near_vectors(df, QuantiseSettings(reach=1.0))) == expected(rows)
+    assert result(near_vectors(df, QuantiseSettings(reach=0.5))) == expected(rows)
     assert result(near_vectors(empty(df))) == []
