@@ -19,7 +19,7 @@ def test_stages_take_effect(spark, documents):
     for doc_id, text in kept["quality_rules"].items():
         best[normal(text)] = min(best.get(normal(text), (0, 10**9)), (-len(text), doc_id))
     assert set(kept["exact_dedup"]) == {doc_id for _, doc_id in best.values()}
-    near = brute_force(list(kept["exact_dedup"].items()))
+    near = brute_force(list(kept["exact_dedup"].items()), percent=80)
     assert set(kept["near_dedup"]) == {doc_id for doc_id, _, _, stays in near if stays}
     assert set(kept["secret_scan"]) == set(kept["near_dedup"])
     pieces = stage_pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
