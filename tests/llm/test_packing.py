@@ -81,3 +81,18 @@ def test_similar_documents_are_neighbours(spark):
     pieces = pack(spark.createDataFrame(rows, "doc_id long, text string"), NAME, settings=PackSettings(length=512))
     order = [r.doc_id % 4 for r in pieces.where("start = 0").orderBy("sequence_id", "offset").collect()]
     assert sum(a == b for a, b in zip(order, order[1:], strict=False)) > 60
+
+
+def test_mixed_texts_give_the_ids_of_the_library(documents, library):
+    """Texts that are encoded whole, and others that just miss being so."""
+    draw = np.random.default_rng(3)
+    letters = " \n\t\r  '''.,!?-_0123456789²¼ª×÷aábcdeéfsdmtllvereXÀÖŁŒſ<|>endoftext\xa0 \x0b\x00ñ漢Жά"
+    base = "".join(r.text or "" for r in documents.limit(40).collect())
+    texts = ["a" * 20_000, " " * 3000 + "b", "'s" * 2000, "." * 3000, "<|endoftext|>"]
+    for i in range(3000):
+        mixed = "".join(letters[j] for j in draw.integers(0, len(letters), draw.integers(1, 30)))
+        at = int(draw.integers(0, len(base) - 60))
+        texts.append(base[at : at + 30] + mixed + base[at + 30 : at + 60] if i % 3 else mixed)
+    found = PieceTokenizer(public_tokenizers.path(NAME)).encode_all(texts)
+    for ids, want in zip(found, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == want.ids
