@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,17 +13,25 @@ from segmart.llm.common import free_name, named
 
 ROUNDS = 10
 
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
-_PHONE = (
-    r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
+# Repeated groups are bounded throughout: the engine goes one call deeper with each repetition.
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:" + _LABEL + r"\.){1,126}[A-Za-z]{2,24}"
+_TEN_DIGITS = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
+_PHONE = _TEN_DIGITS + (
+    r"|(?<![\w+])\+(?=(?:[ .()-]{0,2}\d){8,15}(?![ .()-]{0,2}\d))\d{1,3}(?:[ .-]\(?\d{1,12}\)?){1,5}(?!\w)"
     r"|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
 )
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-_DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-])(?!\.\d)"
+_DATE = (
+    r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}:|(?![\w/-]))"
+    r"|\d{1,2}/\d{1,2}/\d{4}(?![\w/-])|\d{1,2}\.\d{1,2}\.\d{4}(?![\w/-]))(?!\.\d)"
+)
 _IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w)(?!\.\d)"
-_CARD = r"(?<!\w)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\w)"
-PATTERN = "|".join((_EMAIL, _PHONE, _SSN, _DATE, _IP, _CARD))
-KINDS = ("email", "phone", "ssn", "date", "ip", "card")
+_IPV6 = r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::?[0-9A-Fa-f]{1,4})(?::[0-9A-Fa-f]{1,4}){0,6}(?![\w:])(?!\.\d)"
+_CARD = r"(?<!\w)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\w)"
+_IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)"
+PATTERN = "|".join((_EMAIL, _IBAN, _PHONE, _SSN, _DATE, _IP, _IPV6, _CARD))
+KINDS = ("email", "phone", "ssn", "date", "ip", "card", "ipv6", "iban")
 
 # 1900-01-01 to 2099-12-31 are 73,049 = 17 * 4,297 days.
 _FIRST_DAY, _DAY_PARTS = "1900-01-01", (17, 4297)
@@ -30,8 +40,13 @@ _AREAS, _GROUPS, _SERIALS = 898, 99, 9999
 
 
 def _keyed(key: str, tweak: str, *parts: Column) -> Column:
-    """A non-negative number below 2**60 from a keyed hash."""
-    digest = F.sha2(F.concat_ws(":", F.lit(key), F.lit(tweak), *[part.cast("string") for part in parts]), 256)
+    """A non-negative number below 2**60 from a keyed hash.
+
+    The plan holds a key of the kind only, from which ``key`` cannot be told. Whoever reads plans or
+    event logs can still undo pseudonyms, so those logs need the same care as the key.
+    """
+    own = hmac.new(key.encode(), tweak.encode(), hashlib.sha256).hexdigest()
+    digest = F.sha2(F.concat_ws(":", F.lit(own), *[part.cast("string") for part in parts]), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -115,11 +130,28 @@ def _card(value: Column, key: str) -> Column:
     return _fill(value, F.concat(text, check.cast("string")))
 
 
-def _phone(value: Column, key: str) -> Column:
+def _country(value: Column) -> Column:
+    """Digits of a phone number before its last ten, or before its first gap where groups vary."""
+    digits = _digits(value)
+    fixed = value.rlike(f"^(?:{_TEN_DIGITS})$") | ~F.startswith(value, F.lit("+"))
+    lead = F.regexp_extract(value, r"^\+(\d+)", 1)
+    return F.when(fixed, F.substring(digits, F.lit(1), F.char_length(digits) - 10)).otherwise(lead)
+
+
+def valid_phone(value: Column) -> Column:
+    """8 to 15 digits, and not one digit all over. Numbering plans are not consulted."""
     digits = _digits(value)
-    country = F.substring(digits, F.lit(1), F.char_length(digits) - 10)
-    number = feistel(F.right(digits, F.lit(10)).cast("long"), 10**5, 10**5, key, "phone")
-    return _fill(value, F.concat(country, _padded(number, 10)))
+    number = F.substring(digits, F.char_length(_country(value)) + 1, F.lit(15))
+    return F.char_length(digits).between(8, 15) & (F.char_length(number) >= 6) & ~number.rlike(r"^(\d)\1*$")
+
+
+def _phone(value: Column, key: str) -> Column:
+    digits, country = _digits(value), _country(value)
+    width = F.char_length(digits) - F.char_length(country)
+    half = F.call_function("div", width, F.lit(2)).cast("int")
+    number = F.substring(digits, F.char_length(country) + 1, width).cast("long")
+    hidden = feistel(number, _power(half), _power(width - half), key, "phone")
+    return _fill(value, F.concat(country, _padded(hidden, width)))
 
 
 def _ssn_parts(value: Column) -> tuple[Column, Column, Column]:
@@ -152,17 +184,16 @@ def _ip(value: Column, key: str) -> Column:
     return F.concat_ws(".", *parts)
 
 
-_FORMATS = (("-", "yyyy-MM-dd"), ("/", "MM/dd/yyyy"), (".", "dd.MM.yyyy"))
+# Separator, and the places of year, month and day between two of them.
+_FORMATS = (("-", (1, 2, 3)), ("/", (3, 1, 2)), (".", (3, 2, 1)))
 
 
 def _parsed(value: Column) -> Column:
     day = F.lit(None).cast("date")
-    for mark, form in _FORMATS:
+    for mark, places in _FORMATS:
         # Through the calendar, so that 31 February is no date.
-        places = {part: form.index(part) + 1 for part in ("yyyy", "MM", "dd")}
-        iso = F.concat_ws(
-            "-", *[F.substring(value, place, len(part)) for part, place in places.items()]
-        )
+        parts = [F.split_part(value, F.lit(mark), F.lit(place)) for place in places]
+        iso = F.concat_ws("-", parts[0], *[F.lpad(part, 2, "0") for part in parts[1:]])
         day = F.when(F.contains(value, F.lit(mark)), iso.try_cast("date")).otherwise(day)
     return day
 
@@ -173,35 +204,42 @@ def valid_date(value: Column) -> Column:
 
 
 def _date(value: Column, key: str) -> Column:
+    """Another day in the same form; months and days keep their zeros unless the original leaves them out."""
     days = F.datediff(_parsed(value), F.to_date(F.lit(_FIRST_DAY))).cast("long")
     day = F.date_add(F.to_date(F.lit(_FIRST_DAY)), feistel(days, *_DAY_PARTS, key, "date").cast("int"))
-    shown = F.lit(None).cast("string")
-    for mark, form in _FORMATS:
-        shown = F.when(F.contains(value, F.lit(mark)), F.date_format(day, form)).otherwise(shown)
+    shown = F.date_format(day, "yyyy-MM-dd")
+    for mark, long_form, short_form in (("/", "MM/dd/yyyy", "M/d/yyyy"), (".", "dd.MM.yyyy", "d.M.yyyy")):
+        whole = F.when(F.char_length(value) == 10, F.date_format(day, long_form)).otherwise(F.date_format(day, short_form))
+        shown = F.when(F.contains(value, F.lit(mark)), whole).otherwise(shown)
     return shown
 
 
-def _email(value: Column, key: str) -> Column:
-    """Letters and digits of the local part move within their class; the host stays."""
-    local = F.split(F.split_part(value, F.lit("@"), F.lit(1)), "")
-    size = F.call_function("div", F.size(local) + 1, F.lit(2)).cast("int")
+def valid_ipv6(value: Column) -> Column:
+    """Eight groups, or fewer around one double colon."""
+    groups = F.size(F.split(value, ":"))
+    double = F.char_length(F.regexp_replace(value, "::", ":")) == F.char_length(value) - 1
+    return ((groups == 8) & ~F.contains(value, F.lit("::"))) | (double & (groups <= 8) & (groups >= 3))
+
+
+_CLASSES = (("a", 26, "^[a-z]$"), ("A", 26, "^[A-Z]$"), ("0", 10, "^[0-9]$"))
+
+
+def _moved(text: Column, key: str, tweak: str, classes: tuple = _CLASSES) -> Column:
+    """Characters move within their class, each half by keyed amounts that hang on the other half."""
+    letters = F.split(text, "")
+    size = F.call_function("div", F.size(letters) + 1, F.lit(2)).cast("int")
     start = F.struct(
-        F.slice(local, 1, size).alias("l"), F.slice(local, size + 1, F.size(local) - size).alias("r")
+        F.slice(letters, 1, size).alias("l"), F.slice(letters, size + 1, F.size(letters) - size).alias("r")
     )
 
     def moved(half: Column, other: Column, turn: Column) -> Column:
         def shift(c: Column, i: Column) -> Column:
-            by = _keyed(key, "email", turn, i, F.array_join(other, ""))
-
-            def within(first: str, size: int) -> Column:
-                return F.char((F.ascii(c) - ord(first) + by) % size + ord(first))
-
-            return (
-                F.when(c.rlike("^[a-z]$"), within("a", 26))
-                .when(c.rlike("^[A-Z]$"), within("A", 26))
-                .when(c.rlike("^[0-9]$"), within("0", 10))
-                .otherwise(c)
-            )
+            by = _keyed(key, tweak, turn, i, F.array_join(other, ""))
+            found = c
+            for first, count, pattern in classes:
+                within = F.char((F.ascii(c) - ord(first) + by) % count + ord(first))
+                found = F.when(c.rlike(pattern), within).otherwise(found)
+            return found
 
         return F.transform(half, shift)
 
@@ -212,9 +250,47 @@ def _email(value: Column, key: str) -> Column:
             F.when(even, state["r"]).otherwise(moved(state["r"], state["l"], turn)).alias("r"),
         )
 
-    hidden = F.aggregate(
+    return F.aggregate(
         F.sequence(F.lit(0), F.lit(3)), start, one, lambda state: F.array_join(F.concat(state["l"], state["r"]), "")
     )
+
+
+def _ipv6(value: Column, key: str) -> Column:
+    """Decimal digits move among themselves and so do the letters of either case; colons stay."""
+    return _moved(value, key, "ipv6", (("a", 6, "^[a-f]$"), ("A", 6, "^[A-F]$"), ("0", 10, "^[0-9]$")))
+
+
+def _rest_of(text: Column, modulus: int) -> Column:
+    """The remainder of a number written in digits and letters (A is 10, Z is 35)."""
+    return F.aggregate(
+        F.split(text, ""),
+        F.lit(0).cast("long"),
+        lambda rest, c: F.when(c.rlike("^[0-9]$"), (rest * 10 + (F.ascii(c) - 48)) % modulus).otherwise(
+            (rest * 100 + (F.ascii(c) - 55)) % modulus
+        ),
+    )
+
+
+def valid_iban(value: Column) -> Column:
+    plain = F.replace(value, F.lit(" "))
+    turned = F.concat(F.substring(plain, 5, 34), F.substring(plain, 1, 4))
+    return (F.char_length(plain) <= 34) & (_rest_of(turned, 97) == 1)
+
+
+def _iban(value: Column, key: str) -> Column:
+    """The account's letters and digits move within their class; the check digits follow them."""
+    plain = F.replace(value, F.lit(" "))
+    country = F.substring(plain, 1, 2)
+    account = _moved(F.substring(plain, 5, 30), key, "iban")
+    check = 98 - _rest_of(F.concat(account, country, F.lit("00")), 97)
+    whole = F.concat(country, _padded(check, 2), account)
+    groups = F.regexp_replace(whole, "(.{4})(?=.)", "$1 ")
+    return F.when(F.contains(value, F.lit(" ")), groups).otherwise(whole)
+
+
+def _email(value: Column, key: str) -> Column:
+    """Letters and digits of the local part move within their class; the host stays."""
+    hidden = _moved(F.split_part(value, F.lit("@"), F.lit(1)), key, "email")
     return F.concat(hidden, F.lit("@"), F.split_part(value, F.lit("@"), F.lit(2)))
 
 
@@ -222,16 +298,20 @@ def _kind(value: Column) -> Column:
     """The kind of a match, null if its number or date is not valid."""
     return (
         F.when(F.contains(value, F.lit("@")), "email")
+        .when(value.rlike(f"^(?:{_IBAN})$"), F.when(valid_iban(value), "iban"))
         .when(value.rlike(f"^(?:{_SSN})$"), F.when(valid_ssn(value), "ssn"))
         .when(value.rlike(f"^(?:{_DATE})$"), F.when(valid_date(value), "date"))
         .when(value.rlike(f"^(?:{_IP})$"), F.when(valid_ip(value), "ip"))
+        .when(value.rlike(f"^(?:{_IPV6})$"), F.when(valid_ipv6(value), "ipv6"))
         .when(value.rlike(f"^(?:{_CARD})$"), F.when(valid_card(value), "card"))
-        .otherwise("phone")
+        .otherwise(F.when(valid_phone(value), "phone"))
     )
 
 
 _PSEUDONYMS: dict[str, Callable[[Column, str], Column]] = {
     "email": _email,
+    "ipv6": _ipv6,
+    "iban": _iban,
     "phone": _phone,
     "ssn": _ssn,
     "date": _date,
@@ -245,10 +325,19 @@ def pseudonymise(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, text with pseudonyms, n_<kind> for each kind, found.
 
-    ``found`` lists (kind, original, pseudonym) in text order. Numbers and dates that fail their check
-    (Luhn sum, calendar, ranges) stay as they are. Equal values become equal pseudonyms in every
-    document, since each is a permutation of its format under ``key``. A null text stays null with no
-    findings; empty texts, repeated rows and rows without id are treated one by one. Nothing is
+    ``found`` lists (kind, original, pseudonym) in text order. Equal values become equal pseudonyms in every
+    document, since each is a permutation of its format under ``key``; an IPv6 address is linked as it is
+    spelt. What fails its check stays as it is: Luhn sums of cards, remainders of IBANs, the calendar
+    (1900 to 2099), ranges of address and social security numbers, the number of digits of phones.
+
+    Forms: dates 2024-05-01 (also before a time), 5/1/2024 (month first) and 1.5.2024 (day first); cards
+    of 13 to 19 digits, in fours, or as 4-6-4 and 4-6-5; phones with ``+`` and groups, or three, three and
+    four digits; IPv4, IPv6 without an IPv4 tail; IBANs in one piece or in fours; e-mail addresses of up to
+    126 labels, whose hosts and letters beyond a-z stay. Other forms, names and addresses are not looked for.
+
+    A null text stays null with no findings; empty texts, repeated rows and rows without id are treated one
+    by one, and an empty table gives no rows. Texts of any length are searched whole; no pattern's depth
+    grows with them. Columns other than the two named are left out, whatever their names. Nothing is
     shuffled, and texts without a digit or an at-sign are not searched.
     """
     text = named(text_column)
