@@ -17,15 +17,10 @@ def distinct_values(df: DataFrame, column: str, max_values: int = MAX_CATEGORIES
     """Sorted non-null values of a category; refuses a column with too many to become columns."""
     rows = df.select(named(column).alias("v")).where("v IS NOT NULL").distinct().limit(max_values + 1).collect()
     if len(rows) > max_values:
-        raise ValueError(f"{column} has more than {max_values} values; category_sums gives them in long form")
+        raise ValueError(f"{column} has more than {max_values} values; keep them in long form, as sparse.customer_values does")
     return sorted(row["v"] for row in rows)
 
 
-def category_sums(df: DataFrame, feature: str, measure: str, key: str = CUSTOMER) -> DataFrame:
-    """(key, value, sum) in long form, for categories with too many values to become columns."""
-    return df.groupBy(key, named(feature).alias("value")).agg(F.sum(measure).alias("sum"))
-
-
 def _pivot_sum(
     df: DataFrame, feature: str, values: Sequence, measure: str, key: str
 ) -> tuple[DataFrame, DataFrame]:

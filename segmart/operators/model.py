@@ -73,9 +73,16 @@ def keep_features(
     key: str = CUSTOMER,
 ) -> DataFrame:
     """Drop the features that are mostly zero or whose name contains a stopword (case matters)."""
-    sparse = {row["feature"] for row in zero_share(df, key).where(F.col("zero_share") >= threshold).collect()}
-    kept = [c for c in feature_names(df, key) if c not in sparse and not any(word in c for word in stopwords)]
-    return df.selectExpr(key, *[quoted(c) for c in kept])
+    kept = set(kept_names(zero_share(df, key), threshold, stopwords))
+    return df.selectExpr(key, *[quoted(c) for c in feature_names(df, key) if c in kept])
+
+
+def kept_names(
+    shares: DataFrame, threshold: float = ZERO_SHARE_THRESHOLD, stopwords: Sequence[str] = FEATURE_NAME_STOPWORDS
+) -> list[str]:
+    """Sorted names of the features below ``threshold`` zeros and without a stopword."""
+    filled = shares.where(F.col("zero_share") < threshold).select("feature").collect()
+    return sorted(row["feature"] for row in filled if not any(word in row["feature"] for word in stopwords))
 
 
 def standardise(df: DataFrame, key: str = CUSTOMER) -> DataFrame:

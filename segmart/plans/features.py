@@ -17,13 +17,15 @@ from segmart.operators.customer import (
     tenure,
     transactional,
 )
-from segmart.operators.encode import CUSTOMER, count_encoding, distinct_values, one_hot, share_of_wallet
+from segmart.operators import sparse
+from segmart.operators.encode import CUSTOMER, distinct_values, one_hot
 from segmart.operators.tags import attach_tags
 from segmart.plans.datamart import Datamart
 from segmart.session import materialise
 from segmart.sources.tables import write_parquet
 
 SUBCAT, MAINCAT, BRAND = "item_subcat_desc_cleaned", "maincat_desc_cleaned", "prod_brand"
+CATEGORIES = {"subcat": SUBCAT, "maincat": MAINCAT, "brand": BRAND}
 # Feature tables that clustering joins, in a fixed order; tags are optional per customer.
 CLUSTERING_TABLES = [
     "subcat",
@@ -54,29 +56,44 @@ def purchase_totals(clean: DataFrame) -> DataFrame:
     )
 
 
-def category_values(clean: DataFrame, settings: FeatureSettings) -> dict[str, Sequence[str]]:
-    """Values that become columns: those given, else one bounded distinct query each."""
-    return {c: settings.values.get(c) or distinct_values(clean, c) for c in (SUBCAT, MAINCAT, BRAND)}
+def feature_values(totals: DataFrame, item_tags: DataFrame, fan_out: bool = False) -> DataFrame:
+    """What every customer bought of every category value and tag, in long form."""
+    per_item = totals.groupBy(CUSTOMER, "item_desc").agg(F.sum("sold_qty").alias("sold_qty"))
+    return sparse.customer_values(totals, CATEGORIES, attach_tags(per_item, item_tags, fan_out=fan_out))
+
+
+def category_values(values: DataFrame) -> dict[str, list[str]]:
+    """The values that occur, by category, as names of columns; their catalogue is read once."""
+    found: dict[str, list[str]] = {name: [] for name in (*CATEGORIES, sparse.TAG)}
+    for row in values.where("value IS NOT NULL").select("category", "value").distinct().collect():
+        found[row["category"]].append(row["value"])
+    return {name: sorted(members) for name, members in found.items()}
+
+
+def encoded_tables(values: DataFrame, names: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """The count and share tables with a column for each name of a category."""
+    present = {name: [v for v in members if v != ""] for name, members in names.items()}
+    counts = {name: sparse.wide_counts(values, name, present[name]) for name in CATEGORIES}
+    shares = {f"share_of_wallet_{name}": sparse.wide_shares(values, name, names[name]) for name in CATEGORIES}
+    return counts | shares | {"tagging": sparse.wide_counts(values, sparse.TAG, present[sparse.TAG])}
 
 
 def build_features(datamart: Datamart, settings: FeatureSettings) -> dict[str, DataFrame]:
+    """Feature tables by name: ``customer_features`` in long form, from which stage 4 starts, and the wide ones.
+
+    Wide tables have a column for every value that occurs, or for those in ``settings.values``.
+    """
     clean = clean_for_features(datamart.transaction)
     totals = materialise(purchase_totals(clean), "purchase_totals")
-    values = category_values(totals, settings)
-    per_item = totals.groupBy(CUSTOMER, "item_desc").agg(F.sum("sold_qty").alias("sold_qty"))
-    tagged = attach_tags(per_item, datamart.item_tags, fan_out=settings.fan_out)
+    values = materialise(feature_values(totals, datamart.item_tags, settings.fan_out), "customer_values")
+    names = category_values(values)
+    given = {name: settings.values[column] for name, column in (*CATEGORIES.items(), (sparse.TAG, "tags")) if column in settings.values}
     # Stored, as the cutoffs are read from it before the bands are set.
     spending = materialise(transactional(clean, settings.visit_start, settings.visit_end), "spending")
-    return {
-        "subcat": count_encoding(totals, SUBCAT, values[SUBCAT], prefix="subcat_"),
-        "maincat": count_encoding(totals, MAINCAT, values[MAINCAT], prefix="maincat_"),
-        "brand": count_encoding(totals, BRAND, values[BRAND], prefix="brand_"),
-        "tagging": count_encoding(tagged, "tags", settings.values.get("tags"), prefix="tag_"),
+    return encoded_tables(values, names | given) | {
+        "customer_features": materialise(sparse.customer_features(values), "customer_features"),
         "demographic": demographic_features(clean, datamart.first_purchase, settings.as_of),
         "transactional": price_point(spending, price_cutoffs(spending, relative_error=settings.price_error)),
-        "share_of_wallet_subcat": share_of_wallet(totals, SUBCAT, "_SOW_by_subcat", values[SUBCAT]),
-        "share_of_wallet_maincat": share_of_wallet(totals, MAINCAT, "_SOW_by_maincat", values[MAINCAT]),
-        "share_of_wallet_brand": share_of_wallet(totals, BRAND, "_SOW_by_brand", values[BRAND]),
     }
 
 

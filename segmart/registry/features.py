@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmart.functions.columns import named, quoted
-from segmart.operators import model
+from segmart.operators import model, sparse
 from segmart.operators.clean import clean_for_features
 from segmart.operators.customer import (
     demographics,
@@ -17,18 +17,12 @@ from segmart.operators.customer import (
     transactional,
     visits,
 )
-from segmart.operators.encode import CUSTOMER, collect_values, count_encoding, share_of_wallet
+from segmart.operators.encode import CUSTOMER, collect_values
 from segmart.operators.tags import attach_tags, tag_items
-from segmart.plans.features import BRAND, MAINCAT, SUBCAT, demographic_features
+from segmart.plans.features import BRAND, MAINCAT, SUBCAT, category_values, demographic_features, encoded_tables
 from segmart.registry import mart as m
 from segmart.sources import retail
 
-DEMOGRAPHIC_VALUES = {
-    "customer_sex": ["M", "F", "C"],
-    "cust_nat_cat": ["Hong Kong", "Mainland China", "Macau", "Others"],
-    "tenure": ["0-1", "1-3", "3-7", "8+"],
-    "age": ["< 25", "26 - 30", "31 - 35", "36 - 40", "41 - 50", "> 51"],
-}
 CENTRES = [[5000.0, 5, 1, 0], [60000.0, 20, 1, 1], [150000.0, 60, 2, 1], [300000.0, 120, 4, 1], [600000.0, 250, 8, 2]]
 OUTLIERS = ("V2", "V4", "V60")
 
@@ -39,14 +33,11 @@ def tagged_totals(mart: m.Mart, fan_out: bool = False) -> DataFrame:
 
 
 def counts(mart: m.Mart, name: str) -> DataFrame:
-    column = {"subcat": SUBCAT, "maincat": MAINCAT, "brand": BRAND, "tag": "tags"}[name]
-    source = tagged_totals(mart) if name == "tag" else mart.totals
-    return count_encoding(source, column, m.VALUES[column], prefix=f"{name}_")
+    return encoded_tables(mart.values, category_values(mart.values))["tagging" if name == "tag" else name]
 
 
 def shares(mart: m.Mart, name: str) -> DataFrame:
-    column = {"subcat": SUBCAT, "maincat": MAINCAT, "brand": BRAND}[name]
-    return share_of_wallet(mart.totals, column, f"_SOW_by_{name}", m.VALUES[column])
+    return encoded_tables(mart.values, category_values(mart.values))[f"share_of_wallet_{name}"]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -59,24 +50,28 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def feature_tables(mart: m.Mart) -> dict[str, DataFrame]:
-    return {
-        "subcat": counts(mart, "subcat"),
-        "maincat": counts(mart, "maincat"),
-        "brand": counts(mart, "brand"),
-        "share_of_wallet_subcat": shares(mart, "subcat"),
-        "share_of_wallet_maincat": shares(mart, "maincat"),
-        "share_of_wallet_brand": shares(mart, "brand"),
-        "tagging": counts(mart, "tag"),
-    }
-
-
 def spending(mart: m.Mart) -> DataFrame:
     return mart.spending
 
 
+def whole_counts(matrix: DataFrame) -> DataFrame:
+    return matrix.selectExpr(
+        *[f"cast({quoted(c)} AS bigint) AS {quoted(c)}" if c.endswith("_qty") else quoted(c) for c in matrix.columns]
+    )
+
+
 def full_matrix(mart: m.Mart) -> DataFrame:
-    return model.feature_matrix(feature_tables(mart))
+    return mart.matrix
+
+
+def sparse_rows(mart: m.Mart) -> DataFrame:
+    """The sparse vectors as text: positions and values of each customer."""
+    found = sparse.sparse_vectors(mart.features, mart.dictionary)
+    return found.select(
+        CUSTOMER,
+        F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"),
+        F.round(F.aggregate("values", F.lit(0.0), lambda total, x: total + x), 3).alias("total"),
+    )
 
 
 def unpivoted(df: DataFrame) -> DataFrame:
@@ -206,9 +201,7 @@ QUERIES = {
     ),
     "tenure_bands": lambda t: tenure(t.first_purchase, retail.AS_OF),
     "demographics": lambda t: demographics(t.clean, tenure(t.first_purchase, retail.AS_OF)),
-    "one_hot_demographics": lambda t: demographic_features(
-        t.clean, t.first_purchase, retail.AS_OF, DEMOGRAPHIC_VALUES
-    ),
+    "one_hot_demographics": lambda t: demographic_features(t.clean, t.first_purchase, retail.AS_OF),
     "visits": lambda t: visits(t.clean, *retail.WINDOW),
     "transactional": lambda t: rounded(
         spending(t).withColumn("visit", F.col("visit").cast("double"))
@@ -222,9 +215,12 @@ QUERIES = {
     "price_point_approx": lambda t: price_point(spending(t), price_cutoffs(spending(t))).select(
         CUSTOMER, "net_amt_hkd", "price_point"
     ),
-    "feature_matrix_join": lambda t: rounded(full_matrix(t)),
-    "outlier_exclusion": lambda t: rounded(model.feature_matrix(feature_tables(t), excluded_ids=OUTLIERS)),
-    "zero_share": lambda t: rounded(model.zero_share(full_matrix(t))),
+    "customer_features": lambda t: rounded(t.features),
+    "feature_dictionary": lambda t: t.dictionary,
+    "sparse_vectors": sparse_rows,
+    "feature_matrix_join": lambda t: rounded(whole_counts(full_matrix(t))),
+    "outlier_exclusion": lambda t: rounded(whole_counts(model.drop_ids(full_matrix(t), OUTLIERS))),
+    "zero_share": lambda t: rounded(sparse.feature_zero_share(t.features)),
     "standardised_features": lambda t: rounded(unpivoted(model.standardise(full_matrix(t))), 3),
     "correlation_matrix": correlation_long,
     "wcss_k1": lambda t: rounded(

@@ -6,55 +6,18 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmart.operators import model
+from segmart.operators import model, sparse
 from segmart.operators.cards import first_purchase
 from segmart.operators.clean import clean_for_features
 from segmart.operators.customer import transactional
 from segmart.operators.tags import tag_items
 from segmart.plans.datamart import Lookups, Warehouse, current_lookups, transactions
-from segmart.plans.features import BRAND, MAINCAT, SUBCAT, purchase_totals
+from segmart.plans.features import feature_values, purchase_totals
 from segmart.plans.personas import PersonaResult, build_personas
 from segmart.plans.reports import SegmentReports
 from segmart.session import materialise
 from segmart.sources import retail
 
-MAINCATS = [
-    "Devices, Tool & Acc",
-    "ECONOMY",
-    "LARGE",
-    "Life-styled",
-    "MEDIUM",
-    "N/A",
-    "PROMO",
-    "SMALL",
-    "STANDARD",
-    "Set",
-    "Take-In",
-    "ZZ",
-]
-SUBCATS = ["N/A", "Set", "anvil", "bolt", "dot.ted", "gear", "gizmo", "plate", "ring", "rod", "widget"]
-BRANDS = [f"Brand#{i}" for i in range(1, 26)]
-TAGS = [
-    "CLEANSER",
-    "CREAM",
-    "EYE",
-    "FRAGRANCE",
-    "GOLD/DIAMOND",
-    "KIDS",
-    "LIP",
-    "MOISTURIZING",
-    "REPAIRING",
-    "SERUM",
-    "SET",
-    "SHAMPOO/CONDITIONERS",
-    "SPRAY",
-    "SUNSCREEN",
-    "WASH",
-    "XM\\GIFT\\CHRISTMAS",
-]
-VALUES = {SUBCAT: SUBCATS, MAINCAT: MAINCATS, BRAND: BRANDS, "tags": TAGS}
-
-
 class Mart:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
@@ -100,19 +63,27 @@ class Mart:
         )
 
     @cached_property
-    def kept(self) -> DataFrame:
-        """Clustering features that are not mostly zero, stored."""
-        from segmart.registry.features import feature_tables
+    def values(self) -> DataFrame:
+        return materialise(feature_values(self.totals, self.item_tags), "customer_values")
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return materialise(sparse.customer_features(self.values), "customer_features")
 
-        matrix = materialise(model.feature_matrix(feature_tables(self)), "feature_matrix")
-        return model.keep_features(matrix)
+    @cached_property
+    def dictionary(self) -> DataFrame:
+        return materialise(sparse.feature_dictionary(self.features), "feature_dictionary")
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        """All features of the samples as columns, stored."""
+        names = [row["feature"] for row in self.dictionary.orderBy("position").collect()]
+        return materialise(sparse.wide_features(self.features, names), "feature_matrix")
 
     @cached_property
     def result(self) -> PersonaResult:
         """Stage 4 as a whole: selection, factors, the selected features, k-means."""
-        from segmart.registry.features import feature_tables
-
-        return build_personas(feature_tables(self))
+        return build_personas({"customer_features": self.features})
 
     @cached_property
     def curve(self) -> DataFrame:
