@@ -27,6 +27,7 @@ from segmart.constants import (
     ZERO_SHARE_THRESHOLD,
 )
 from segmart.functions.columns import named, quoted
+from segmart.operators import sweep
 from segmart.operators.encode import CUSTOMER
 
 VECTOR = "features"
@@ -177,23 +178,34 @@ def select_features(loadings: DataFrame, n: int = N_SELECTED, ascending: bool =
 
 
 def wcss_curve(
-    vectors: DataFrame, ks: Sequence[int] = range(1, WCSS_MAX_K + 1), restarts: int = WCSS_RESTARTS, seed: int = 1
+    vectors: DataFrame,
+    ks: Sequence[int] = range(1, WCSS_MAX_K + 1),
+    restarts: int = WCSS_RESTARTS,
+    seed: int = 1,
+    sample_rows: int = 20_000,
+    max_scans: int = 300,
 ) -> DataFrame:
-    """(k, wcss): within-cluster sum of squares, the best of ``restarts`` fits per k."""
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    """(k, wcss, moved): within-cluster sum of squares, the best of ``restarts`` fits per k.
+
+    All fits advance together, one scan of the vectors for a step of every one of them. Starts are k-means++
+    on at most ``sample_rows`` vectors, the first by a hash of themselves; everything else uses all of
+    them. ``moved`` is the longest last step of any centre, at most 1e-4 unless scans ran out. No vectors, no rows.
+    """
+    spark = vectors.sparkSession
+    points = vectors.select(vector_to_array(VECTOR).alias(sweep.POINT)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        curve = [(k, _wcss(vectors, k, restarts, seed)) for k in ks]
+        chosen = points.orderBy(F.xxhash64(sweep.POINT), sweep.POINT).limit(sample_rows).collect()
+        if not chosen or not len(chosen[0][0]):
+            return spark.createDataFrame([], "k int, wcss double, moved double")
+        starts = sweep.sample_starts(np.array([row[0] for row in chosen]), ks, restarts, seed)
+        found = sweep.lloyd_sweep(points, starts, max_scans)
     finally:
-        vectors.unpersist()
-    return vectors.sparkSession.createDataFrame(curve, "k int, wcss double")
-
-
-def _wcss(vectors: DataFrame, k: int, restarts: int, seed: int) -> float:
-    if k == 1:
-        # One cluster is the mean: the sum of squares follows from the variances.
-        summary = vectors.select(Summarizer.metrics("count", "variance").summary(F.col(VECTOR)).alias("s")).first()["s"]
-        return float(summary["variance"].toArray().sum() * max(summary["count"] - 1, 0))
-    return min(fit_kmeans(vectors, k, seed + i).summary.trainingCost for i in range(restarts))
+        points.unpersist()
+    best: dict[int, float] = {}
+    fits = [k for k in ks for _ in range(restarts if k > 1 else 1)]
+    for k, cost in zip(fits, found.costs, strict=True):
+        best[k] = min(cost, best.get(k, cost))
+    return spark.createDataFrame([(k, cost, found.moved) for k, cost in best.items()], "k int, wcss double, moved double")
 
 
 def fit_kmeans(vectors: DataFrame, k: int = FINAL_K, seed: int = 1, max_iterations: int = 300) -> KMeansModel:

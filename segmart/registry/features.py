@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmart.functions.columns import named, quoted
-from segmart.operators import model, sparse
+from segmart.operators import model, sparse, sweep
 from segmart.operators.clean import clean_for_features
 from segmart.operators.customer import (
     demographics,
@@ -160,15 +161,26 @@ def persona_check(mart: m.Mart) -> DataFrame:
 
 
 def wcss_check(mart: m.Mart) -> DataFrame:
-    """Points of the curve, and whether every k is at most as far from its centres as one cluster is."""
+    """Points of the curve, whether it starts at its top and falls, and whether all centres came to rest."""
     first = F.max(F.when(F.col("k") == 1, F.col("wcss")))
     return mart.curve.agg(
         F.count(F.lit(1)).alias("points"),
         (F.max("wcss") <= first).alias("one_is_most"),
         (F.min_by("wcss", "k") >= F.max_by("wcss", "k")).alias("falls"),
+        (F.max("moved") <= 1e-4).alias("at_rest"),
     )
 
 
+def wcss_of_centres(mart: m.Mart) -> DataFrame:
+    """Sums of squares around the first one to five of the given centres, all from one scan."""
+    columns = ("net_amt_hkd", "sold_qty", "invoice_no", "visit")
+    points = spending_features(mart).select(F.array(*[F.col(c).cast("double") for c in columns]).alias(sweep.POINT))
+    models = [np.array(CENTRES[:k], dtype=float) for k in range(1, len(CENTRES) + 1)]
+    costs = sweep.model_costs(points, models)
+    # In units that doubles hold exactly whatever the order of summing.
+    return mart.spark.createDataFrame([(k, round(cost / 1e6, 2)) for k, cost in enumerate(costs, 1)], "k int, wcss_millions double")
+
+
 def factor_selection_check(mart: m.Mart) -> DataFrame:
     """Features that take part, how many are selected, and whether no other one has a lower total loading."""
     scores = mart.result.loadings.groupBy("feature").agg(F.sum(F.abs("loading")).alias("score"))
@@ -224,14 +236,15 @@ QUERIES = {
     "standardised_features": lambda t: rounded(unpivoted(model.standardise(full_matrix(t))), 3),
     "correlation_matrix": correlation_long,
     "wcss_k1": lambda t: rounded(
-        model.wcss_curve(model.assemble(maincat_counts(t)), ks=[1]), 3
+        model.wcss_curve(model.assemble(maincat_counts(t)), ks=[1]).select("k", "wcss"), 3
     ),
+    "wcss_of_centres": wcss_of_centres,
     "nearest_centre": lambda t: model.nearest_centre(spending_features(t), CENTRES),
     "factor_loadings": lambda t: t.result.loadings,
     "factor_selection": factor_selection,
     "factor_selection_check": factor_selection_check,
     "price_point_check": price_point_check,
-    "wcss_curve": lambda t: t.curve,
+    "wcss_curve": lambda t: t.curve.select("k", "wcss"),
     "wcss_check": wcss_check,
     "kmeans_personas": lambda t: t.result.personas,
     "persona_check": persona_check,
