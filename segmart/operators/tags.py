@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from segmart.constants import TAG_KEYWORDS
 from segmart.operators.skew import lookup_join
+from segmart.operators.tag_index import rule_table, tags_by_index
 
 ITEM_COLUMNS = ["item_desc", "maincat_desc", "item_subcat_desc"]
 
@@ -34,11 +35,27 @@ def tag_array(
     return F.array_distinct(tags) if distinct_tags else tags
 
 
+# Rules up to this number are inline expressions; more of them go through an index. Tags are the same.
+INLINE_KEYWORDS = 200
+
+
 def tag_items(
-    lines: DataFrame, rules: Mapping[str, Sequence[str]] = TAG_KEYWORDS, distinct_tags: bool = False
+    lines: DataFrame,
+    rules: Mapping[str, Sequence[str]] | DataFrame = TAG_KEYWORDS,
+    distinct_tags: bool = False,
+    inline_keywords: int = INLINE_KEYWORDS,
 ) -> DataFrame:
-    """Tags of the distinct items of ``lines``."""
-    return lines.select(*ITEM_COLUMNS).distinct().withColumn("tags", tag_array(F.col("item_desc"), rules, distinct_tags))
+    """Tags of the distinct items of ``lines``.
+
+    ``rules`` maps tags to keywords, or is a table of (place, keyword, tag) of any size.
+    """
+    items = lines.select(*ITEM_COLUMNS).distinct()
+    if not isinstance(rules, DataFrame):
+        if sum(map(len, rules.values())) <= inline_keywords:
+            return items.withColumn("tags", tag_array(F.col("item_desc"), rules, distinct_tags))
+        rules = rule_table(lines.sparkSession, rules)
+    tags = tags_by_index(items, rules, distinct_tags).withColumnRenamed("item_desc", "of_desc")
+    return items.join(tags, F.col("item_desc").eqNullSafe(F.col("of_desc"))).drop("of_desc")
 
 
 def attach_tags(

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segmart.operators import antijoin
 from segmart.operators.cards import card_demographics
 from segmart.operators.enrich import enrich, sku_table, store_table, subcat_table
 from segmart.operators.lines import WHOLE_MONEY, build_lines, drop_net_zero, resolve_master
 from segmart.operators.snapshot import latest_snapshot
 from segmart.registry.mart import Mart
 from segmart.session import new_path
-from segmart.sources import retail
+from segmart.sources import catalog, retail
 from segmart.sources.tables import read_parquet, read_table, write_csv, write_parquet
 
 LINE = ["vip_no", "vip_main_no", "sales_main_key", "item_code", "order_date", "sold_qty", "net_amt_hkd"]
@@ -61,7 +64,65 @@ def catalog_scan(mart: Mart) -> DataFrame:
     return read_table(mart.spark, "segmart_first_purchase")
 
 
+def parquet_overwrite(mart: Mart) -> DataFrame:
+    """First purchases written over a table of the same name."""
+    path = new_path(mart.spark, "overwrite")
+    for rows in (mart.first_purchase.limit(1), mart.first_purchase):
+        write_parquet(rows, path, overwrite=True)
+    return mart.spark.read.schema(mart.first_purchase.schema).parquet(path)
+
+
+LINE_FACTS = ("vip_main_no", "order_date", "sold_qty", "net_amt_hkd")
+CHANGED_MONTH = "199705"
+
+
+def saved(mart: Mart, df: DataFrame, name: str, **options) -> str:
+    """A new table of the session's catalog in the shared folder; its name."""
+    path = new_path(mart.spark, name)
+    table = f"segmart_{name}_{os.path.basename(path).rpartition('-')[2].removesuffix('.parquet')}"
+    catalog.write_table(df, table, path=path, **options)
+    return table
+
+
+def catalog_partitions(mart: Mart) -> DataFrame:
+    """Lines in monthly partitions, one of which is then replaced by its lines of more than one piece."""
+    lines = catalog.by_month(mart.transaction.select(*LINE_FACTS), "order_date")
+    table = saved(mart, lines, "lines", partition_by=["order_month"], bucket_by=["vip_main_no"], buckets=8)
+    changed = lines.where((F.col("order_month") == CHANGED_MONTH) & (F.col("sold_qty") > 1))
+    now = catalog.overwrite_partitions(changed, table)
+    return now.groupBy(F.col("order_month").cast("string").alias("order_month")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("net_amt_hkd").alias("amount")
+    )
+
+
+def bucketed_join(mart: Mart) -> DataFrame:
+    """Amounts by persona from two tables in equal buckets by customer, joined where they lie."""
+    lines = saved(mart, mart.transaction.select(*LINE_FACTS), "facts", bucket_by=["vip_main_no"], buckets=8)
+    personas = saved(mart, retail.personas(mart.tables), "personas", bucket_by=["vip_main_no"], buckets=8)
+    joined = mart.spark.table(lines).join(mart.spark.table(personas), "vip_main_no")
+    return joined.groupBy("persona").agg(F.count(F.lit(1)).alias("lines"), F.sum("net_amt_hkd").alias("amount"))
+
+
+def not_in_cases(mart: Mart) -> DataFrame:
+    """Lines by brand whose customer is not in a list without nulls, in one with a null, and in an empty one."""
+    lines, found = mart.transaction.select("vip_main_no", "prod_brand"), []
+    bought = lines.where("prod_brand = 'Brand#11'").select("vip_main_no")
+    lists = {
+        "known": bought.where("vip_main_no IS NOT NULL"),
+        "with_null": bought.unionByName(bought.limit(1).select(F.lit(None).cast("string").alias("vip_main_no"))),
+        "empty": bought.where("false"),
+    }
+    for name, listed in lists.items():
+        kept = antijoin.not_in(lines, "vip_main_no", listed)
+        found.append(kept.groupBy("prod_brand").agg(F.count(F.lit(1)).alias("lines")).withColumn("list", F.lit(name)))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 QUERIES = {
+    "parquet_overwrite": parquet_overwrite,
+    "catalog_partitions": catalog_partitions,
+    "bucketed_join": bucketed_join,
+    "not_in_cases": not_in_cases,
     "parquet_round_trip": parquet_round_trip,
     "csv_round_trip": csv_round_trip,
     "catalog_scan": catalog_scan,

@@ -200,6 +200,7 @@ QUERIES = {
     ),
     "item_tags": item_tags,
     "item_tags_distinct": lambda t: item_tags(t, distinct_tags=True),
+    "item_tags_indexed": lambda t: item_tags(t, inline_keywords=0),
     "tag_fanout": lambda t: tagged_totals(t, True).groupBy(CUSTOMER, "tags").agg(F.sum("sold_qty").alias("qty")),
     "count_encode_subcat": lambda t: counts(t, "subcat"),
     "count_encode_maincat": lambda t: counts(t, "maincat"),
