@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmart.llm.common import columns_as, materialise, named
-from segmart.session import shared_dir
+from segmart.session import new_path
 
 # Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
@@ -191,7 +191,7 @@ def _reached(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def reachable(found: DataFrame) -> DataFrame:
-    """n, file, at, owner: pieces with the offset of the record that they belong to.
+    """n, file, block, at, owner: pieces with the offset of the record that they belong to.
 
     A candidate is a record only if the chain of records from the start of its file reaches it. Inside
     a block the chains are followed at once; over the blocks of a file the remaining pointers are
@@ -227,33 +227,45 @@ def reachable(found: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("file", "block", F.coalesce(F.max("last").over(earlier), F.lit(-1)).alias("carried"))
     return owned.join(carried, ["file", "block"]).select(
-        "n", "file", "at", F.greatest("owner", "carried").alias("owner")
+        "n", "file", "block", "at", F.greatest("owner", "carried").alias("owner")
     )
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: file, at, header, block (the content block as text).
+def _contents(pieces: DataFrame) -> DataFrame:
+    """``piece`` parted into header and block (the content block as text); other columns stay."""
+    head = F.substring_index("piece", _END, 1)
+    length = F.regexp_extract(head, r"(?i)(?:^|\r\n)Content-Length: *([0-9]{1,9})", 1).try_cast("int")
+    # In bytes, as the header counts; what follows the block are the two blank lines.
+    content = F.substring(F.col("piece").cast("binary"), F.octet_length(head) + 5, length).cast("string")
+    return pieces.withColumn("header", head).withColumn("block_text", content).drop("piece")
 
-    Payloads that contain the magic are put together again from their pieces; only those are grouped.
+
+def read_archives(
+    spark: SparkSession, path: str, then: Callable[[DataFrame], DataFrame] = lambda records: records
+) -> DataFrame:
+    """One row per record: file, at, header, block_text, or what ``then`` makes of the last two.
+
+    ``then`` may only project; it runs where the text is read, so that a text which nobody wants is not moved
+    to the place of its record. Payloads that contain the magic are put together again from their
+    pieces; only those are grouped. A record must fit into one task's memory, an archive need not.
     """
     owners = reachable(candidates(spark, path))
     pieces = owners.groupBy("file", "owner").agg(F.count(F.lit(1)).alias("pieces"))
-    owned = materialise(owners.join(pieces, ["file", "owner"]).where("owner >= 0").select("n", "file", "at", "owner", "pieces"), "warc-owned")
-    text = _pieces(spark, path).select("n", "piece").join(owned, "n")
-    whole = text.where("pieces = 1").select("file", "at", "piece")
+    owned = owners.join(pieces, ["file", "owner"]).where("owner >= 0")
+    owned = materialise(owned.select("n", "file", "block", "at", "owner", "pieces"), "warc-owned")
+    # Stored apart: its size is known, so that few pieces of such records do not make all text move.
+    parted = materialise(owned.where("pieces > 1").drop("pieces"), "warc-parted")
+    place = ["file", "block", "n"]
+    text = _pieces(spark, path)
+    whole = then(_contents(text)).join(owned.where("pieces = 1").select(*place, "at"), place)
     ordered = F.array_sort(F.collect_list(F.struct("at", "piece")))
-    parts = text.where("pieces > 1").groupBy("file", "owner").agg(ordered.alias("parts"))
+    parts = text.join(parted, place).groupBy("file", "owner").agg(ordered.alias("parts"))
     joined = parts.select(
         "file",
         F.col("owner").alias("at"),
         F.array_join(F.transform("parts", lambda part: part["piece"]), MAGIC).alias("piece"),
     )
-    every = whole.unionByName(joined)
-    head = F.substring_index("piece", _END, 1)
-    length = F.regexp_extract(head, r"(?i)(?:^|\r\n)Content-Length: *([0-9]+)", 1).cast("int")
-    # In bytes, as the header counts; what follows the block are the two blank lines.
-    content = F.substring(F.col("piece").cast("binary"), F.octet_length(head) + 5, length).cast("string")
-    return every.select("file", "at", head.alias("header"), content.alias("block"))
+    return whole.drop("block", "n").unionByName(then(_contents(joined)))
 
 
 def _field(name: str) -> Column:
@@ -261,15 +273,17 @@ def _field(name: str) -> Column:
 
 
 def page_rows(records: DataFrame) -> DataFrame:
-    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to.
+    """Adds page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to.
 
     Bytes and digest of a response are those of the payload that was read, not of its header.
     """
     revisit = _field("WARC-Type") == "revisit"
-    http = F.substring_index("block", _END, 1)
-    payload = F.substring(F.col("block").cast("binary"), F.octet_length(http) + 5, F.octet_length("block"))
-    stated = F.regexp_extract(http, r"(?i)\r\nContent-Length: *([0-9]+)", 1).cast("long")
+    http = F.substring_index("block_text", _END, 1)
+    payload = F.substring(F.col("block_text").cast("binary"), F.octet_length(http) + 5, F.octet_length("block_text"))
+    stated = F.regexp_extract(http, r"(?i)\r\nContent-Length: *([0-9]{1,18})", 1).try_cast("long")
+    kept = [name for name in records.columns if name not in ("header", "block_text")]
     return records.select(
+        *kept,
         _page_of(F.regexp_replace(_field("WARC-Record-ID"), "[<>]", "")).alias("page_id"),
         _field("WARC-Target-URI").alias("url"),
         F.when(~revisit, payload.cast("string")).alias("payload"),
@@ -282,15 +296,19 @@ def page_rows(records: DataFrame) -> DataFrame:
     )
 
 
-def round_trip(pages: DataFrame, compression: str = "gzip", **columns: str) -> DataFrame:
+def round_trip(pages: DataFrame, compression: str = "none", **columns: str) -> DataFrame:
     """Writes ``pages`` to archives in the shared folder and reads them back; see ``page_rows``.
 
-    An empty table gives an archive without records and no rows.
+    Archives are plain by default, so that they are split into blocks and no task needs a whole one;
+    ``compression="gzip"`` makes each one block. An empty table gives an archive without records and no
+    rows. Null pages and urls are empty, repeated rows are records of their own, pages without id are never
+    referred to. Texts of any length are written and read whole. Columns of ``pages`` that are not
+    named are left out, whatever their names. ``session.release`` deletes the archives.
     """
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write_archives(page_records(pages, **columns), path, compression)
-    return page_rows(read_archives(spark, path))
+    return read_archives(spark, path, page_rows).drop("file", "at")
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string, block long, payload string")
 
 
-@pytest.mark.parametrize(("block_bytes", "compression"), [(None, "gzip"), ("2500", "none")])
+@pytest.mark.parametrize(("block_bytes", "compression"), [(None, "gzip"), (None, "none"), ("2500", "none")])
 def test_magic_in_payloads_is_no_record(spark, pages, block_bytes, compression):
     """Also when files are split into blocks much smaller than a record."""
     if block_bytes:
@@ -48,6 +48,29 @@ def test_magic_in_payloads_is_no_record(spark, pages, block_bytes, compression):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_default_archives_are_many_blocks(spark, pages, monkeypatch):
+    """The pointers between blocks are followed on the registered path, and no task has a whole archive."""
+    seen = []
+    reachable = warc.reachable
+    monkeypatch.setattr(warc, "reachable", lambda found: seen.append(found) or reachable(found))
+    many = pages.crossJoin(spark.range(20).withColumnRenamed("id", "copy"))
+    many = many.selectExpr("page_id * 100 + copy AS page_id", "url", "concat(coalesce(html, ''), copy) AS html")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = warc.digest(warc.round_trip(many.coalesce(2))).collect()
+        blocks = seen[0].groupBy("file").agg({"block": "max"}).count(), seen[0].select("file", "block").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert blocks[0] <= 2 and blocks[1] > 10 * blocks[0]
+    rows = [(r.page_id, r.url, r.html) for r in many.collect()]
+    assert sorted(map(tuple, found), key=str) == expected(rows)
+
+
+def test_clashing_and_extra_columns(spark, pages):
+    odd = pages.withColumnRenamed("payload", "header").withColumn("piece", pages.url).withColumn("owner", pages.page_id)
+    assert sorted(map(tuple, warc.digest(warc.round_trip(odd)).collect()), key=str) == expected(ROWS)
+
+
 def test_empty_table(pages):
     assert warc.round_trip(pages.where("false")).count() == 0
 
