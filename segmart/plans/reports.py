@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from segmart.constants import AGE_LABELS, SEGMENT_ORDER, UNKNOWN_SEX
 from segmart.functions.columns import between_dates, named, normalised_sex, relabel, year_month
-from segmart.operators import cohort, cross
+from segmart.operators import cohort, cross, distinct_states
 from segmart.operators.customer import nationality_group, tenure, visits
 from segmart.operators.encode import CUSTOMER
 from segmart.operators.pivot import DISTINCT, SUM, attribute_pivot, category_pivot, segment_pivot, spread
+from segmart.operators.skew import lookup_join
 from segmart.operators.segment import SEGMENT, attach_segments, label_persona, override_segment
 from segmart.operators.clean import clean_for_profiling
 from segmart.operators.tags import attach_tags
@@ -106,6 +107,18 @@ class SegmentReports:
     def orders(self, order_key: str = "invoice_no") -> DataFrame:
         return self._pivot(self.in_window(), [], order_key, DISTINCT)
 
+    def order_states(self, order_key: str = "invoice_no") -> DataFrame:
+        """The orders of every segment and month (yyyyMM) as bitmaps, stored: counts of any months are found from them.
+
+        Lines are made distinct per customer, month and order before the segment join.
+        """
+        dated = self.lines.select(CUSTOMER, order_key, year_month(F.col("order_date")).alias("yyyymm"))
+        orders = dated.where(named(order_key).isNotNull()).distinct()
+        tagged = lookup_join(orders, self.segments.select(CUSTOMER, SEGMENT).distinct(), [CUSTOMER], "inner")
+        tagged = materialise(tagged.select(SEGMENT, "yyyymm", order_key).distinct(), "segment_orders")
+        ids = distinct_states.value_ids(tagged, order_key, "yyyymm")
+        return materialise(distinct_states.distinct_states(tagged, ids, [SEGMENT, "yyyymm"], order_key), "order_states")
+
     def visits(self) -> DataFrame:
         per_customer = visits(self.lines, self.settings.start_date, self.settings.end_date)
         return segment_pivot(per_customer, self.segments, [], "visit", SUM, self.settings.order)

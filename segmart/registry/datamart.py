@@ -7,14 +7,14 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmart.operators import antijoin
+from segmart.operators import antijoin, incremental
 from segmart.operators.cards import card_demographics
 from segmart.operators.enrich import enrich, sku_table, store_table, subcat_table
 from segmart.operators.lines import WHOLE_MONEY, build_lines, drop_net_zero, resolve_master
 from segmart.operators.snapshot import latest_snapshot
 from segmart.registry.mart import Mart
 from segmart.session import new_path
-from segmart.sources import catalog, retail
+from segmart.sources import catalog, feature_store, retail
 from segmart.sources.tables import read_parquet, read_table, write_csv, write_parquet
 
 LINE = ["vip_no", "vip_main_no", "sales_main_key", "item_code", "order_date", "sold_qty", "net_amt_hkd"]
@@ -118,7 +118,56 @@ def not_in_cases(mart: Mart) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+def batches(df: DataFrame, key: str) -> list[DataFrame]:
+    """The rows in four deliveries by a hash of a column, the last of which brings the third once more."""
+    batch = F.pmod(F.xxhash64(key), F.lit(4))
+    return [df.where(batch == 0), df.where(batch == 1), df.where(batch == 2), df.where(batch >= 2)]
+
+
+def folded(mart: Mart, name: str, keys: list[str], merge: incremental.Merge, deliveries: list[DataFrame]) -> DataFrame:
+    path = new_path(mart.spark, name)
+    table = f"segmart_{name}_{os.path.basename(path).rpartition('-')[2].removesuffix('.parquet')}"
+    state = incremental.State(table, tuple(keys), merge, parts=16)
+    found = incremental.create(state, deliveries[0], path)
+    for delta in deliveries[1:]:
+        found = incremental.fold(state, delta)
+    return found
+
+
+def first_purchase_folded(mart: Mart) -> DataFrame:
+    """First purchases from a state of cards: a base and three deltas, with late and repeated lines."""
+    source = mart.warehouse
+    deliveries = [incremental.first_dates(sales, retail.HOUSE_BRAND) for sales in batches(source.sales, "invoice_no")]
+    dates = folded(mart, "card_dates", ["vip_no"], incremental.earliest_by_card, deliveries)
+    return incremental.first_purchase_of(dates, source.cards)
+
+
+def snapshot_folded(mart: Mart) -> DataFrame:
+    """Latest orders from a base and three deltas, with late, tied and repeated rows."""
+    orders = mart.tables["orders"].select("o_custkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderkey")
+    merge = incremental.newest_rows(["o_custkey"], "o_orderdate")
+    return folded(mart, "latest_orders", ["o_custkey"], merge, batches(orders, "o_orderkey"))
+
+
+def feature_store_join(mart: Mart) -> DataFrame:
+    """Two feature tables found by rule in a store, side by side; one of them has an outdated version as well."""
+    store = new_path(mart.spark, "feature_store")
+    spending = mart.spending.select("vip_main_no", "net_amt_hkd", "sold_qty", "invoice_no")
+    firsts = mart.first_purchase.where("vip_main_no IS NOT NULL")
+    for name, table in (
+        ("customer_spending", spending.where("false")),
+        ("scratch_spending", spending),
+        ("customer_first_purchase", firsts),
+        ("customer_spending", spending),
+    ):
+        feature_store.write_feature_table(table, store, name, "vip_main_no")
+    return feature_store.read_features(mart.spark, feature_store.manifest(mart.spark, store, include=["customer_*"]))
+
+
 QUERIES = {
+    "first_purchase_folded": first_purchase_folded,
+    "snapshot_folded": snapshot_folded,
+    "feature_store_join": feature_store_join,
     "parquet_overwrite": parquet_overwrite,
     "catalog_partitions": catalog_partitions,
     "bucketed_join": bucketed_join,

@@ -62,6 +62,10 @@ class Mart:
             self.transaction, retail.personas(self.tables), self.first_purchase, self.item_tags, retail.REPORTS
         )
 
+    @cached_property
+    def order_states(self) -> DataFrame:
+        return self.reports.order_states()
+
     @cached_property
     def values(self) -> DataFrame:
         return materialise(feature_values(self.totals, self.item_tags), "customer_values")

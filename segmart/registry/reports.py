@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmart.constants import SEGMENT_ORDER
-from segmart.functions.columns import named
-from segmart.operators import cohort, cross
+from segmart.functions.columns import named, year_month
+from segmart.operators import cohort, cross, distinct_states, sketches
 from segmart.operators.encode import CUSTOMER
 from segmart.operators.lists import brand_descriptions, brand_list, control_totals, item_list
-from segmart.operators.segment import attach_segments
+from segmart.operators.pivot import spread
+from segmart.operators.segment import SEGMENT, attach_segments
 from segmart.registry.mart import Mart
 from segmart.sources import retail
 
@@ -23,6 +24,8 @@ CATEGORIES = {
     "maincat": "maincat_desc_cleaned",
 }
 MEASURES = ["amount", "qty", "customers"]
+MONTH_WINDOWS = [("200008", "200107"), ("199701", "199712"), ("199707", "199806"), ("199201", "200212")]
+PRICE_SHARES = {"low": 0.3, "high": 0.8}
 UNSEEN_LABELS = ["cluster 1", "cluster 2", "cluster 3", "cluster 4"]
 
 
@@ -47,6 +50,50 @@ def cross_class_matrix(mart: Mart) -> DataFrame:
     return cross.as_matrices(mart.reports.cross_class(), "customers")
 
 
+def segment_orders_merged(mart: Mart) -> DataFrame:
+    """Orders by segment in the report window, from the states of its months."""
+    first, last = (day[:7].replace("-", "") for day in retail.WINDOW)
+    states = mart.order_states.where(F.col("yyyymm").between(first, last))
+    return cells(spread(distinct_states.distinct_counts(states, [SEGMENT]), [], SEGMENT_ORDER))
+
+
+def segment_orders_windows(mart: Mart) -> DataFrame:
+    """Orders by segment in overlapping windows of months, all from one scan of the states."""
+    states = distinct_states.in_windows(mart.order_states, "yyyymm", MONTH_WINDOWS)
+    return distinct_states.distinct_counts(states, ["window", SEGMENT], "orders")
+
+
+def monthly_amounts(mart: Mart) -> DataFrame:
+    """Amounts per segment, customer and month."""
+    reports = mart.reports
+    amounts = reports.lines.groupBy(CUSTOMER, year_month(F.col("order_date")).alias("yyyymm")).agg(
+        F.sum("net_amt_hkd").alias("amount")
+    )
+    return amounts.join(reports.segments.select(CUSTOMER, SEGMENT).distinct(), CUSTOMER)
+
+
+def segment_cutoffs_check(mart: Mart) -> DataFrame:
+    """Amounts by segment, and whether the ranks of its cutoffs, merged from monthly sketches, are off by at most 1 %."""
+    amounts = monthly_amounts(mart)
+    monthly = sketches.quantile_states(amounts, [SEGMENT, "yyyymm"], "amount")
+    limits = sketches.cutoffs(sketches.merge_states(monthly, [SEGMENT]), [SEGMENT], PRICE_SHARES)
+    value = F.col("amount").cast("double")
+    ranks = [
+        F.sum(test(value, F.col(name)).cast("long")).alias(f"{word}_{name}")
+        for name in PRICE_SHARES
+        for word, test in (("below", lambda v, c: v < c), ("upto", lambda v, c: v <= c))
+    ]
+    counted = amounts.join(limits, SEGMENT).groupBy(SEGMENT).agg(F.count("amount").alias("amounts"), *ranks)
+    within = [
+        (
+            (F.col(f"below_{name}") <= (share + 0.01) * F.col("amounts") + 1)
+            & (F.col(f"upto_{name}") >= (share - 0.01) * F.col("amounts") - 1)
+        ).alias(f"{name}_within")
+        for name, share in PRICE_SHARES.items()
+    ]
+    return counted.select(SEGMENT, "amounts", *within)
+
+
 QUERIES: dict[str, Callable[[Mart], DataFrame]] = {
     "clean_profiling": lambda t: t.reports.lines.select(
         CUSTOMER, "sales_main_key", "item_code", "sold_qty", "net_amt_hkd", *CATEGORIES.values()
@@ -65,6 +112,9 @@ QUERIES: dict[str, Callable[[Mart], DataFrame]] = {
     "segment_amount": lambda t: cells(t.reports.amount()),
     "segment_qty": lambda t: cells(t.reports.qty()),
     "segment_orders": lambda t: cells(t.reports.orders()),
+    "segment_orders_merged": segment_orders_merged,
+    "segment_orders_windows": segment_orders_windows,
+    "segment_cutoffs_check": segment_cutoffs_check,
     "segment_orders_by_key": lambda t: cells(t.reports.orders("sales_main_key")),
     "segment_visits": lambda t: cells(t.reports.visits()),
     "store_customers": lambda t: cells(t.reports.store("customers")),
