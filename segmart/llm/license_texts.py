@@ -105,3 +105,32 @@ purpose, commercial or non-commercial, and by any means.""",
     "CC0-1.0 statement": "Released into the public domain under CC0 1.0.",
     "All rights reserved": "All rights reserved.",
 }
+
+# How statements name licences, as patterns.
+_VERSION = r",?(?: ?licen[cs]e)?,?[- ]?(?:version |ver\.? |v\.? ?)?"
+_LATER = r"(?:,? (?:or \(at your option\) any later version|or (?:any )?later(?: version)?)|\+)"
+_NOT_LATER = rf"(?!{_LATER}|-or-later)"
+NAMES: dict[str, str] = {
+    "MIT": r"MIT\b",
+    "ISC": r"ISC\b",
+    "BSD-2-Clause": r"(?:BSD[- ]2[- ]Clause|2[- ]Clause BSD|Simplified BSD)\b",
+    "BSD-3-Clause": r"(?:BSD[- ]3[- ]Clause|3[- ]Clause BSD|New BSD|Revised BSD)\b",
+    "Apache-2.0": rf"Apache(?: Software)?[- ]?{_VERSION}2(?:\.0)?",
+    "MPL-2.0": rf"(?:Mozilla Public|MPL)[- ]?{_VERSION}2(?:\.0)?",
+    "Unlicense": r"Unlicense\b",
+    "CC0-1.0": r"CC0(?:[- ]1\.0)?",
+}
+NAMES |= {
+    f"{name}-{version}{kind}": rf"(?:GNU )?(?:{spelled} General Public|{name})[- ]?{_VERSION}{digits}{tail}"
+    for name, spelled in (("LGPL", "Lesser"), ("AGPL", "Affero"))
+    for version, digits in (("2.1", r"2\.1"), ("3.0", r"3(?:\.0)?"))
+    for kind, tail in (("-or-later", _LATER), ("", _NOT_LATER))
+}
+NAMES |= {
+    f"GPL-{version}{kind}": rf"(?:GNU )?(?:General Public|GPL)[- ]?{_VERSION}{digits}{tail}"
+    for version, digits in (("2.0", r"2(?:\.0)?(?!\.1)"), ("3.0", r"3(?:\.0)?"))
+    for kind, tail in (("-or-later", _LATER), ("", _NOT_LATER))
+}
+NAMES |= {
+    f"CC-BY{use}-4.0": rf"(?:CC|Creative Commons)[- ]BY{use.replace('-', '[- ]')}[- ]?4\.0" for use in ("", "-SA", "-NC", "-ND", "-NC-SA", "-NC-ND")
+}

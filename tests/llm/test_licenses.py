@@ -1,7 +1,9 @@
+import random
+
 from conftest_llm import empty
 
 from segmart.llm.license_texts import TEMPLATES
-from segmart.llm.licenses import LicenceSettings, Templates, license_scan
+from segmart.llm.licenses import LicenceSettings, Templates, license_scan, stated_licence, words_of
 
 SCAN = Templates(TEMPLATES, LicenceSettings())
 
@@ -48,6 +50,59 @@ def test_mentions_are_not_confirmed():
     assert confirmed(text) == [] and len(list(SCAN.find(text))) == 1
 
 
+def test_statements_name_their_licence():
+    named = {
+        "Distributed under the MIT license.": "MIT",
+        "This project is licensed under the MIT License - see LICENSE.": "MIT",
+        "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "/* SPDX-License-Identifier: GPL-2.0-only */": "GPL-2.0-only",
+        "Licensed under the GNU GPL v2 or later.": "GPL-2.0-or-later",
+        "Released under the terms of the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+        "Available under the 3-clause BSD license": "BSD-3-Clause",
+        "Licensed under CC BY-NC-SA 4.0, see below": "CC-BY-NC-SA-4.0",
+    }
+    for text, name in named.items():
+        assert [found.removesuffix(" statement") for found, _ in confirmed(text)] == [name]
+    several = ["Licensed under MIT or Apache-2.0.", "SPDX-License-Identifier: MIT OR Apache-2.0", "Licensed under the MIT-0 license"]
+    several += ["Licensed under the GPL 2.1", "Licensed under the Acme License, not the MIT License", "I like the MIT licence"]
+    for text in several:
+        assert stated_licence(text) is None and confirmed(text) == []
+
+
+def brute_force(words):
+    """The template with the closest wording of all, if it is close enough: no ranking, no test by counts."""
+    shares = {name: SCAN.difference(words, name)[0] for name in TEMPLATES}
+    best = max(shares.values())
+    return {name for name, share in shares.items() if share == best and share >= 0.9}
+
+
+def test_every_template_that_could_be_confirmed_is_compared():
+    draw = random.Random(4)
+    for name, text in TEMPLATES.items():
+        for _ in range(6):
+            words = words_of(text)
+            for _ in range(draw.randint(0, len(words) // 8)):
+                place = draw.randrange(len(words))
+                words[place : place + draw.randint(0, 1)] = draw.choices(["other", "software", "the", "license"], k=draw.randint(0, 1))
+            if not words:
+                continue
+            found, _, sure, *_ = SCAN.best(words)
+            want = brute_force(words)
+            assert found in want if want else not sure
+
+
+def test_place_in_a_long_run_does_not_matter():
+    # Words of licences without a beginning of a template, so that all of it is one run.
+    filler = "the software and the license of the work in any form or for any purpose"
+    notice = TEMPLATES["ISC"].replace("Permission to use", "You have permission to use")
+    for before in (0, 1, 7, 15, 16, 17, 18, 29, 40, 300):
+        text = "\n".join([filler] * before + [notice] + [filler] * 40)
+        ((name, block),) = confirmed(text)
+        assert name == "ISC" and block.startswith("permission to use, copy") and block.endswith("THIS SOFTWARE")
+    two = "\n".join([filler] * 50 + [notice] + [filler] * 5 + [notice.replace("\n", " ")] + [filler] * 50)
+    assert [name for name, _ in confirmed(two)] == ["ISC", "ISC"]
+
+
 def test_repeated_notices_and_long_texts():
     line = "Released under the MIT License."
     assert len(confirmed("\n".join([line] * 500))) == 500
