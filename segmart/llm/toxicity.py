@@ -1,4 +1,8 @@
-"""Toxicity by a chain of linear classifiers, one for each category."""
+"""Toxicity by a chain of linear classifiers, one for each category.
+
+The labels say whether a document is toxic, not how. The earlier categories are therefore kinds of toxicity that
+the labelled toxic documents fall into by themselves: clusters of what tells them from the clean ones.
+"""
 
 from __future__ import annotations
 
@@ -17,12 +21,6 @@ from segmart.llm.sampling import labelled_sample
 _ROW_BATCH = 256
 _WORD = re.compile(r"[^\W\d_]+")
 
-# Seed words of the categories. A toxic document with one of them is a training example of
-# the category; the words that the models score are selected from the labelled documents.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser"),
-    "contempt": ("worthless", "pathetic", "trash", "scum", "disgusting"),
-}
 OVERALL = "toxic"
 
 
@@ -39,6 +37,8 @@ class ToxicSettings:
     full_share: int = 50
     least_documents: int = 5
     folds: int = 4
+    # Categories before the last one: kinds of toxic documents.
+    kinds: int = 2
     penalty: float = 0.3
     threshold: float = 0.4
     seed: int = 3
@@ -87,10 +87,67 @@ def _predict(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return _sigmoid(x @ weights[:-1] + weights[-1])
 
 
+def folds_of(rows: int, settings: ToxicSettings) -> np.ndarray:
+    return np.random.default_rng(settings.seed).integers(0, settings.folds, rows)
+
+
+def kinds_of(x: np.ndarray, fold: np.ndarray, count: int, rounds: int = 20) -> np.ndarray:
+    """The kind of every row, 0 to ``count`` - 1: clusters by the angle between rows.
+
+    The start is the largest cluster halved along its main direction until there are enough. A row is placed by
+    centres that were moved by the other folds only, so its kind is no memory of its own features. Rows
+    without features, and rows as near to several centres, get the first.
+    """
+    x = _unit(x)
+    shared = _moved(x, _halved(x[x.any(axis=1)], count), rounds)
+    kind = np.zeros(len(x), int)
+    for part in np.unique(fold):
+        held = fold == part
+        kind[held] = _nearest(x[held], _moved(x[~held], shared, rounds))
+    return kind
+
+
+def _halved(x: np.ndarray, count: int) -> np.ndarray:
+    groups = [x]
+    while len(groups) < count:
+        groups.sort(key=len)
+        largest = groups.pop()
+        spread = largest - largest.mean(axis=0) if len(largest) else largest
+        if not np.abs(spread).max(initial=0) > 1e-9:
+            # Equal rows are one kind; the others stay empty.
+            groups += [largest] + [x[:0]] * (count - len(groups) - 1)
+            break
+        side = spread @ np.linalg.svd(spread, full_matrices=False)[2][0] > 0
+        groups += [largest[side], largest[~side]]
+    return np.array([_centre(group) for group in sorted(groups, key=len, reverse=True)])
+
+
+def _centre(rows: np.ndarray) -> np.ndarray:
+    return _unit(rows.sum(axis=0, keepdims=True))[0]
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    # Rounded, so that a tie is a tie whatever the order of summing.
+    return np.round(x @ centres.T, 9).argmax(axis=1)
+
+
+def _moved(x: np.ndarray, centres: np.ndarray, rounds: int) -> np.ndarray:
+    """Centres after so many rounds of spherical k-means; one that loses all rows stays where it is."""
+    for _ in range(rounds):
+        near = _nearest(x, centres)
+        sums = np.array([x[near == k].sum(axis=0) if (near == k).any() else centre for k, centre in enumerate(centres)])
+        centres = _unit(sums)
+    return centres
+
+
 def fit_chain(x: np.ndarray, targets: Mapping[str, np.ndarray], settings: ToxicSettings) -> dict[str, np.ndarray]:
     """Models in the order of ``targets``. Each later one sees the probabilities of the earlier ones as
     they were for documents the earlier model had not seen, not as it remembers its own examples."""
-    fold = np.random.default_rng(settings.seed).integers(0, settings.folds, len(x))
+    fold = folds_of(len(x), settings)
     models = {}
     for name, y in targets.items():
         models[name] = fit_linear(x, y, settings.penalty)
@@ -148,7 +205,6 @@ def features(
 def fit(
     docs: DataFrame,
     labels: DataFrame,
-    categories: Mapping[str, Sequence[str]] = CATEGORIES,
     settings: ToxicSettings | None = None,
 ) -> Chain:
     """The chain from documents labelled as toxic (1) or not (0).
@@ -156,6 +212,7 @@ def fit(
     The driver gets the distinct words of a bounded sample. Without labels of both kinds nothing is toxic.
     """
     settings = settings or ToxicSettings()
+    kinds = [f"kind_{k}" for k in range(1, settings.kinds + 1)]
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,18 +225,19 @@ def fit(
     rows = sorted(set(map(tuple, rows.collect())))
     y = np.array([label for label, _ in rows], float)
     if len(set(y)) < 2:
-        return Chain((), (), {name: np.array([0.0] * i + [-30.0]) for i, name in enumerate((*categories, OVERALL))})
+        return Chain((), (), {name: np.array([0.0] * i + [-30.0]) for i, name in enumerate((*kinds, OVERALL))})
     lengths, least = settings.prefix_lengths, settings.least_documents
     words = telling(((label, _unpacked(packed)) for label, packed in rows), least, settings.words)
     # Words that tell by themselves leave their beginnings to others.
     rest = ((label, prefixes_of(_unpacked(packed).keys() - set(words), lengths)) for label, packed in rows)
     prefixes = telling(rest, least, settings.prefixes)
     x = features((_unpacked(packed) for _, packed in rows), len(rows), words, prefixes, settings)
-    seeded = {
-        name: y * np.array([any(seed in document for seed in seeds) for document in map(_unpacked, (r[1] for r in rows))])
-        for name, seeds in categories.items()
-    }
-    return Chain(words, prefixes, fit_chain(x, seeded | {OVERALL: y}, settings))
+    toxic = y == 1
+    kind = np.full(len(rows), -1)
+    if kinds:
+        kind[toxic] = kinds_of(x[toxic], folds_of(len(rows), settings)[toxic], len(kinds))
+    targets = {name: (kind == k).astype(float) for k, name in enumerate(kinds)}
+    return Chain(words, prefixes, fit_chain(x, targets | {OVERALL: y}, settings))
 
 
 def _packed(words: Mapping[str, int]) -> str:
@@ -207,7 +265,7 @@ def toxicity(
     text_column: str = "text",
     settings: ToxicSettings | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, a probability p_<category> each, p_toxic, toxic.
+    """One row per row of ``docs``: doc_id, a probability p_kind_<n> for each kind, p_toxic, toxic.
 
     The words of the whole text count, wherever they stand. A null or empty text has none and gets the
     constant of each model. Repeated rows and rows without id are scored one by one; an empty table
