@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from decimal import localcontext
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from segmart.session import materialise
 
 MAX_DRIVER_VALUES = 100_000
 CUTS = 64
+MAX_DIGITS = 38
 CUT_ERROR = 0.001
 
 
@@ -66,16 +68,31 @@ def _search(counts: DataFrame, rank: int, max_values: int):
         cuts = sorted(set(found))
         position = F.col("v").cast("double")
         below = inside.agg(
-            *[F.coalesce(F.sum(F.when(position < cut, F.col("n"))), F.lit(0)).alias(f"b{i}") for i, cut in enumerate(cuts)]
+            *[
+                F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(f"{word}{i}")
+                for i, cut in enumerate(cuts)
+                for word, test in (("b", position < cut), ("u", position <= cut))
+            ]
         ).first()
-        lower, upper, skipped = None, None, 0
+        lower, upper, skipped, upto = None, None, 0, 0
         for i, cut in enumerate(cuts):
             if below[f"b{i}"] < rank:
-                lower, skipped = cut, below[f"b{i}"]
+                lower, skipped, upto = cut, below[f"b{i}"], below[f"u{i}"]
             else:
                 upper = cut
                 break
+        if lower is not None and upto >= rank:
+            # Very many decimals or long integers with one double: what they exceed the least by tells them apart.
+            same = inside.where(position == lower)
+            known = _few_counts(same, max_values)
+            if known is not None:
+                return _at_rank(known, rank - skipped)
+            least = same.agg(F.min("v")).first()[0]
+            kind = same.schema["v"].dataType
+            over = same.select((F.col("v") - F.lit(least).cast(kind)).cast(kind).alias("v"), "n")
+            with localcontext(prec=MAX_DIGITS):
+                return least + _search(over, rank - skipped, max_values)
         if lower is not None:
-            inside, rank = inside.where(position >= lower), rank - skipped
+            inside, rank = inside.where(position > lower), rank - upto
         if upper is not None:
             inside = inside.where(position < upper)

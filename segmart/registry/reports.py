@@ -60,7 +60,7 @@ def segment_orders_merged(mart: Mart) -> DataFrame:
 def segment_orders_windows(mart: Mart) -> DataFrame:
     """Orders by segment in overlapping windows of months, all from one scan of the states."""
     states = distinct_states.in_windows(mart.order_states, "yyyymm", MONTH_WINDOWS)
-    return distinct_states.distinct_counts(states, ["window", SEGMENT], "orders")
+    return distinct_states.distinct_counts(states, ["window", SEGMENT], "orders").withColumnRenamed("window", "months")
 
 
 def monthly_amounts(mart: Mart) -> DataFrame:

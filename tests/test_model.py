@@ -106,6 +106,18 @@ def test_exact_quantiles(spark, max_values):
         assert found == data[max(1, math.ceil(p * len(data))) - 1]
 
 
+def test_exact_quantiles_of_values_that_share_a_double(spark):
+    base = "12345678901234567890123456789.00000"
+    kind = "decimal(38,5)"
+    df = spark.range(300).select((F.lit(base).cast(kind) + (F.col("id") * F.lit("0.00001").cast(kind))).cast(kind).alias("v"))
+    df = df.union(spark.createDataFrame([("1",), ("-5",)], "v string").select(F.col("v").cast(kind)))
+    data = sorted(r["v"] for r in df.collect())
+    shares = [0.0, 0.004, 0.3, 0.5, 1.0]
+    assert exact_quantiles(df, "v", shares, 40) == [data[max(1, math.ceil(p * len(data))) - 1] for p in shares]
+    longs = spark.range(300).select((F.lit(2**62) + F.col("id")).alias("v"))
+    assert exact_quantiles(longs, "v", [0.5, 1.0], 20) == [2**62 + 149, 2**62 + 299]
+
+
 def test_approximate_cutoffs_are_within_the_error(spark):
     df = spark.range(20_000).select(F.col("id").cast("double").alias("net_amt_hkd"))
     upper, lower = price_cutoffs(df)
