@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from segmart.functions.columns import lenient_cast, named, trim_strings
 from segmart.operators import skew
 from segmart.operators.skew import FANOUT, lookup_join, spread_join
+from segmart.session import materialise
 
 MONEY = "decimal(18,2)"
 # The rounding of the original reports: whole currency units per line.
 WHOLE_MONEY = "decimal(10,0)"
 ORDER_KEY = "sales_main_key"
+# Hashes of repeated lines that are broadcast, 8 bytes each; with more of them all lines are compared.
+MAX_REPEATED = 500_000
+_HASH = "__line_hash"
+# What tells the lines of one order apart.
+LINE_FACTS = ("vip_no", "item_code", "order_date", "sold_qty", "net_amt_hkd")
 
 CARRIED = [
     "region_key",
@@ -54,7 +60,28 @@ def typed_lines(sales: DataFrame, money_type: str = MONEY) -> DataFrame:
 
 def build_lines(sales: DataFrame, money_type: str = MONEY) -> DataFrame:
     """The distinct typed lines."""
-    return typed_lines(sales, money_type).distinct()
+    return distinct_lines(typed_lines(sales, money_type))
+
+
+def distinct_lines(lines: DataFrame, max_repeated: int | None = None) -> DataFrame:
+    """The distinct rows of wide ``lines``, which move only if very many of them are repeated.
+
+    Only hashes of whole rows are shuffled and counted. Rows whose hash occurs once are different from all others;
+    the others, equal rows and rare collisions, are compared in full. Nulls and zeros of either sign are
+    equal here as in a plain distinct: a hash may at most take different rows together.
+    """
+    hashed = lines.withColumn(_HASH, F.xxhash64(*[named(c) for c in lines.columns]))
+    # Nearly all hashes differ, so they are not combined before their shuffle.
+    counted = hashed.select(_HASH).repartition(_HASH).groupBy(_HASH).agg(F.count(F.lit(1)).alias("n"))
+    repeated = materialise(counted.where("n > 1").select(_HASH), "repeated")
+    found = repeated.count()
+    if found == 0:
+        return lines
+    if found > (MAX_REPEATED if max_repeated is None else max_repeated):
+        return lines.distinct()
+    repeated = F.broadcast(repeated)
+    once = hashed.join(repeated, _HASH, "left_anti").drop(_HASH)
+    return once.unionByName(hashed.join(repeated, _HASH, "left_semi").drop(_HASH).distinct())
 
 
 def _shop_of_order():
@@ -99,9 +126,11 @@ def drop_net_zero(
 
     The totals are combined before the shuffle and joined back, so one huge order is never gathered
     in a single task as a window over the order would do. The totals also count the lines, which
-    tells the join which orders to spread.
+    tells the join which orders to spread. Sales lines are spread by their facts, so that no other
+    column is read or shuffled for it.
     """
     tasks = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task or skew.ROWS_PER_TASK)).cast("int")
     totals = lines.groupBy(order_key).agg(F.sum(qty).alias("__total"), tasks.alias(FANOUT))
     kept = totals.where("__total != 0").select(order_key, FANOUT)
-    return spread_join(lines, kept, [order_key], "left_semi", kept.where(F.col(FANOUT) > 1), [order_key])
+    facts = LINE_FACTS if set(LINE_FACTS) <= set(lines.columns) else None
+    return spread_join(lines, kept, [order_key], "left_semi", kept.where(F.col(FANOUT) > 1), [order_key], facts)

@@ -60,16 +60,23 @@ def salted_join(
 
 
 def spread_join(
-    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str, fanout: DataFrame, fanout_on: Sequence[str]
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    how: str,
+    fanout: DataFrame,
+    fanout_on: Sequence[str],
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Equi-join spread by a ``FANOUT`` column: the number of tasks for a key, 1 or null for most.
 
     ``lookup`` carries it and ``fanout`` lists it for the hot keys of ``facts``. That list is
     broadcast, and bounded: a key gets in only with more than ``ROWS_PER_TASK`` rows, so it has at
-    most (rows / ROWS_PER_TASK) of them. The salt is a hash of the whole row, hence the same when a
-    lost task is run again; only the lookup rows of hot keys are repeated.
+    most (rows / ROWS_PER_TASK) of them. The salt is a hash of the whole row, or of the columns
+    ``spread_by`` where they tell the rows of a key apart, hence the same when a lost task is run
+    again; only the lookup rows of hot keys are repeated.
     """
-    row_hash = F.xxhash64(*[named(c) for c in facts.columns])
+    row_hash = F.xxhash64(*[named(c) for c in spread_by or facts.columns])
     salt = F.when(named(FANOUT).isNotNull(), F.pmod(row_hash, named(FANOUT)).cast("int")).otherwise(F.lit(0))
     spread = facts.join(F.broadcast(fanout), list(fanout_on), "left").withColumn(_SALT, salt).drop(FANOUT)
     salts = F.sequence(F.lit(0), F.coalesce(named(FANOUT), F.lit(1)) - 1)

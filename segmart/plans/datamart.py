@@ -12,6 +12,7 @@ from segmart.operators.cards import card_demographics, first_purchase
 from segmart.operators.enrich import ValidRules, enrich, sku_table, store_table, subcat_table, valid_lines
 from segmart.operators.lines import (
     MONEY,
+    distinct_lines,
     drop_net_zero,
     lines_near,
     resolve_master,
@@ -82,7 +83,7 @@ def transactions(warehouse: Warehouse, lookups: Lookups, settings: DatamartSetti
         F.col("order_date"), settings.start_date, settings.end_date
     )
     raw = typed_lines(warehouse.sales, settings.money_type)
-    near = lines_near(raw, materialise(shops_in_scope(raw, in_scope), "shops")).distinct()
+    near = distinct_lines(lines_near(raw, materialise(shops_in_scope(raw, in_scope), "shops")))
     lines = drop_net_zero(resolve_master(near, warehouse.cards))
     valid = valid_lines(lines.where(in_scope), settings.rules)
     return enrich(valid, lookups.sku, lookups.subcat, lookups.store)

@@ -139,12 +139,17 @@ def people(tables: Tables) -> DataFrame:
 def sales(tables: Tables) -> DataFrame:
     """Raw sales lines; every returned line is followed by its reversal."""
     line, order = tables["lineitem"], tables["orders"]
-    item, shop, person = items(tables), shops(tables), people(tables)
+    item = items(tables).select("p_partkey", "brand", "p_retailprice", (F.col("p_size") == 20).alias("unsure"))
+    shop = shops(tables).select("s_suppkey", "shop_brand", F.col("r_name").alias("shop_region"))
+    bought = order.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus").join(
+        people(tables).drop("r_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")
+    )
+    # Lines take on little before they move to their orders; the wide columns come with the orders, which are few.
+    # Shops are a small list beside the lines, so these do not move for them.
     joined = (
-        line.join(order, line.l_orderkey == order.o_orderkey)
-        .join(item, line.l_partkey == item.p_partkey)
-        .join(shop.select("s_suppkey", "shop_brand", F.col("r_name").alias("shop_region")), line.l_suppkey == F.col("s_suppkey"))
-        .join(person.drop("r_name"), order.o_custkey == person.c_custkey)
+        line.join(item, line.l_partkey == item.p_partkey)
+        .join(F.broadcast(shop), line.l_suppkey == F.col("s_suppkey"))
+        .join(bought, line.l_orderkey == F.col("o_orderkey"))
     )
     card = F.concat(F.lit("V"), F.col("o_custkey").cast("string"))
     price = F.col("l_extendedprice").cast("decimal(18,2)")
@@ -175,7 +180,7 @@ def sales(tables: Tables) -> DataFrame:
         F.col("sex").alias("customer_sex"),
         F.col("age_group").alias("customer_age_group"),
         F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("V")).alias("void_flag"),
-        F.when(F.col("o_orderstatus") == "P", "0").when(F.col("p_size") == 20, "Y").otherwise("1").alias("valid_tx_flag"),
+        F.when(F.col("o_orderstatus") == "P", "0").when(F.col("unsure"), "Y").otherwise("1").alias("valid_tx_flag"),
         F.lit("N").alias("sales_staff_flag"),
         F.col("l_linestatus").alias("sales_type"),
         F.when(F.col("l_returnflag") == "R", F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1))).alias("signs"),
@@ -315,11 +320,12 @@ def personas(tables: Tables) -> DataFrame:
 
 
 def warehouse(tables: Tables) -> Warehouse:
-    """The source tables. The sales lines are stored once, as a warehouse would hold them."""
-    lines = sales(tables)
-    tasks = lines.sparkSession.sparkContext.defaultParallelism
+    """The source tables. The sales lines are stored once, as a warehouse would hold them.
+
+    They are written by the tasks that join them, each a piece of bounded size, without a further shuffle.
+    """
     return Warehouse(
-        sales=materialise(lines.repartition(tasks), "sales"),
+        sales=materialise(sales(tables), "sales"),
         cards=cards(tables),
         sku=sku(tables),
         maincat=maincat(tables),
