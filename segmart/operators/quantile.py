@@ -43,8 +43,10 @@ def _rank(probability: float, total: int) -> int:
 
 
 def _few_counts(counts: DataFrame, max_values: int) -> list | None:
-    rows = counts.orderBy("v").limit(max_values + 1).collect()
-    return None if len(rows) > max_values else [(row["v"], row["n"]) for row in rows]
+    # Counted first: the smallest values of every partition would meet in the driver before a limit is applied.
+    if counts.limit(max_values + 1).count() > max_values:
+        return None
+    return [(row["v"], row["n"]) for row in counts.orderBy("v").collect()]
 
 
 def _at_rank(counts: list, rank: int):

@@ -54,3 +54,15 @@ def test_stored_sales_are_written_where_they_are_joined(spark, monkeypatch):
     monkeypatch.setattr(retail, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
     retail.warehouse(tables)
     assert len(plans) == 1 and "REPARTITION" not in plans[0] and "RoundRobin" not in plans[0]
+
+
+def test_few_counts_send_the_driver_only_what_it_keeps(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from segmart.operators import quantile
+
+    sent, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: sent.append(0) or collect(df))
+    counts = spark.range(500).select((F.col("id") * 7 % 500).alias("v"), F.lit(2).alias("n"))
+    assert quantile._few_counts(counts, 499) is None and not sent
+    assert quantile._few_counts(counts, 500) == [(i, 2) for i in range(500)]
