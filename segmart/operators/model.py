@@ -177,6 +177,20 @@ def select_features(loadings: DataFrame, n: int = N_SELECTED, ascending: bool =
     return scored.orderBy(order, "feature").limit(n)
 
 
+def first_points(points: DataFrame, rows: int) -> DataFrame:
+    """The first ``rows`` points by a hash of themselves.
+
+    Of many points only those with small hashes are sorted, about four times as many as wanted; otherwise every
+    partition would send that many to the driver.
+    """
+    place = F.xxhash64(sweep.POINT)
+    total, near = points.count(), points
+    if total > 8 * rows:
+        below = points.where(place < F.lit(-(1 << 63) + (1 << 64) * 4 * rows // total))
+        near = below if below.limit(rows).count() == rows else points
+    return near.orderBy(place, sweep.POINT).limit(rows)
+
+
 def wcss_curve(
     vectors: DataFrame,
     ks: Sequence[int] = range(1, WCSS_MAX_K + 1),
@@ -187,17 +201,18 @@ def wcss_curve(
 ) -> DataFrame:
     """(k, wcss, moved): within-cluster sum of squares, the best of ``restarts`` fits per k.
 
-    All fits advance together, one scan of the vectors for a step of every one of them. Starts are k-means++
-    on at most ``sample_rows`` vectors, the first by a hash of themselves; everything else uses all of
-    them. ``moved`` is the longest last step of any centre, at most 1e-4 unless scans ran out. No vectors, no rows.
+    All fits advance together, one scan of the vectors for a step of every one of them. Starts are k-means++ and
+    k-means on at most ``sample_rows`` vectors, the first by a hash of themselves; everything else uses all
+    of them. ``moved`` is the longest last step of any centre, at most 1e-4 unless scans ran out. No vectors, no rows.
     """
     spark = vectors.sparkSession
     points = vectors.select(vector_to_array(VECTOR).alias(sweep.POINT)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        chosen = points.orderBy(F.xxhash64(sweep.POINT), sweep.POINT).limit(sample_rows).collect()
+        chosen = first_points(points, sample_rows).collect()
         if not chosen or not len(chosen[0][0]):
             return spark.createDataFrame([], "k int, wcss double, moved double")
-        starts = sweep.sample_starts(np.array([row[0] for row in chosen]), ks, restarts, seed)
+        sample = np.array([row[0] for row in chosen])
+        starts = sweep.refined_starts(spark, sample, sweep.sample_starts(sample, ks, restarts, seed), max_scans)
         found = sweep.lloyd_sweep(points, starts, max_scans)
     finally:
         points.unpersist()

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINT = "point"
 # Distances held at a time, points by centres.
-_CELLS = 2_000_000
+_CELLS = 500_000
 
 
 @dataclass(frozen=True)
@@ -25,11 +26,20 @@ class Sweep:
     moved: float
 
 
+def _blocks(models: Sequence[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(first centre, models, centres of each) of every run of models with equally many centres."""
+    blocks, at = [], 0
+    for k, run in itertools.groupby(map(len, models)):
+        n = len(list(run))
+        blocks.append((at, n, k))
+        at += n * k
+    return blocks
+
+
 def _partial(models: Sequence[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts, squared distances and sums of the points nearest to each centre, over one partition."""
     stacked = np.concatenate(models)
-    ends = np.cumsum([len(m) for m in models])
-    squares = (stacked**2).sum(axis=1)
+    squares, blocks = (stacked**2).sum(axis=1), _blocks(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, costs, sums = np.zeros(len(stacked)), np.zeros(len(stacked)), np.zeros_like(stacked)
@@ -38,13 +48,24 @@ def _partial(models: Sequence[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]
             points = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             for start in range(0, len(points), step):
                 some = points[start : start + step]
-                distances = np.maximum((some**2).sum(axis=1)[:, None] - 2 * some @ stacked.T + squares, 0.0)
-                nearest, rows = np.zeros_like(distances), np.arange(len(some))
-                for first, end in zip((0, *ends[:-1]), ends):
-                    nearest[rows, first + distances[:, first:end].argmin(axis=1)] = 1.0
-                counts += nearest.sum(axis=0)
-                costs += (nearest * distances).sum(axis=0)
-                sums += nearest.T @ some
+                # In place: one array of points by centres is computed, and read once for the nearest ones.
+                distances = (2 * some) @ stacked.T
+                np.subtract((some**2).sum(axis=1)[:, None], distances, out=distances)
+                distances += squares
+                np.maximum(distances, 0.0, out=distances)
+                nearest = np.concatenate(
+                    [
+                        distances[:, first : first + n * k].reshape(len(some), n, k).argmin(axis=2) + np.arange(first, first + n * k, k)
+                        for first, n, k in blocks
+                    ],
+                    axis=1,
+                )
+                rows = np.arange(len(some))[:, None]
+                counts += np.bincount(nearest.ravel(), minlength=len(stacked))
+                costs += np.bincount(nearest.ravel(), distances[rows, nearest].ravel(), minlength=len(stacked))
+                distances.fill(0.0)
+                distances[rows, nearest] = 1.0
+                sums += distances.T @ some
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict(
             {"centre": used, "n": counts[used], "cost": costs[used], "sums": pa.array(list(sums[used]), pa.list_(pa.float64()))}
@@ -75,6 +96,41 @@ def model_costs(points: DataFrame, models: Sequence[np.ndarray]) -> list[float]:
     return [float(part.sum()) for part in np.split(costs, np.cumsum([len(m) for m in models])[:-1])]
 
 
+def _advanced(centres: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, float]:
+    """The means of the centres' points and the longest step; a centre without points stays."""
+    new, filled = centres.copy(), counts > 0
+    new[filled] = sums[filled] / counts[filled][:, None]
+    return new, float(np.sqrt(((new - centres) ** 2).sum(axis=1)).max())
+
+
+def refined_starts(
+    spark: SparkSession, sample: np.ndarray, starts: Sequence[np.ndarray], max_scans: int = 300, tolerance: float = 1e-4
+) -> list[np.ndarray]:
+    """Every model's start after Lloyd's iterations on the sample, one task a model.
+
+    From there the scans of all points have little left to do, however many a poor start would take.
+    """
+    points = pa.RecordBatch.from_pydict({POINT: pa.array(list(sample), pa.list_(pa.float64()))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for model in (i for batch in batches for i in batch.column(0).to_pylist()):
+            centres = np.array(starts[model], dtype=float)
+            for _ in range(max_scans):
+                counts, sums = np.zeros(len(centres)), np.zeros_like(centres)
+                found = next(_partial([centres])(iter([points])))
+                used = found.column(0).to_numpy()
+                counts[used] = found.column(1).to_numpy()
+                sums[used] = found.column(3).flatten().to_numpy().reshape(len(used), -1)
+                centres, moved = _advanced(centres, counts, sums)
+                if moved <= tolerance:
+                    break
+            yield pa.RecordBatch.from_pydict({"model": [model], "centres": pa.array([centres.ravel()], pa.list_(pa.float64()))})
+
+    each = spark.range(len(starts), numPartitions=max(1, len(starts)))
+    refined = {row["model"]: row["centres"] for row in each.mapInArrow(run, "model long, centres array<double>").collect()}
+    return [np.array(refined[i]).reshape(np.shape(start)) for i, start in enumerate(starts)]
+
+
 def lloyd_sweep(
     points: DataFrame, starts: Sequence[np.ndarray], max_scans: int = 300, tolerance: float = 1e-4
 ) -> Sweep:
@@ -92,11 +148,7 @@ def lloyd_sweep(
         for i in moving:
             own = slice(at, at + len(centres[i]))
             at = own.stop
-            filled = counts[own] > 0
-            new = centres[i].copy()
-            new[filled] = sums[own][filled] / counts[own][filled][:, None]
-            last[i] = float(np.sqrt(((new - centres[i]) ** 2).sum(axis=1)).max())
-            centres[i] = new
+            centres[i], last[i] = _advanced(centres[i], counts[own], sums[own])
             if last[i] > tolerance:
                 still.append(i)
         moving = still

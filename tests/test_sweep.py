@@ -64,3 +64,61 @@ def test_few_distinct_points(spark):
     starts = sweep.sample_starts(same, [1, 2, 5], 2, seed=0)
     assert [len(s) for s in starts] == [1, 2, 2, 2, 2]
     assert sweep.lloyd_sweep(table(spark, same), starts).costs[1:] == pytest.approx([0, 0, 0, 0])
+
+
+def test_blocks_of_models_with_equally_many_centres():
+    models = [np.zeros((k, 2)) for k in (1, 2, 2, 3, 2)]
+    assert sweep._blocks(models) == [(0, 1, 1), (1, 2, 2), (5, 1, 3), (8, 1, 2)]
+
+
+def test_one_scan_writes_over_its_distances(points):
+    """The largest arrays are one of points by centres and those of the nearest centres."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    models = [points[draw.choice(len(points), k, replace=False)] for k in range(1, 41)]
+    batch = pa.RecordBatch.from_pydict({"point": pa.array(list(points), pa.list_(pa.float64()))})
+    run = sweep._partial(models)
+    tracemalloc.start()
+    found = list(run(iter([batch])))[0].to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    stacked, at, want = np.concatenate(models), 0, {}
+    for model in models:
+        distances = ((points[:, None] - model) ** 2).sum(axis=2)
+        nearest = distances.argmin(axis=1)
+        for i in range(len(model)):
+            if (nearest == i).any():
+                want[at + i] = ((nearest == i).sum(), distances[nearest == i, i].sum(), points[nearest == i].sum(axis=0))
+        at += len(model)
+    assert found["centre"] == sorted(want) and found["n"] == [want[c][0] for c in found["centre"]]
+    assert found["cost"] == pytest.approx([want[c][1] for c in found["centre"]], abs=1e-6)
+    assert np.allclose(found["sums"], [want[c][2] for c in found["centre"]])
+    assert peak < 2.5 * 8 * len(points) * len(stacked)
+
+
+def test_first_points_are_those_of_a_full_sort(spark):
+    from pyspark.sql import functions as F
+
+    from segmart.operators.model import first_points
+
+    many = spark.range(5000).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("point")).repartition(9)
+    same = spark.range(900).select(F.array(F.lit(2.0)).alias("point"))
+    for df in (many, same, many.limit(30)):
+        want = df.orderBy(F.xxhash64("point"), "point").limit(40).collect()
+        assert first_points(df, 40).collect() == want
+    sorted_rows = first_points(many, 40)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in sorted_rows.split("Filter", 1)[-1] and "Filter" in sorted_rows
+
+
+def test_refined_starts_are_at_rest_on_their_sample(spark, points):
+    starts = sweep.sample_starts(points[::3], range(1, 7), 2, seed=2)
+    refined = sweep.refined_starts(spark, points[::3], starts)
+    assert [r.shape for r in refined] == [s.shape for s in starts]
+    # On the sample itself nothing is left: a scan that finds all at rest, and one for the costs.
+    there = sweep.lloyd_sweep(table(spark, points[::3]).cache(), refined)
+    assert there.scans == 2 and there.costs == pytest.approx([plain(points[::3], s) for s in starts], rel=1e-9)
+    df = table(spark, points).cache()
+    assert sweep.lloyd_sweep(df, refined).scans < sweep.lloyd_sweep(df, starts).scans
