@@ -110,19 +110,16 @@ def refined_starts(
 
     From there the scans of all points have little left to do, however many a poor start would take.
     """
-    points = pa.RecordBatch.from_pydict({POINT: pa.array(list(sample), pa.list_(pa.float64()))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for model in (i for batch in batches for i in batch.column(0).to_pylist()):
             centres = np.array(starts[model], dtype=float)
             for _ in range(max_scans):
-                counts, sums = np.zeros(len(centres)), np.zeros_like(centres)
-                found = next(_partial([centres])(iter([points])))
-                used = found.column(0).to_numpy()
-                counts[used] = found.column(1).to_numpy()
-                sums[used] = found.column(3).flatten().to_numpy().reshape(len(used), -1)
-                centres, moved = _advanced(centres, counts, sums)
-                if moved <= tolerance:
+                nearest = ((centres**2).sum(axis=1) - 2 * sample @ centres.T).argmin(axis=1)
+                counts = np.bincount(nearest, minlength=len(centres))[:, None]
+                sums = np.stack([np.bincount(nearest, column, len(centres)) for column in sample.T], axis=1)
+                before, centres = centres, np.where(counts > 0, sums / np.maximum(counts, 1), centres)
+                if np.sqrt(((centres - before) ** 2).sum(axis=1)).max() <= tolerance:
                     break
             yield pa.RecordBatch.from_pydict({"model": [model], "centres": pa.array([centres.ravel()], pa.list_(pa.float64()))})
 

@@ -122,3 +122,18 @@ def test_refined_starts_are_at_rest_on_their_sample(spark, points):
     assert there.scans == 2 and there.costs == pytest.approx([plain(points[::3], s) for s in starts], rel=1e-9)
     df = table(spark, points).cache()
     assert sweep.lloyd_sweep(df, refined).scans < sweep.lloyd_sweep(df, starts).scans
+
+
+def test_refining_needs_no_package_in_the_workers(spark, points, monkeypatch, tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    frame = type(spark.range(1))
+    sent, map_in_arrow = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, f, schema: sent.append(f) or map_in_arrow(df, f, schema))
+    sweep.refined_starts(spark, points, sweep.sample_starts(points, [2], 1, seed=1))
+    (tmp_path / "task").write_bytes(cloudpickle.dumps(sent[0]))
+    load = f"from pyspark import cloudpickle; cloudpickle.loads(open({str(tmp_path / 'task')!r}, 'rb').read())"
+    assert subprocess.run([sys.executable, "-c", load], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}).returncode == 0
