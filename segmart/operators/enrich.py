@@ -70,8 +70,8 @@ def enrich(
 
     The lookups are reduced to the wanted columns and made distinct first: joined to distinct
     lines they cannot give two equal rows, so the result needs no distinct of its own.
-    A lookup too large to broadcast is joined salted; ``hot_from`` is where item and shop keys can be
-    measured cheaply for that.
+    Lines move for the items only: shops are a small list beside the lines, as sub categories are,
+    and a busy shop would bring very many of them to one task.
     """
     items = (
         sku.select("item_code", *SKU_ATTRIBUTES)
@@ -84,7 +84,7 @@ def enrich(
     shops = store.select("shop_code", "shop_desc").distinct()
     with_item = lookup_join(lines, items, ["item_code", "prod_brand"], "left")
     with_subcat = lookup_join(with_item, subcats, ["prod_brand", "item_sub_cat", "item_cat"], "left")
-    return lookup_join(with_subcat, shops, ["shop_code"], "left")
+    return lookup_join(with_subcat, F.broadcast(shops), ["shop_code"], "left")
 
 
 @dataclass(frozen=True)

@@ -45,6 +45,15 @@ CARRIED = [
 
 def typed_lines(sales: DataFrame, money_type: str = MONEY) -> DataFrame:
     """Sales lines with trimmed text, typed date, quantity and amounts, and the order key."""
+    return with_order_key(typed_columns(sales, money_type))
+
+
+def with_order_key(lines: DataFrame) -> DataFrame:
+    return lines.withColumn(ORDER_KEY, F.concat("shop_code", F.lit("-"), "invoice_no"))
+
+
+def typed_columns(sales: DataFrame, money_type: str = MONEY) -> DataFrame:
+    """The typed lines without the order key, which need not move where all lines do."""
     trimmed = trim_strings(sales)
     return trimmed.select(
         *[named(c) for c in CARRIED],
@@ -54,7 +63,6 @@ def typed_lines(sales: DataFrame, money_type: str = MONEY) -> DataFrame:
             lenient_cast(trimmed, amount, money_type).alias(amount)
             for amount in ("net_amt_hkd", "net_amt", "item_list_price")
         ],
-        F.concat("shop_code", F.lit("-"), "invoice_no").alias(ORDER_KEY),
     )
 
 

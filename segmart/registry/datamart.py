@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 from segmart.operators import antijoin, incremental
 from segmart.operators.cards import card_demographics
 from segmart.operators.enrich import enrich, sku_table, store_table, subcat_table
-from segmart.operators.lines import WHOLE_MONEY, build_lines, drop_net_zero, resolve_master
+from segmart.operators.lines import (
+    ORDER_KEY,
+    WHOLE_MONEY,
+    build_lines,
+    distinct_lines,
+    drop_net_zero,
+    resolve_master,
+    typed_columns,
+    with_order_key,
+)
 from segmart.operators.snapshot import latest_snapshot
 from segmart.registry.mart import Mart
 from segmart.session import new_path
@@ -30,10 +39,16 @@ def latest_orders(mart: Mart) -> DataFrame:
 
 
 def enriched(mart: Mart) -> DataFrame:
-    """Every line of the house brand with its descriptions."""
-    house = resolved(mart).where(F.col("shop_brand") == retail.HOUSE_BRAND)
-    lookups = mart.lookups
-    return enrich(house, lookups.sku, lookups.subcat, lookups.store)
+    """Every line of the house brand with its descriptions.
+
+    Other brands' lines differ from these, so they go before the distinct; the order key is made where lines have come to rest.
+    """
+    source, lookups = mart.warehouse, mart.lookups
+    house = distinct_lines(typed_columns(source.sales).where(F.col("shop_brand") == retail.HOUSE_BRAND))
+    found = with_order_key(enrich(resolve_master(house, source.cards), lookups.sku, lookups.subcat, lookups.store))
+    names = [name for name in found.columns if name != ORDER_KEY]
+    names.insert(names.index("vip_main_no"), ORDER_KEY)
+    return found.select(*names)
 
 
 def whole_unit_amounts(mart: Mart) -> DataFrame:

@@ -52,6 +52,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+# Tables of whole lines, which zstandard makes about a third smaller than the session's codec does.
+_WIDE = ("sales", "transaction")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -59,7 +63,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     push filters and survive lost executors without recomputing what came before.
     """
     path = new_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    writer = df.write.mode("errorifexists")
+    if name in _WIDE:
+        writer = writer.option("compression", "zstd")
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -139,25 +139,37 @@ def people(tables: Tables) -> DataFrame:
 def sales(tables: Tables) -> DataFrame:
     """Raw sales lines; every returned line is followed by its reversal."""
     line, order = tables["lineitem"], tables["orders"]
-    item = items(tables).select("p_partkey", "brand", "p_retailprice", (F.col("p_size") == 20).alias("unsure"))
-    shop = shops(tables).select("s_suppkey", "shop_brand", F.col("r_name").alias("shop_region"))
-    bought = order.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus").join(
-        people(tables).drop("r_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")
+    item = items(tables).select(
+        "p_partkey", "brand", F.col("p_retailprice").cast("decimal(18,2)").alias("item_list_price"), (F.col("p_size") == 20).alias("unsure")
     )
+    shop = shops(tables).select("s_suppkey", "shop_brand", F.col("r_name").alias("shop_region"))
+    # Columns that are only compared with something move as the answer, amounts as decimals: such doubles hardly compress.
+    bought = order.select(
+        "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("sales_date"),
+        (F.col("o_orderpriority") == "4-NOT SPECIFIED").alias("voided"), (F.col("o_orderstatus") == "P").alias("pending"),
+    ).join(people(tables).drop("r_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    no_card = F.when(F.col("c_acctbal").between(3000, 3200), 1).when(F.col("c_acctbal").between(3200, 3400), 2).otherwise(0)
+    bought = bought.withColumn("no_card", no_card).drop("c_acctbal", "c_custkey")
+    narrow = line.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus",
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
+        F.col("l_discount").cast("decimal(4,2)").alias("discount"),
+        (F.col("l_returnflag") == "R").alias("returned"),
+    )
     # Lines take on little before they move to their orders; the wide columns come with the orders, which are few.
-    # Shops are a small list beside the lines, so these do not move for them.
+    # Shops are a small list beside the lines, so these do not move for them and meet them last.
     joined = (
-        line.join(item, line.l_partkey == item.p_partkey)
-        .join(F.broadcast(shop), line.l_suppkey == F.col("s_suppkey"))
-        .join(bought, line.l_orderkey == F.col("o_orderkey"))
+        narrow.join(item, narrow.l_partkey == item.p_partkey)
+        .join(bought, narrow.l_orderkey == F.col("o_orderkey"))
+        .join(F.broadcast(shop), narrow.l_suppkey == F.col("s_suppkey"))
     )
     card = F.concat(F.lit("V"), F.col("o_custkey").cast("string"))
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
-    share = F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")
+    price = F.col("price")
+    share = F.lit(1).cast("decimal(4,2)") - F.col("discount")
     lines = joined.select(
         F.col("shop_region").alias("region_key"),
-        F.when(F.col("c_acctbal").between(3000, 3200), F.lit(None))
-        .when(F.col("c_acctbal").between(3200, 3400), F.lit(""))
+        F.when(F.col("no_card") == 1, F.lit(None))
+        .when(F.col("no_card") == 2, F.lit(""))
         .when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit(" "), card, F.lit(" ")))
         .otherwise(card)
         .alias("vip_no"),
@@ -166,11 +178,11 @@ def sales(tables: Tables) -> DataFrame:
         ),
         F.concat(F.lit("I"), F.col("o_orderkey").cast("string")).alias("invoice_no"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("item_code"),
-        F.col("o_orderdate").cast("date").alias("sales_date"),
+        "sales_date",
         F.col("l_quantity").alias("sold_qty"),
         (price * share).alias("net_amt_hkd"),
         price.alias("net_amt"),
-        F.col("p_retailprice").cast("decimal(18,2)").alias("item_list_price"),
+        "item_list_price",
         "shop_brand",
         F.col("brand").alias("prod_brand"),
         F.concat(F.lit("L"), (F.col("l_suppkey") % 7).cast("string")).alias("sale_lady_id"),
@@ -179,11 +191,11 @@ def sales(tables: Tables) -> DataFrame:
         "cust_nat_cat",
         F.col("sex").alias("customer_sex"),
         F.col("age_group").alias("customer_age_group"),
-        F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("V")).alias("void_flag"),
-        F.when(F.col("o_orderstatus") == "P", "0").when(F.col("unsure"), "Y").otherwise("1").alias("valid_tx_flag"),
+        F.when(F.col("voided"), F.lit("V")).alias("void_flag"),
+        F.when(F.col("pending"), "0").when(F.col("unsure"), "Y").otherwise("1").alias("valid_tx_flag"),
         F.lit("N").alias("sales_staff_flag"),
         F.col("l_linestatus").alias("sales_type"),
-        F.when(F.col("l_returnflag") == "R", F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1))).alias("signs"),
+        F.when(F.col("returned"), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1))).alias("signs"),
     )
     signed = lines.withColumn("sign", F.explode("signs")).drop("signs")
     return signed.withColumns(
