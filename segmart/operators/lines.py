@@ -128,17 +128,23 @@ def resolve_master(
 
 
 def drop_net_zero(
-    lines: DataFrame, order_key: str = ORDER_KEY, qty: str = "sold_qty", rows_per_task: int | None = None
+    lines: DataFrame,
+    order_key: str = ORDER_KEY,
+    qty: str = "sold_qty",
+    rows_per_task: int | None = None,
+    judged_by: DataFrame | None = None,
 ) -> DataFrame:
     """Drop the orders whose total quantity over all given lines is zero or unknown.
 
+    With ``judged_by`` the totals are over its lines, of which ``lines`` are some.
+
     The totals are combined before the shuffle and joined back, so one huge order is never gathered
     in a single task as a window over the order would do. The totals also count the lines, which
     tells the join which orders to spread. Sales lines are spread by their facts, so that no other
     column is read or shuffled for it.
     """
     tasks = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task or skew.ROWS_PER_TASK)).cast("int")
-    totals = lines.groupBy(order_key).agg(F.sum(qty).alias("__total"), tasks.alias(FANOUT))
+    totals = (lines if judged_by is None else judged_by).groupBy(order_key).agg(F.sum(qty).alias("__total"), tasks.alias(FANOUT))
     kept = totals.where("__total != 0").select(order_key, FANOUT)
     facts = LINE_FACTS if set(LINE_FACTS) <= set(lines.columns) else None
     return spread_join(lines, kept, [order_key], "left_semi", kept.where(F.col(FANOUT) > 1), [order_key], facts)

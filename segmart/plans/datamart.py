@@ -84,9 +84,10 @@ def transactions(warehouse: Warehouse, lookups: Lookups, settings: DatamartSetti
     )
     raw = typed_lines(warehouse.sales, settings.money_type)
     near = distinct_lines(lines_near(raw, materialise(shops_in_scope(raw, in_scope), "shops")))
-    lines = drop_net_zero(resolve_master(near, warehouse.cards))
-    valid = valid_lines(lines.where(in_scope), settings.rules)
-    return enrich(valid, lookups.sku, lookups.subcat, lookups.store)
+    # Orders are judged by their lines with a master each; whole lines look theirs up once their order is known to stay.
+    valid = valid_lines(near.where(in_scope), settings.rules)
+    kept = drop_net_zero(valid, judged_by=resolve_master(near, warehouse.cards))
+    return enrich(resolve_master(kept, warehouse.cards), lookups.sku, lookups.subcat, lookups.store)
 
 
 def build_datamart(warehouse: Warehouse, settings: DatamartSettings) -> Datamart:

@@ -35,6 +35,14 @@ def features(spark):
     )
 
 
+def test_orders_may_be_judged_by_more_lines_than_stay(spark):
+    facts = [("a", 1), ("a", -1), ("b", 2), ("c", None), ("d", 3), ("d", -2)]
+    judged = spark.createDataFrame(facts, f"{op.ORDER_KEY} string, sold_qty int")
+    some = judged.where("sold_qty > 0")
+    assert rows(op.drop_net_zero(some, judged_by=judged)) == [("b", 2), ("d", 3)]
+    assert rows(op.drop_net_zero(some)) == [("a", 1), ("b", 2), ("d", 3)]
+
+
 def test_shops_do_not_move_lines(spark):
     mart = Mart(spark, FOLDER)
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
