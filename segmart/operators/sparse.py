@@ -7,6 +7,7 @@ wanted as columns becomes wide.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -18,6 +19,18 @@ from segmart.session import materialise
 
 COUNT, SHARE = "count", "share"
 TAG = "tag"
+# Long rows of one task, some hundred bytes each while they are summed up.
+ROWS_PER_TASK = 500_000
+
+
+def _moved_to(rows: DataFrame, key: str, about: int) -> DataFrame:
+    """``rows``, ``about`` so many, at their customers, in pieces of a bounded number of rows.
+
+    Long rows take many times as much memory as they take in a shuffle, by which adaptive execution would
+    measure and merge the pieces. So they are given by number, at least one for each core.
+    """
+    pieces = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(about / ROWS_PER_TASK))
+    return rows.repartition(pieces, key)
 
 
 def customer_values(
@@ -45,7 +58,9 @@ def customer_values(
         rows = rows.unionByName(
             tagged.select(key, "sold_qty", amount, F.lit(TAG).alias("category"), F.col("tags").alias("value"), F.lit(0).alias("bit"))
         )
-    sums = rows.repartition(key).groupBy(key, "category", "value", "bit").agg(
+    # Totals are stored: their number is known without reading them.
+    about = totals.count() * (len(categories) + (tagged is not None))
+    sums = _moved_to(rows, key, about).groupBy(key, "category", "value", "bit").agg(
         F.sum("sold_qty").alias("sold_qty"), F.sum("net_amt_hkd").alias("net_amt_hkd")
     )
     own = Window.partitionBy(key)
@@ -120,7 +135,8 @@ def wide_features(
     """The named features of the complete customers as columns, 0 where they have none; counts stay whole.
 
     One pivot for all of them, whatever categories they are of. A customer without any of them has a row
-    of zeros.
+    of zeros. The narrow rows move to their customer before they become columns: a plain pivot would shuffle
+    one wide, mostly empty row for nearly each of them.
     """
     rows = features.where("complete")
     if excluded_ids:
@@ -130,7 +146,8 @@ def wide_features(
     # Names stand for themselves by place, as they may hold any character.
     places = {feature: i for i, feature in enumerate(names)}
     chosen = F.when(F.col("feature").isin(list(names)), F.col("feature"))
-    wide = rows.withColumn("feature", chosen).groupBy(key).pivot("feature", list(places)).agg(F.first("value", ignorenulls=True))
+    narrow = rows.select(key, chosen.alias("feature"), F.when(chosen.isNotNull(), F.col("value")).alias("value"))
+    wide = _moved_to(narrow, key, features.count()).groupBy(key).pivot("feature", list(places)).agg(F.first("value", ignorenulls=True))
     return wide.toDF(key, *names).na.fill(0.0)
 
 
@@ -139,7 +156,7 @@ def wide_counts(values: DataFrame, category: str, names: Sequence[str], postfix:
     rows = values.where((F.col("category") == category) & (F.col("value") != ""))
     if not names:
         return rows.select(key).distinct()
-    wide = rows.groupBy(key).pivot("value", list(names)).agg(F.first("sold_qty")).na.fill(0)
+    wide = rows.repartition(key).groupBy(key).pivot("value", list(names)).agg(F.first("sold_qty")).na.fill(0)
     return wide.toDF(key, *[f"{category}_{v}{postfix}" for v in names])
 
 
@@ -148,7 +165,7 @@ def wide_shares(values: DataFrame, category: str, names: Sequence[str], key: str
     rows = values.where(F.col("category") == category)
     if not names:
         return rows.select(key).distinct()
-    wide = rows.groupBy(key, F.col("total").cast("double").alias("__total")).pivot("value", list(names)).agg(F.first("net_amt_hkd"))
+    wide = rows.repartition(key).groupBy(key, F.col("total").cast("double").alias("__total")).pivot("value", list(names)).agg(F.first("net_amt_hkd"))
     shares = [
         f"try_divide(coalesce(cast({quoted(v)} as double), 0D), __total) * 100 AS {quoted(f'{v}_SOW_by_{category}')}" for v in names
     ]

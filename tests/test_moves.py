@@ -35,6 +35,26 @@ def features(spark):
     )
 
 
+def test_wide_features_move_narrow_rows_once(spark):
+    wide = sparse.wide_features(features(spark), ["f1", "f2", "f3"])
+    assert len(exchanges(wide)) == 1
+    assert wide.count() == 40 and set(wide.columns) == {CUSTOMER, "f1", "f2", "f3"}
+    values = features(spark).select(
+        CUSTOMER, F.lit("brand").alias("category"), F.col("feature").alias("value"), F.lit(1).alias("sold_qty"), F.lit(2).alias("net_amt_hkd"), F.lit(8).alias("total")
+    )
+    for wide in (sparse.wide_counts(values, "brand", ["f1"]), sparse.wide_shares(values, "brand", ["f1"])):
+        assert len(exchanges(wide)) == 1 and wide.count() == 50
+
+
+def test_long_rows_come_in_pieces_of_a_bounded_number(spark, monkeypatch):
+    known, cores = features(spark), spark.sparkContext.defaultParallelism
+    assert sparse.wide_features(known, ["f1"]).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(sparse, "ROWS_PER_TASK", 20)
+    assert sparse.wide_features(known, ["f1"]).rdd.getNumPartitions() == 20
+    totals = known.select(CUSTOMER, F.lit("b").alias("brand"), F.lit(1).alias("sold_qty"), F.lit(2).alias("net_amt_hkd"))
+    assert sparse.customer_values(totals, {"brand": "brand"}).rdd.getNumPartitions() == 20
+
+
 def test_orders_may_be_judged_by_more_lines_than_stay(spark):
     facts = [("a", 1), ("a", -1), ("b", 2), ("c", None), ("d", 3), ("d", -2)]
     judged = spark.createDataFrame(facts, f"{op.ORDER_KEY} string, sold_qty int")
