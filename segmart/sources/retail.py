@@ -7,7 +7,7 @@ orders, item versions with ties, junk categories, unmatched brands.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmart.operators.enrich import ValidRules
@@ -136,14 +136,26 @@ def people(tables: Tables) -> DataFrame:
     )
 
 
+PADDED_CARD, PADDED_SHOP, RETURNED, UNSURE = 1, 2, 4, 8
+
+
+def _mark(test: Column, mark: int) -> Column:
+    """The mark where the test holds, else 0, also where it is unknown."""
+    return F.when(test, F.lit(mark)).otherwise(F.lit(0))
+
+
+def _marked(mark: int) -> Column:
+    return F.col("marks").bitwiseAND(F.lit(mark)) != 0
+
+
 def sales(tables: Tables) -> DataFrame:
     """Raw sales lines; every returned line is followed by its reversal."""
     line, order = tables["lineitem"], tables["orders"]
     item = items(tables).select(
-        "p_partkey", "brand", F.col("p_retailprice").cast("decimal(18,2)").alias("item_list_price"), (F.col("p_size") == 20).alias("unsure")
+        "p_partkey", "brand", F.col("p_retailprice").cast("decimal(18,2)").alias("item_list_price"), _mark(F.col("p_size") == 20, UNSURE).alias("item_marks")
     )
     shop = shops(tables).select("s_suppkey", "shop_brand", F.col("r_name").alias("shop_region"))
-    # Columns that are only compared with something move as the answer, amounts as decimals: such doubles hardly compress.
+    # Columns that are only compared with something move as the answers, those of lines and items in one number.
     bought = order.select(
         "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("sales_date"),
         (F.col("o_orderpriority") == "4-NOT SPECIFIED").alias("voided"), (F.col("o_orderstatus") == "P").alias("pending"),
@@ -151,17 +163,23 @@ def sales(tables: Tables) -> DataFrame:
     no_card = F.when(F.col("c_acctbal").between(3000, 3200), 1).when(F.col("c_acctbal").between(3200, 3400), 2).otherwise(0)
     bought = bought.withColumn("no_card", no_card).drop("c_acctbal", "c_custkey")
     narrow = line.select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus",
+        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus",
         F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
         F.col("l_discount").cast("decimal(4,2)").alias("discount"),
-        (F.col("l_returnflag") == "R").alias("returned"),
+        (
+            _mark(F.col("l_linenumber") % 3 == 0, PADDED_CARD)
+            + _mark(F.col("l_linenumber") % 2 == 1, PADDED_SHOP)
+            + _mark(F.col("l_returnflag") == "R", RETURNED)
+        ).alias("line_marks"),
     )
     # Lines take on little before they move to their orders; the wide columns come with the orders, which are few.
     # Shops are a small list beside the lines, so these do not move for them and meet them last.
     joined = (
         narrow.join(item, narrow.l_partkey == item.p_partkey)
-        .join(bought, narrow.l_orderkey == F.col("o_orderkey"))
-        .join(F.broadcast(shop), narrow.l_suppkey == F.col("s_suppkey"))
+        .withColumn("marks", F.col("line_marks") + F.col("item_marks"))
+        .drop("line_marks", "item_marks", "p_partkey")
+        .join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(F.broadcast(shop), F.col("l_suppkey") == F.col("s_suppkey"))
     )
     card = F.concat(F.lit("V"), F.col("o_custkey").cast("string"))
     price = F.col("price")
@@ -170,10 +188,10 @@ def sales(tables: Tables) -> DataFrame:
         F.col("shop_region").alias("region_key"),
         F.when(F.col("no_card") == 1, F.lit(None))
         .when(F.col("no_card") == 2, F.lit(""))
-        .when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit(" "), card, F.lit(" ")))
+        .when(_marked(PADDED_CARD), F.concat(F.lit(" "), card, F.lit(" ")))
         .otherwise(card)
         .alias("vip_no"),
-        F.concat(F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 1, "  ").otherwise("")).alias(
+        F.concat(F.col("l_suppkey").cast("string"), F.when(_marked(PADDED_SHOP), "  ").otherwise("")).alias(
             "shop_code"
         ),
         F.concat(F.lit("I"), F.col("o_orderkey").cast("string")).alias("invoice_no"),
@@ -192,10 +210,10 @@ def sales(tables: Tables) -> DataFrame:
         F.col("sex").alias("customer_sex"),
         F.col("age_group").alias("customer_age_group"),
         F.when(F.col("voided"), F.lit("V")).alias("void_flag"),
-        F.when(F.col("pending"), "0").when(F.col("unsure"), "Y").otherwise("1").alias("valid_tx_flag"),
+        F.when(F.col("pending"), "0").when(_marked(UNSURE), "Y").otherwise("1").alias("valid_tx_flag"),
         F.lit("N").alias("sales_staff_flag"),
         F.col("l_linestatus").alias("sales_type"),
-        F.when(F.col("returned"), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1))).alias("signs"),
+        F.when(_marked(RETURNED), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1))).alias("signs"),
     )
     signed = lines.withColumn("sign", F.explode("signs")).drop("signs")
     return signed.withColumns(

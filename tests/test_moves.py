@@ -91,3 +91,37 @@ def test_stored_lines_are_compressed_harder(spark):
     assert found.count() == 10 and all(".zstd." in name for name in found.inputFiles())
     assert not any(".zstd." in name for name in materialise(spark.range(10), "plain").inputFiles())
     assert all(".zstd." in name for name in retail.warehouse(retail.load(spark, FOLDER)).sales.inputFiles())
+
+
+def test_marks_stand_for_what_their_columns_say(spark):
+    """Nulls are neither padded nor returned nor unsure."""
+    tables = retail.load(spark, FOLDER)
+    line, part = tables["lineitem"], tables["part"]
+    some = F.col("l_orderkey") % 4 == 0
+    tables["lineitem"] = line.withColumns(
+        {
+            "l_linenumber": F.when(some, F.lit(None)).when(F.col("l_orderkey") % 4 == 1, -F.col("l_linenumber")).otherwise(F.col("l_linenumber")).cast("int"),
+            "l_returnflag": F.when(~some, F.col("l_returnflag")),
+        }
+    )
+    tables["part"] = part.withColumn("p_size", F.when(F.col("p_partkey") % 3 != 0, F.lit(20)).otherwise(F.lit(None)).cast("int"))
+    expected = (
+        tables["lineitem"]
+        .join(tables["part"], F.col("l_partkey") == F.col("p_partkey"))
+        .join(tables["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
+        .withColumn("sign", F.explode(F.when(F.col("l_returnflag") == "R", F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))))
+    )
+    card = F.concat(F.lit("V"), F.col("o_custkey"))
+    expected = expected.select(
+        F.concat(F.lit("I"), "l_orderkey"),
+        F.concat(F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 1, "  ").otherwise("")),
+        F.when(F.col("c_acctbal").between(3000, 3200), F.lit(None)).when(F.col("c_acctbal").between(3200, 3400), "")
+        .when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit(" "), card, F.lit(" "))).otherwise(card),
+        F.col("l_quantity") * F.col("sign"),
+        F.when(F.col("o_orderstatus") == "P", "0").when(F.col("p_size") == 20, "Y").otherwise("1"),
+        F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "V"),
+    )
+    found = retail.sales(tables)
+    assert rows(found.select("invoice_no", "shop_code", "vip_no", "sold_qty", "valid_tx_flag", "void_flag")) == rows(expected)
+    assert " AS marks#" in plan(found)
