@@ -25,6 +25,8 @@ from segmart.llm.components import components
 SUBSPACE = 4
 # The list of vectors whose length is not the one that the index was fitted on.
 UNFITTED = -1
+# Distances that are held at once.
+DISTANCES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -94,12 +96,20 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the centre that each point is nearest to; a few points at a time have their distances to all."""
+    squares = (centres**2).sum(axis=1)
+    size = max(1, DISTANCES // len(centres))
+    nearest = [(squares - 2 * points[i : i + size] @ centres.T).argmin(axis=1) for i in range(0, len(points), size)]
+    return np.concatenate(nearest)
+
+
 def _k_means(points: np.ndarray, count: int, rounds: int, seed: int = 0) -> np.ndarray:
     """``count`` centres (fewer if there are not so many points) of a bounded sample."""
     start = np.random.default_rng(seed).permutation(len(points))[:count]
     centres = points[start].copy()
     for _ in range(rounds):
-        nearest = ((centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
+        nearest = _nearest(points, centres)
         order = np.argsort(nearest, kind="stable")
         at = np.flatnonzero(np.diff(nearest[order], prepend=-1))
         sums = np.add.reduceat(points[order], at, axis=0)
@@ -114,17 +124,31 @@ def fit(classes: DataFrame, settings: QuantiseSettings = QuantiseSettings()) ->
     if common is None:
         return None
     cells = int(2 ** np.clip(np.round(np.log2(max(common["n"], 1) / settings.list_rows)), 2, np.log2(settings.max_cells)))
-    chosen = classes.where(F.size("embedding") == common["size"]).orderBy(F.xxhash64("node"), "node")
-    sample = chosen.limit(cells * settings.sample_rows).select("embedding").toArrow()["embedding"].combine_chunks()
-    points = unit_vectors(sample).astype(np.float32)
+    sample = _first_by_hash(classes.where(F.size("embedding") == common["size"]), common["n"], cells * settings.sample_rows)
+    points = np.concatenate([unit_vectors(chunk).astype(np.float32) for chunk in sample.chunks if len(chunk)])
+    del sample
     centres = _k_means(points, cells, settings.iterations)
     points = points[: settings.code_sample]
-    nearest = ((centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
-    parts = _parts(points - centres[nearest])
+    parts = _parts(points - centres[_nearest(points, centres)])
     codebook = np.stack([_k_means(parts[:, i], settings.codewords, settings.iterations, i) for i in range(parts.shape[1])])
     return Index(centres, codebook, common["size"])
 
 
+def _first_by_hash(classes: DataFrame, count: int, wanted: int) -> pa.ChunkedArray:
+    """The vectors of the ``wanted`` first of ``count`` classes by a hash.
+
+    Hashes are spread evenly, so nearly all rows are known to come later before any is ordered; if too few
+    are left, all are ordered.
+    """
+    ordered = classes.select("embedding", "node", F.xxhash64("node").alias("hash"))
+    share = (wanted + 10 * wanted**0.5) / count
+    for part in (ordered.where(F.col("hash") < int(share * 2**64) - 2**63), ordered) if share < 1 else (ordered,):
+        sample = part.orderBy("hash", "node").limit(wanted).select("embedding").toArrow()["embedding"]
+        if len(sample) >= wanted:
+            break
+    return sample
+
+
 def _parts(rows: np.ndarray) -> np.ndarray:
     """Rows x subspaces x SUBSPACE, the last subspace filled up with zeros."""
     return np.pad(rows, ((0, 0), (0, -rows.shape[1] % SUBSPACE))).reshape(len(rows), -1, SUBSPACE)
@@ -175,7 +199,7 @@ def _entries(index: Index, settings: QuantiseSettings) -> Callable[[Iterator[pa.
                 yield from rows(odd, [np.array([UNFITTED])] * odd.num_rows, [b""] * odd.num_rows, zeros, zeros, [b""] * odd.num_rows, zeros)
             whole = batch.filter(fitted)
             # As many rows as keep their distances to all centres within some megabytes.
-            size = max(1, 2_000_000 // len(centres))
+            size = max(1, DISTANCES // len(centres))
             for start in range(0, whole.num_rows, size):
                 part = whole.slice(start, size)
                 unit = unit_vectors(part["embedding"]).astype(np.float32)

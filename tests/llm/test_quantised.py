@@ -1,10 +1,13 @@
 """Links and components against all pairs."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from conftest_llm import empty
+from pyspark.sql import functions as F
 
-from segmart.llm.quantised import QuantiseSettings, near_vectors
+from segmart.llm.quantised import QuantiseSettings, _first_by_hash, _k_means, _nearest, near_vectors
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -121,3 +124,31 @@ def test_other_types_and_empty_table(spark, planted):
     df = table(spark, rows, "float", "string")
     assert result(near_vectors(df, QuantiseSettings(reach=0.5))) == expected(rows)
     assert result(near_vectors(empty(df))) == []
+
+
+def test_fit_holds_a_bounded_part_of_the_distances():
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(8192, 8)).astype(np.float32)
+    tracemalloc.start()
+    centres = _k_means(points, 2048, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All distances would be 67 MB, and as much again for each step on the way to them.
+    assert centres.shape == (2048, 8) and peak < 40e6
+    distance = ((points[:500, None].astype(float) - centres[None]) ** 2).sum(axis=2)
+    found = _nearest(points[:500], centres)
+    assert np.allclose(distance[np.arange(500), found], distance.min(axis=1), atol=1e-4)
+
+
+@pytest.mark.parametrize("spread", [True, False])
+def test_sample_is_the_first_by_hash(spark, monkeypatch, spread):
+    rows = [(i.to_bytes(16, "big"), [float(i), 1.0]) for i in range(5000)]
+    df = spark.createDataFrame(rows, "node binary, embedding array<double>").withColumn("hash", F.xxhash64("node"))
+    if not spread:
+        df = df.where("hash > 0")
+    want = [r.embedding for r in df.orderBy("hash", "node").limit(200).collect()]
+    ordered = []
+    order_by = type(df).orderBy
+    monkeypatch.setattr(type(df), "orderBy", lambda self, *by: ordered.append(self.count()) or order_by(self, *by))
+    assert _first_by_hash(df.drop("hash"), 5000, 200).to_pylist() == want
+    assert ordered[0] < 500 and (len(ordered) == 1) == spread
