@@ -2,20 +2,21 @@
 
 Equal vectors are one class. Classes are dealt into inverted lists by label and nearest coarse centre and
 visit those lists that may hold a neighbour. First only codes meet in a list: residuals of residents in
-subspace codes, visitors in bytes. Distances from lookup tables, with the known errors of both codes as
-slack, tell who may have a neighbour there. Only those then bring their vectors, and their cosines decide.
+subspace codes, visitors in bytes. Distances to what is looked up for a code, with the known errors of both
+codes as slack, tell who may have a neighbour there. Only those then bring their vectors, and their cosines decide.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmart.llm.common import columns_as, materialise
@@ -40,8 +41,9 @@ class QuantiseSettings:
     loses nothing at all.
 
     Centres are one for ``list_rows`` classes, at most ``max_cells``, fitted on ``sample_rows`` vectors for
-    each, the first by a hash; codes on at most ``code_sample``. Every vector is indexed. Lists longer
-    than ``block_rows`` are split into blocks.
+    each, the first by a hash; codes on at most ``code_sample``. Every vector is indexed. Lists of more
+    than ``block_rows`` residents, or ``bucket_rows`` visitors, are split into blocks. The blocks are compared in
+    rounds, in which ``round_rows`` entries move or ``round_share`` for each class, so that disk follows the classes.
     """
 
     cosine: float = 0.93
@@ -54,6 +56,8 @@ class QuantiseSettings:
     iterations: int = 6
     block_rows: int = 1024
     bucket_rows: int = 50_000
+    round_rows: int = 1_000_000
+    round_share: int = 3
 
     @property
     def distance(self) -> float:
@@ -155,48 +159,53 @@ def _parts(rows: np.ndarray) -> np.ndarray:
 
 
 ENTRY = (
-    "label {label}, cell int, node binary, resident boolean, home int, probes array<int>, code binary, code_error float,"
+    "label {label}, length int, node binary, home int, probes array<int>, code binary, code_error float,"
     " bytes binary, step float, byte_error float"
 )
 
 
-def _entries(index: Index, settings: QuantiseSettings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One entry for a class in its own list, as resident, and one for each list it visits, its own included."""
+def _binary(rows: np.ndarray) -> pa.Array:
+    """One binary value for each row of a matrix."""
+    data = np.ascontiguousarray(rows)
+    ends = np.arange(len(data) + 1, dtype=np.int32) * np.int32(data.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
-    def rows(batch: pa.RecordBatch, cells: list, codes: list, errors: np.ndarray, steps: np.ndarray, tens: list, byte_errors: np.ndarray):
-        lengths = np.array([len(c) for c in cells])
-        at = np.repeat(np.arange(len(cells)), lengths)
-        visited = np.concatenate(cells).astype(np.int32)
-        home = np.array([c[0] for c in cells], dtype=np.int32)
-        every = np.concatenate([np.arange(len(cells)), at])
-        resident = np.arange(len(every)) < len(cells)
-        take = lambda name: batch[name].take(pa.array(every))
-        none = lambda values, mask, kind: pa.array(values, type=kind, mask=mask)
-        yield pa.RecordBatch.from_pydict(
+
+def _encoded(index: Index, settings: QuantiseSettings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every class with its own list, the lists it visits, its own included, and both of its codes."""
+
+    def rows(batch: pa.RecordBatch, home, at, cells, codes, errors, steps, tens, byte_errors) -> pa.RecordBatch:
+        ends = np.searchsorted(at, np.arange(batch.num_rows + 1)).astype(np.int32)
+        return pa.RecordBatch.from_pydict(
             {
-                "label": take("label"),
-                "cell": np.concatenate([home, visited]),
-                "node": take("node"),
-                "resident": resident,
-                "home": home[every],
-                "probes": pa.array([cells[i].tolist() if r else None for i, r in zip(every, resident)], pa.list_(pa.int32())),
-                "code": pa.array([codes[i] if r else None for i, r in zip(every, resident)], pa.binary()),
-                "code_error": none(errors[every], ~resident, pa.float32()),
-                "bytes": pa.array([None if r else tens[i] for i, r in zip(every, resident)], pa.binary()),
-                "step": none(steps[every], resident, pa.float32()),
-                "byte_error": none(byte_errors[every], resident, pa.float32()),
+                "label": batch["label"],
+                "length": pc.list_value_length(batch["embedding"]).cast(pa.int32()),
+                "node": batch["node"],
+                "home": home.astype(np.int32),
+                "probes": pa.ListArray.from_arrays(ends, cells.astype(np.int32)),
+                "code": _binary(codes),
+                "code_error": errors.astype(np.float32),
+                "bytes": _binary(tens),
+                "step": steps.astype(np.float32),
+                "byte_error": byte_errors.astype(np.float32),
             }
         )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = index.centres
         squares = (centres**2).sum(axis=1)
+        # Twice the distances between centres, times the distance from a border within which a list is looked for.
+        border = -2 * centres @ centres.T
+        border += squares
+        border += squares[:, None]
+        np.sqrt(np.maximum(border, 1e-12, out=border), out=border)
+        border *= 2 * settings.reach * settings.distance
         for batch in batches:
             fitted = pc.equal(pc.list_value_length(batch["embedding"]), index.dimensions)
             odd = batch.filter(pc.invert(fitted))
             if odd.num_rows:
-                zeros = np.zeros(odd.num_rows, dtype=np.float32)
-                yield from rows(odd, [np.array([UNFITTED])] * odd.num_rows, [b""] * odd.num_rows, zeros, zeros, [b""] * odd.num_rows, zeros)
+                cells, none, zeros = np.full(odd.num_rows, UNFITTED), np.empty((odd.num_rows, 0), np.uint8), np.zeros(odd.num_rows)
+                yield rows(odd, cells, np.arange(odd.num_rows), cells, none, zeros, zeros, none, zeros)
             whole = batch.filter(fitted)
             # As many rows as keep their distances to all centres within some megabytes.
             size = max(1, DISTANCES // len(centres))
@@ -205,11 +214,9 @@ def _entries(index: Index, settings: QuantiseSettings) -> Callable[[Iterator[pa.
                 unit = unit_vectors(part["embedding"]).astype(np.float32)
                 distance = squares - 2 * unit @ centres.T
                 home = distance.argmin(axis=1)
-                least = np.take_along_axis(distance, home[:, None], axis=1)
-                apart = np.sqrt(np.maximum(squares[home][:, None] + squares - 2 * centres[home] @ centres.T, 1e-12))
-                near = (distance - least) / (2 * apart) <= settings.reach * settings.distance
-                near[np.arange(len(unit)), home] = False
-                cells = [np.concatenate([[h], np.flatnonzero(row)]) for h, row in zip(home, near)]
+                distance -= np.take_along_axis(distance, home[:, None], axis=1)
+                near = distance <= border[home]
+                near[np.arange(len(unit)), home] = True
                 residual = _parts(unit - centres[home])
                 codes = np.empty(residual.shape[:2], dtype=np.uint8)
                 for i, words in enumerate(index.codebook):
@@ -219,31 +226,53 @@ def _entries(index: Index, settings: QuantiseSettings) -> Callable[[Iterator[pa.
                 steps = np.abs(unit).max(axis=1) / 127
                 tens = np.rint(unit / steps[:, None]).astype(np.int8)
                 byte_errors = np.sqrt(((unit - tens * steps[:, None]) ** 2).sum(axis=1))
-                yield from rows(
-                    part, cells, [c.tobytes() for c in codes], errors, steps, [t.tobytes() for t in tens], byte_errors
-                )
+                yield rows(part, home, *np.nonzero(near), codes, errors, steps, tens, byte_errors)
 
     return encode
 
 
-def _in_blocks(entries: DataFrame, settings: QuantiseSettings) -> DataFrame:
-    """Entries with the block of their list and the bucket of blocks that one task call handles.
+LIST = ["label", "length", "cell"]
+
+
+def _lists(classes: DataFrame, settings: QuantiseSettings) -> DataFrame:
+    """Every list with its residents, its visitors and the blocks that they are split into.
 
     Residents of a long list are split into blocks and so are its visitors; every block of the one meets
-    every block of the other.
+    every block of the other. Where more visit than live, the blocks of visitors are so much larger.
     """
-    key = ["label", "length", "cell"]
-    sizes = entries.groupBy(*key).agg(
-        F.sum(F.col("resident").cast("long")).alias("residents"), F.count(F.lit(1)).alias("n")
+    visits = classes.select("label", "length", "home", F.explode("probes").alias("cell"))
+    sizes = visits.groupBy(*LIST).agg(
+        F.sum((F.col("home") == F.col("cell")).cast("long")).alias("residents"), F.count(F.lit(1)).alias("visitors")
     )
-    long_lists = sizes.where((F.col("n") > settings.block_rows)).select(
-        *[F.col(k).alias(f"of_{k}") for k in key],
-        F.ceil(F.col("residents") / settings.block_rows).cast("int").alias("resident_blocks"),
-        F.ceil((F.col("n") - F.col("residents")) / settings.block_rows).cast("int").alias("visitor_blocks"),
+    blocks = F.greatest(F.ceil(F.col("residents") / settings.block_rows).cast("int"), F.lit(1))
+    return sizes.withColumn("resident_blocks", blocks).withColumn(
+        "visitor_blocks", F.greatest("resident_blocks", F.ceil(F.col("visitors") / settings.bucket_rows).cast("int"))
     )
+
+
+# Long lists that are sent to every task; their number grows with the vectors.
+SENT_LISTS = 20_000
+
+
+def _in_blocks(classes: DataFrame, lists: DataFrame) -> DataFrame:
+    """One entry for a class in its own list, as resident, and one for each list it visits, with its block there.
+
+    Residents have the code of their residual, visitors that of their bytes.
+    """
+    places = F.posexplode(F.concat(F.array("home"), "probes")).alias("place", "cell")
+    entries = classes.select("*", places).withColumn("resident", F.col("place") == 0)
+    mine = lambda own, visiting: F.when(F.col("resident"), own).otherwise(visiting)
+    entries = entries.select(
+        *LIST, "node", "resident", "home", mine(F.col("probes"), None).alias("probes"),
+        mine(F.col("code"), F.col("bytes")).alias("code"), mine(F.col("code_error"), F.col("byte_error")).alias("error"),
+        mine(None, F.col("step")).alias("step"),
+    )
+    long_lists = lists.where("visitor_blocks > 1").select(*[F.col(k).alias(f"of_{k}") for k in LIST], "resident_blocks", "visitor_blocks")
+    if long_lists.limit(SENT_LISTS + 1).count() <= SENT_LISTS:
+        long_lists = F.broadcast(long_lists)
     same = (F.col("label") == F.col("of_label")) & (F.col("length") == F.col("of_length")) & (F.col("cell") == F.col("of_cell"))
-    placed = entries.join(long_lists, same, "left").drop(*[f"of_{k}" for k in key])
-    kinds = [F.coalesce(F.greatest(F.col(n), F.lit(1)), F.lit(1)) for n in ("resident_blocks", "visitor_blocks")]
+    placed = entries.join(long_lists, same, "left").drop(*[f"of_{k}" for k in LIST])
+    kinds = [F.coalesce(F.col(n), F.lit(1)) for n in ("resident_blocks", "visitor_blocks")]
     own = [F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")) for blocks in kinds]
     every = [F.sequence(F.lit(0), blocks - 1) for blocks in kinds]
     placed = placed.withColumn("resident_block", F.explode(F.when(F.col("resident"), own[0]).otherwise(every[0])))
@@ -272,42 +301,47 @@ def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows[visitors:], rows[:visitors]
 
 
-def _fixed(column: pa.ChunkedArray, rows: np.ndarray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.take(pa.array(rows)).to_pylist()), dtype=kind).reshape(len(rows), -1)
+def _fixed(column: pa.Array, rows: np.ndarray, kind: type) -> np.ndarray:
+    """The bytes of these rows, which have the same number, as a matrix."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset :]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=kind)
+    return data[ends[rows][:, None] + np.arange(ends[rows[0] + 1] - ends[rows[0]])]
 
 
 def _survivors(index: Index, settings: QuantiseSettings) -> Callable[[pa.Table], pa.Table]:
-    """Entries that by their codes may have a neighbour in their block."""
+    """Entries that by their codes may have a neighbour in their block.
+
+    The square of the distance between a visitor and what a resident's code stands for, less that of what
+    links with both errors as slack, is one product of what is known of either. It is not positive for a neighbour.
+    """
 
     def survive(table: pa.Table) -> pa.Table:
         kept = np.zeros(table.num_rows, dtype=bool)
-        cell, node = table["cell"].to_numpy(), table["node"]
-        errors = {n: table[n].to_numpy(zero_copy_only=False) for n in ("code_error", "byte_error", "step")}
+        cell = table["cell"].to_numpy()
+        number = pc.dictionary_encode(table["node"].combine_chunks()).indices.to_numpy()
+        code = table["code"].combine_chunks().cast(pa.large_binary())
+        error, step = (table[n].to_numpy(zero_copy_only=False).astype(np.float32) for n in ("error", "step"))
+        subspaces = np.arange(len(index.codebook))
         for residents, visitors in _blocks(table):
             if cell[residents[0]] == UNFITTED:
                 kept[residents] = kept[visitors] = len(residents) + len(visitors) > 2
                 continue
-            codes = _fixed(table["code"], residents, np.uint8)
-            self_row = {name: i for i, name in enumerate(node.take(pa.array(residents)).to_pylist())}
-            for start in range(0, len(visitors), 512):
-                some = visitors[start : start + 512]
-                points = _fixed(table["bytes"], some, np.int8) * errors["step"][some][:, None]
-                shift = _parts(points - index.centres[cell[some[0]]])
-                # Squared distances of every subspace to every codeword, then one lookup for each code.
-                words = index.codebook
-                tables = (
-                    (shift**2).sum(axis=2)[:, :, None]
-                    - 2 * np.einsum("vsd,skd->vsk", shift, words, optimize=True)
-                    + (words**2).sum(axis=2)
-                )
-                squared = np.zeros((len(some), len(residents)), dtype=np.float32)
-                for i in range(codes.shape[1]):
-                    squared += tables[:, i][:, codes[:, i]]
-                slack = settings.distance + errors["byte_error"][some][:, None] + errors["code_error"][residents] + 1e-3
-                near = squared <= slack**2
-                for i, name in enumerate(node.take(pa.array(some)).to_pylist()):
-                    if (own := self_row.get(name)) is not None:
-                        near[i, own] = False
+            there = index.codebook[subspaces, _fixed(code, residents, np.uint8)].reshape(len(residents), -1)[:, : index.dimensions]
+            wide = (settings.distance + 1e-3 + error[residents]).astype(np.float32)
+            ones = np.ones((len(residents), 1), dtype=np.float32)
+            right = np.hstack([-2 * there, -2 * wide[:, None], ones, ((there**2).sum(axis=1) - wide**2)[:, None]]).T
+            order = np.argsort(number[residents])
+            size = max(1, min(4096, DISTANCES // 4 // len(residents)))
+            for start in range(0, len(visitors), size):
+                some = visitors[start : start + size]
+                here = _fixed(code, some, np.int8) * step[some][:, None] - index.centres[cell[some[0]]]
+                slack = error[some][:, None]
+                left = np.hstack([here, slack, (here**2).sum(axis=1, keepdims=True) - slack**2, np.ones_like(slack)])
+                near = left @ right <= 0
+                # A class is no neighbour of its own.
+                own = order[np.minimum(np.searchsorted(number[residents], number[some], sorter=order), len(order) - 1)]
+                itself = number[residents][own] == number[some]
+                near[np.flatnonzero(itself), own[itself]] = False
                 kept[some] |= near.any(axis=1)
                 kept[residents] |= near.any(axis=0)
         return table.filter(pa.array(kept)).select(SURVIVOR)
@@ -384,6 +418,53 @@ def _links(settings: QuantiseSettings) -> Callable[[pa.Table], pa.Table]:
     return linked
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffle files of every query that has ended, not only when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _linked(classes: DataFrame, settings: QuantiseSettings, index: Index) -> DataFrame:
+    """of_node, component_id, n_links for each class."""
+    spark = classes.sparkSession
+    encoded = classes.select("label", "node", "embedding")
+    encoded = encoded.mapInArrow(_encoded(index, settings), ENTRY.format(label=dict(encoded.dtypes)["label"]))
+    encoded = materialise(encoded, "quantised-entries")
+    lists = materialise(_lists(encoded, settings), "quantised-lists")
+    moved = F.col("residents") * F.col("visitor_blocks") + F.col("visitors") * F.col("resident_blocks")
+    entries, residents = (n or 0 for n in lists.agg(F.sum(moved), F.sum("residents")).first())
+    rounds = max(1, -(-entries // max(settings.round_rows, settings.round_share * residents)))
+    buckets = rounds * max(spark.sparkContext.defaultParallelism, -(-entries // (rounds * settings.bucket_rows)))
+    kept = _bucketed(_in_blocks(encoded, lists), buckets)
+    schema = {field.name: field.dataType.simpleString() for field in kept.schema.fields}
+    survivors = None
+    for i in range(rounds):
+        found = kept.where(F.pmod("bucket", F.lit(rounds)) == i).groupBy("bucket").applyInArrow(
+            _survivors(index, settings), ", ".join(f"{name} {schema[name]}" for name in SURVIVOR)
+        )
+        found = materialise(found, "quantised-survivors")
+        survivors = found if survivors is None else survivors.unionByName(found)
+    brought = survivors.join(classes.select("node", "embedding", "size"), "node")
+    found = brought.groupBy("bucket").applyInArrow(_links(settings), "node binary, links long, root binary")
+    found = materialise(found, "quantised-links")
+
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    named = classes.select("node", "vec_id", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy(F.col("root").alias("of_root")).agg(F.min("vec_id").alias("component_id"))
+    result = named.join(least, F.col("root") == F.col("of_root")).join(counts, "node", "left").select(
+        F.col("node").alias("of_node"), "component_id",
+        (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
+    )
+    return materialise(result, "quantised-result")
+
+
 def near_vectors(
     vectors: DataFrame, settings: QuantiseSettings = QuantiseSettings(), index: Index | None = None
 ) -> DataFrame:
@@ -402,7 +483,6 @@ def near_vectors(
     any length are split into blocks, and from a block leave one count and one connection for each vector,
     never its pairs. A group of n near vectors that are not equal still costs n * n cosines, in blocks.
     """
-    spark = vectors.sparkSession
     source = columns_as(vectors, vec_id="vec_id", label="label", embedding="embedding")
     kinds = {name: kind for name, kind in source.dtypes}
     keyed = source.mapInArrow(
@@ -412,39 +492,14 @@ def near_vectors(
         F.first("label").alias("label"), F.first("embedding").alias("embedding"),
         F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("size"),
     )
-    classes = materialise(classes, "quantised-classes")
-    index = index or fit(classes, settings)
     rows = keyed.select("vec_id", "node")
-    if index is None:
+    with _shuffles_dropped(vectors.sparkSession):
+        classes = materialise(classes, "quantised-classes")
+        index = index or fit(classes, settings)
+        result = None if index is None else _linked(classes, settings, index)
+    if result is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
-    encoded = classes.select("label", "node", "embedding").mapInArrow(_entries(index, settings), ENTRY.format(label=kinds["label"]))
-    # Vectors of one length meet; with a common length, that is the fitted one for all cells but one.
-    if classes.where(F.size("embedding") != index.dimensions).isEmpty():
-        entries = encoded.withColumn("length", F.lit(index.dimensions))
-    else:
-        entries = encoded.join(classes.select("node", F.size("embedding").alias("length")), "node")
-    entries = materialise(entries, "quantised-entries")
-    buckets = max(spark.sparkContext.defaultParallelism, -(-entries.count() // settings.bucket_rows))
-    kept = _bucketed(_in_blocks(entries, settings), buckets)
-    schema = {field.name: field.dataType.simpleString() for field in kept.schema.fields}
-    survivors = kept.groupBy("bucket").applyInArrow(
-        _survivors(index, settings), ", ".join(f"{name} {schema[name]}" for name in SURVIVOR)
-    )
-    survivors = materialise(survivors, "quantised-survivors")
-    brought = survivors.join(classes.select("node", "embedding", "size"), "node")
-    found = brought.groupBy("bucket").applyInArrow(_links(settings), "node binary, links long, root binary")
-    found = materialise(found, "quantised-links")
-
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = classes.select("node", "vec_id", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy(F.col("root").alias("of_root")).agg(F.min("vec_id").alias("component_id"))
-    result = named.join(least, F.col("root") == F.col("of_root")).join(counts, "node", "left").select(
-        F.col("node").alias("of_node"), "component_id",
-        (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
-    )
-    result = materialise(result, "quantised-result")
     joined = rows.join(result, F.col("node") == F.col("of_node"), "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select(

@@ -7,9 +7,11 @@ import pytest
 from conftest_llm import empty
 from pyspark.sql import functions as F
 
+from segmart.llm import quantised
 from segmart.llm.quantised import QuantiseSettings, _first_by_hash, _k_means, _nearest, near_vectors
 
 SMALL = "/root/testdata/sf0.001"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def usable(vec_id, vector, label):
@@ -104,6 +106,41 @@ def test_blocks_and_buckets_change_nothing(spark, planted):
     assert result(near_vectors(table(spark, rows), small)) == want
 
 
+def test_rounds_change_nothing_and_drop_their_shuffles(spark, planted, monkeypatch):
+    rows = planted[600:]
+    kept = spark.conf.get(CLEANUP)
+    moved, rounds = [], []
+    stored = quantised.materialise
+
+    def watched(df, name):
+        rounds.extend([name] if name == "quantised-survivors" else [])
+        assert spark.conf.get(CLEANUP) == "true"
+        return stored(df, name)
+
+    monkeypatch.setattr(quantised, "materialise", watched)
+    in_blocks = quantised._in_blocks
+    monkeypatch.setattr(quantised, "_in_blocks", lambda *a: moved.append(in_blocks(*a)) or moved[-1])
+    small = QuantiseSettings(list_rows=32, reach=0.5, block_rows=16, bucket_rows=300, round_rows=1, round_share=3)
+    assert result(near_vectors(table(spark, rows), small)) == expected(rows)
+    classes = len({(tuple(v), label) for _, v, label in rows})
+    assert len(rounds) == -(-moved[0].count() // (3 * classes)) > 3
+    assert spark.conf.get(CLEANUP) == kept
+
+
+def test_few_residents_are_not_copied_for_many_visitors(spark):
+    """Forty blocks of visitors came to a list of one block of residents, which moved forty times."""
+    classes = spark.createDataFrame(
+        [(1, 2, i.to_bytes(2, "big"), 0 if i < 10 else 1, [0, 1], b"c", 0.1, b"ab", 0.2, 0.3) for i in range(400)],
+        "label int, length int, node binary, home int, probes array<int>, code binary, code_error float, bytes binary, step float, byte_error float",
+    )
+    entries = quantised._in_blocks(classes, quantised._lists(classes, QuantiseSettings(block_rows=10)))
+    found = {tuple(r) for r in entries.groupBy("cell", "resident").count().collect()}
+    assert found == {(0, True, 10), (0, False, 400), (1, True, 390 * 39), (1, False, 400 * 39)}
+    # Every block of residents meets every visitor once.
+    met = entries.where("NOT resident AND cell = 1").groupBy("node").agg(F.countDistinct("resident_block").alias("n"), F.count("*").alias("m"))
+    assert {tuple(r) for r in met.select("n", "m").collect()} == {(39, 39)}
+
+
 def test_edges(spark, planted):
     nan, inf = float("nan"), float("inf")
     one = planted[0][1]
